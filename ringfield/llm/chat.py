@@ -4,7 +4,7 @@ A turn is rendered as ``<|im_start|>role\ntext<|im_end|>\n``. The parser splits
 ``<|im_start|>``, takes the role up to the first newline and the text up to the end mark, and
 undoes escapes. A turn is rendered as it stands, parsed again and compared with its source;
 where they differ, role and text are escaped: ``<`` + k backslashes + ``|`` becomes
-``<`` + k+1 backslashes + ``|``, and in roles also backslashes and newlines. Escaping can be
+``<`` + k+1 backslashes + ``|``, and a newline in a role becomes ``<|n``. Escaping can be
 undone whatever a text holds, so one such step makes every turn identical.
 
 Defined results: null texts and roles are empty; rows of one turn number (ties, repeated rows)
@@ -30,13 +30,12 @@ def unescaped(x: Column) -> Column:
 
 
 def escaped_role(x: Column) -> Column:
-    return F.replace(F.replace(escaped(x), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    # escaped() leaves no "<|", so "<|n" can stand for the newline that would end the role
+    return F.replace(escaped(x), F.lit("\n"), F.lit("<|n"))
 
 
 def unescaped_role(x: Column) -> Column:
-    # no escaped role has a code point that stands in for an escaped backslash, as texts have no U+0000 in turns here
-    y = F.replace(F.replace(x, F.lit("\\\\"), F.lit("\u0000")), F.lit("\\n"), F.lit("\n"))
-    return unescaped(F.replace(y, F.lit("\u0000"), F.lit("\\")))
+    return unescaped(F.replace(x, F.lit("<|n"), F.lit("\n")))
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -45,7 +44,7 @@ def rendered(role: Column, text: Column) -> Column:
 
 def parts(formatted: Column) -> Column:
     """The turns as written, without their start marks."""
-    return F.slice(F.split(formatted, r"<\|im_start\|>"), F.lit(2), F.lit((1 << 31) - 1))
+    return F.filter(F.split(formatted, r"<\|im_start\|>"), lambda x, i: i > 0)
 
 
 def role_of(part: Column) -> Column:

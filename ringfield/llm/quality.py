@@ -72,7 +72,7 @@ def rules() -> dict[str, Column]:
         "length": _band(n, F.col("n_words") < MIN_WORDS, F.col("n_words") >= 80),
         "word_length": _band(mean, (mean < 2.5) | (mean > 14), mean.between(3.2, 10)),
         "symbols": _band(n, 10 * F.col("n_symbols") > n, 50 * F.col("n_symbols") <= n),
-        "dup_lines": _band(n, F.col("n_dup_lines") >= 5, F.col("n_dup_lines") == 0),
+        "dup_lines": _band(n, 25 * F.col("n_dup_lines") > n, F.col("n_dup_lines") == 0),
         "repeats": _band(n, 100 * F.col("n_repeat_words") > 40 * n, 100 * F.col("n_repeat_words") <= 20 * n),
     }
 
@@ -80,38 +80,39 @@ def rules() -> dict[str, Column]:
 RULES = ("length", "word_length", "symbols", "dup_lines", "repeats")
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[tuple[dict, dict]]]:
-    """EM on (votes, count) rows: the share of good documents, and for each rule the
-    probability of each vote given good and given bad. Priors of a few documents keep every
-    probability inside (0, 1) and hold the meaning of "good" in place. A rule that says "bad"
-    is trusted more than one that says "good": most junk breaks one rule and keeps the others."""
+def fit(patterns: list[tuple[tuple[int, ...], int]], share: float = 0.8, rounds: int = 50) -> list[tuple[float, float]]:
+    """EM on (votes, count) rows: for each rule the probability that it votes good when it
+    votes on a good document, and on a bad one. Abstaining says nothing. The share of good
+    documents is given. Priors as heavy as half the documents hold the meaning of "good" in
+    place: most junk breaks one rule and keeps the others, and rules seldom blame good texts."""
+    prior = (0.995, 0.75)
     k = len(patterns[0][0]) if patterns else len(RULES)
-    share = 0.8
-    theta = [({1: 0.75, 0: 0.24, -1: 0.01}, {1: 0.5, 0: 0.2, -1: 0.3}) for _ in range(k)]
-    prior = theta
-    total = sum(c for _, c in patterns)
-    if not total:
-        return share, theta
-    weight = 0.02 * total + 2
+    theta = [prior] * k
+    weight = 0.5 * sum(c for _, c in patterns) + 2
     for _ in range(rounds):
         post = [posterior(v, share, theta) for v, _ in patterns]
-        good = sum(p * c for p, (_, c) in zip(post, patterns, strict=True))
-        share = (good + 0.8 * weight) / (total + weight)
         theta = []
         for r in range(k):
-            both = []
-            for side, mass in ((0, good), (1, total - good)):
-                seen = {1: 0.0, 0: 0.0, -1: 0.0}
-                for p, (v, c) in zip(post, patterns, strict=True):
-                    seen[v[r]] += c * (p if side == 0 else 1 - p)
-                both.append({x: (seen[x] + weight * prior[r][side][x]) / (mass + weight) for x in seen})
-            theta.append((both[0], both[1]))
-    return share, theta
+            sides = []
+            for side in (0, 1):
+                mass = [c * (p if side == 0 else 1 - p) for p, (_, c) in zip(post, patterns, strict=True)]
+                voted = sum(m for m, (v, _) in zip(mass, patterns, strict=True) if v[r])
+                good = sum(m for m, (v, _) in zip(mass, patterns, strict=True) if v[r] == 1)
+                sides.append((good + weight * prior[side]) / (voted + weight))
+            theta.append((sides[0], sides[1]))
+    return theta
 
 
-def posterior(votes: tuple[int, ...], share: float, theta: list[tuple[dict, dict]]) -> float:
-    odds = math.log(share) - math.log(1 - share) + sum(math.log(g[v]) - math.log(b[v]) for v, (g, b) in zip(votes, theta, strict=True))
-    return 1 / (1 + math.exp(-max(-700.0, min(700.0, odds))))
+def weight_of(vote: int, good: float, bad: float) -> float:
+    """What a vote adds to the log odds."""
+    if vote == 0:
+        return 0.0
+    return math.log(good / bad) if vote == 1 else math.log((1 - good) / (1 - bad))
+
+
+def posterior(votes: tuple[int, ...], share: float, theta: list[tuple[float, float]]) -> float:
+    odds = math.log(share / (1 - share)) + sum(weight_of(v, g, b) for v, (g, b) in zip(votes, theta, strict=True))
+    return 1 / (1 + math.exp(-odds))
 
 
 def judged(docs: DataFrame, text: str = "text", at_least: float = 0.5) -> DataFrame:
@@ -125,20 +126,19 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict(small).select("doc_id", *FEATURES, "base_failed", "kept", "quality")
 
 
-def verdict(df: DataFrame, at_least: float = 0.5) -> DataFrame:
-    """As judged(), for rows that have FEATURES already."""
+def verdict(df: DataFrame, at_least: float = 0.5, share: float = 0.8) -> DataFrame:
+    """As judged(), for rows that have FEATURES already. share: of good documents among those that pass the base rules."""
     rule = rules()
     names = [f"_v_{r}" for r in RULES]
     votes = df.drop("base_failed", "quality", "kept").select(
         "*", base_failed().alias("base_failed"), *(rule[r].cast("int").alias(f"_v_{r}") for r in RULES)
     )
     found = [(tuple(r[:-1]), r[-1]) for r in votes.where("NOT base_failed").groupBy(*names).count().orderBy(*names).collect()]
-    share, theta = fit(found)
-    odds = F.lit(math.log(share) - math.log(1 - share))
+    theta = fit(found, share)
+    odds = F.lit(math.log(share / (1 - share)))
     for name, (g, b) in zip(names, theta, strict=True):
         c = F.col(name)
-        w = {v: math.log(g[v]) - math.log(b[v]) for v in g}
-        odds = odds + F.when(c == 1, w[1]).when(c == -1, w[-1]).otherwise(w[0])
+        odds = odds + F.when(c == 1, weight_of(1, g, b)).when(c == -1, weight_of(-1, g, b)).otherwise(0.0)
     return (
         votes.withColumn("quality", F.lit(1.0) / (F.lit(1.0) + F.exp(-odds)))
         .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= at_least))
