@@ -72,12 +72,13 @@ def rules() -> dict[str, Column]:
         "length": _band(n, F.col("n_words") < MIN_WORDS, F.col("n_words") >= 80),
         "word_length": _band(mean, (mean < 2.5) | (mean > 14), mean.between(3.2, 10)),
         "symbols": _band(n, 10 * F.col("n_symbols") > n, 50 * F.col("n_symbols") <= n),
+        "symbol_chars": _band(n, 25 * F.col("n_symbols") > F.col("word_chars"), 400 * F.col("n_symbols") <= F.col("word_chars")),
         "dup_lines": _band(n, 25 * F.col("n_dup_lines") > n, F.col("n_dup_lines") == 0),
         "repeats": _band(n, 100 * F.col("n_repeat_words") > 40 * n, 100 * F.col("n_repeat_words") <= 20 * n),
     }
 
 
-RULES = ("length", "word_length", "symbols", "dup_lines", "repeats")
+RULES = ("length", "word_length", "symbols", "symbol_chars", "dup_lines", "repeats")
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], share: float = 0.8, rounds: int = 50) -> list[tuple[float, float]]:
