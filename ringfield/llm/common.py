@@ -45,6 +45,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def small(df: DataFrame, rows: int = 1 << 19) -> DataFrame:
+    """df marked for broadcast if it has at most `rows` (narrow) rows, as counted; else df, for a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def before_sum(df: DataFrame, keys: Sequence[str], bucket: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
     """Adds `out`: the sum of `value` over the rows of the same keys that come earlier in (bucket, order).
 

@@ -9,6 +9,11 @@ QUERIES = {
     "op3_mixing": "mixing",
     "op4_chat": "chat",
     "op5_quality": "quality",
+    "op6_neardup": "neardup",
+    "op7_linededup": "linededup",
+    "op8_suffixdedup": "suffixdedup",
+    "op9_neighbours": "neighbours",
+    "op10_packing": "packing",
 }
 
 
