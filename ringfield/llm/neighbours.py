@@ -97,7 +97,7 @@ def usable(vectors: DataFrame, embedding: str = "embedding", vec_id: str = "vec_
     return rows.where(F.col("vec_id").isNotNull() & finite & F.exists("v", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 32, share: float = 0.35, block: int = 4096, group: int = 2048, seed: int = 11) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 96, share: float = 0.4, block: int = 4096, group: int = 2048, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose vec_id is divisible by `every`."""
     rows = cut(usable(vectors))
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
