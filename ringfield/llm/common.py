@@ -45,6 +45,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, least: int) -> DataFrame:
+    """df as a table of the shared warehouse, bucketed by key: grouping it by key again and
+    again, alone or with other rows, shuffles only the other rows."""
+    spark, name = df.sparkSession, f"ringfield_{uuid.uuid4().hex}"
+    n = max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    df.repartition(n, key).write.bucketBy(n, key).saveAsTable(name)
+    return spark.table(name)
+
+
 def small(df: DataFrame, rows: int = 1 << 19) -> DataFrame:
     """df marked for broadcast if it has at most `rows` (narrow) rows, as counted; else df, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -2,16 +2,21 @@
 
 A document's set of word shingles is reduced to a signature of PERMS minima, each cut to 16
 bits. Two sets of similarity s differ in a given place with probability 1 - s, so sets of
-similarity 0.8 differ in more than MOST of the 96 places with probability below 1e-6. All pairs
-within that signature distance are found by pigeonhole: the places are dealt into 21 chunks;
-if at most 41 places differ, some chunk has at most one error; so each chunk is written once
-for each place that may be wrong, without that place, and equal keys meet.
-
-Nothing emits all pairs of a bucket. First every member is compared with the bucket's smallest
-id. Links join components; only buckets whose members still lie in several components are
-looked at again, and there only members of different components, whose distances to the common
-pivot allow a pair within the threshold (the distance is a metric), are paired. Every candidate
-is confirmed on the full sets. No bucket is capped.
+similarity 0.8 differ in more than MOST = 31 of the 80 places with probability below 1e-4, and
+sets of 0.85 below 1e-8. All pairs within that signature distance are found by pigeonhole: the
+places are dealt into 17 chunks; if at most 31 places differ, at least two chunks have at most
+one error; so each chunk is written once for each place that may be wrong, without that place,
+and equal keys meet.
+
+Nothing emits all pairs of a bucket. Each bucket is first compared with one pivot, its smallest
+id; links join components, and a bucket whose members all lie in one component is done. What is
+left is compared with the smallest id of the bucket's largest component. The signature distance
+is a metric, so members whose distances to that pivot differ by more than MOST cannot be a pair;
+only members that can still have a partner in another component go on. In small buckets those
+are paired across components; in large ones they are dealt anew by the second chunk that a pair
+must share, again with a pivot first, and paired there. Every candidate within the signature
+distance is confirmed on the full sets. No bucket is capped, and no step but this last one, on
+seven or eight equal places, pairs more than SMALL members.
 
 Equal sets are one class from the start, so groups of copies cost one signature.
 
@@ -32,9 +37,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringfield.llm.common import cut
+from ringfield.llm.common import cut, stored
+from ringfield.operators.graph import components
 
-PERMS, MOST, CHUNKS = 96, 41, 21
+PERMS, MOST, CHUNKS, SMALL = 80, 31, 17, 12
 CACHE = 1_000_000
 
 _R = np.random.default_rng(20240917)
@@ -102,21 +108,31 @@ def _sets(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
 
 
 def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, id) for each chunk and each place of it that may be wrong."""
+    """(key, id) for each chunk and each place of it that may be wrong. Rows that come with the
+    key of a bucket are dealt anew inside it, by the chunks after the bucket's."""
     for b in batches:
-        for at in range(0, len(b), 4096):
-            part = b.iloc[at : at + 4096]
+        for at in range(0, len(b), 2048):
+            part = b.iloc[at : at + 2048]
             sig = np.frombuffer(b"".join(part["sig"]), np.uint16).reshape(len(part), PERMS).astype(np.uint64)
-            keys, tag = [], 0
-            for lo, hi in zip(_EDGES, _EDGES[1:], strict=False):
+            inside = part["key"].to_numpy(np.int64).view(np.uint64) if "key" in part else None
+            keys, after = [], []
+            for chunk, (lo, hi) in enumerate(zip(_EDGES, _EDGES[1:], strict=False)):
                 for wrong in range(lo, hi):
-                    tag += 1
-                    h = np.full(len(part), tag, np.uint64)
+                    h = np.full(len(part), chunk * 256 + wrong + 1, np.uint64)
                     for i in range(lo, hi):
                         if i != wrong:
                             h = mix(h * _P1 + sig[:, i] + np.uint64(1))
-                    keys.append(h)
-            yield pd.DataFrame({"key": np.stack(keys, 1).ravel().view(np.int64), "id": np.repeat(part["id"].to_numpy(np.int64), tag)})
+                    keys.append(h if inside is None else mix(h ^ inside))
+                    after.append(np.full(len(part), True) if inside is None else part["chunk"].to_numpy() < chunk)
+            keep = np.stack(after, 1).ravel()
+            chunks = np.repeat([c for c in range(CHUNKS) for _ in range(_EDGES[c + 1] - _EDGES[c])], len(part)).reshape(-1, len(part)).T.ravel()
+            yield pd.DataFrame(
+                {
+                    "key": np.stack(keys, 1).ravel().view(np.int64)[keep],
+                    "chunk": chunks[keep].astype(np.int32),
+                    "id": np.repeat(part["id"].to_numpy(np.int64), len(keys))[keep],
+                }
+            )
 
 
 def _distance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -126,26 +142,6 @@ def _distance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"a": b["a"], "b": b["b"], "h": (x != y).sum(1).astype(np.int32)})
 
 
-def components(links: DataFrame) -> DataFrame:
-    """links (a, b) -> (id, component): the smallest id reachable. Large-star and small-star
-    rounds; each row is an edge, so a centre with very many neighbours stays many rows."""
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
-        both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = cut(large)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        near = large.join(low, "u")
-        small = near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(near.select("u", F.col("m").alias("v"))).distinct()
-        edges = cut(small)
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-        before = now
-
-
 def confirmed(pairs: DataFrame, sig: DataFrame, docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """pairs (a, b) of class ids -> (their signature distances, the links among them on full sets)."""
     a = sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
@@ -165,42 +161,100 @@ def confirmed(pairs: DataFrame, sig: DataFrame, docs: DataFrame, shingle: int, p
     return far, cut(links.select("a", "b"))
 
 
+class Links:
+    """The links found so far, the pairs whose distance is known, and the components."""
+
+    def __init__(self, sig: DataFrame, docs: DataFrame, shingle: int, percent: int):
+        self.sig, self.docs, self.shingle, self.percent = sig, docs, shingle, percent
+        self.links = self.far = None
+        self.nodes = sig.select("id")
+
+    def add(self, pairs: DataFrame) -> None:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        if self.far is not None:
+            pairs = pairs.join(self.far.select("a", "b"), ["a", "b"], "left_anti")
+        far, links = confirmed(pairs, self.sig, self.docs, self.shingle, self.percent)
+        self.far = far if self.far is None else cut(self.far.unionAll(far))
+        self.links = links if self.links is None else self.links.unionAll(links)
+        self.found = cut(components(None, self.links))
+
+    def named(self, members: DataFrame) -> DataFrame:
+        rows = members.join(self.found, "id", "left")
+        return rows.withColumn("component", F.coalesce("component", "id"))
+
+    def open(self, members: DataFrame) -> DataFrame:
+        """The members, with components, of buckets that still hold several."""
+        rows = stored(self.named(members))
+        spread = rows.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
+        return rows.join(spread.where("_lo <> _hi").select("key"), "key", "left_semi")
+
+
+def buckets(keyed: DataFrame) -> DataFrame:
+    """The rows of keys that several ids have. keyed is cheaper to make twice than to keep."""
+    shared = keyed.groupBy("key").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo <> _hi").select("key")
+    return stored(keyed.join(shared, "key", "left_semi"))
+
+
+def stars(members: DataFrame) -> DataFrame:
+    pivot = members.groupBy("key").agg(F.min("id").alias("a"))
+    return members.join(pivot, "key").select("a", F.col("id").alias("b")).where("a <> b")
+
+
+def across(members: DataFrame) -> DataFrame:
+    """Pairs of members of one bucket and different components that their distances to its pivot allow."""
+    left = members.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("h").alias("ha"))
+    right = members.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("h").alias("hb"))
+    return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("ha") - F.col("hb")) <= MOST)).select("a", "b")
+
+
+def with_partners(members: DataFrame) -> DataFrame:
+    """Members that some member of another component may be near to. Distances to the pivot are
+    summed in steps: the components at each, then those of the steps within reach."""
+    step = MOST + 1
+    bands = members.withColumn("band", F.floor(F.col("h") / step).cast("int"))
+    seen = bands.groupBy("key", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("h").alias("near"), F.max("h").alias("far"))
+    around = seen.select("key", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"), "lo", "hi", "near", "far", F.col("band").alias("_of"))
+    # of the next steps only what lies within reach of some distance: the nearest for the step above, the farthest below
+    flat = around.groupBy("key", "band").agg(
+        *[F.min(F.when(F.col("_of") == F.col("band") + i, F.col(c))).alias(f"{c}{i + 1}") for i in (-1, 0, 1) for c in ("lo", "hi", "near", "far")]
+    )
+    rows = bands.join(flat, ["key", "band"])
+    other = lambda i: (F.col(f"lo{i}") != F.col("component")) | (F.col(f"hi{i}") != F.col("component"))
+    keep = other(1) | (other(0) & (F.col("h") - F.col("far0") <= MOST)) | (other(2) & (F.col("near2") - F.col("h") <= MOST))
+    return rows.where(keep).select(*members.columns)
+
+
 def grouped(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_shingles, component_id, kept), a row for each row."""
-    signed = cut(docs.select("doc_id", "text").mapInPandas(partial(_signed, size=shingle), "doc_id bigint, n_shingles bigint, hi bigint, lo bigint, sig binary"))
+    signed = stored(docs.select("doc_id", "text").mapInPandas(partial(_signed, size=shingle), "doc_id bigint, n_shingles bigint, hi bigint, lo bigint, sig binary"))
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(some.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
+    classes = stored(some.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
     sig = classes.groupBy("id").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-
-    keyed = cut(classes.select("id", "sig").mapInPandas(_keyed, "key bigint, id bigint"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("_last")).where("pivot <> _last").drop("_last")
-    members = cut(keyed.join(shared, "key").select("key", "id", "pivot"))
-    stars = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    far, links = confirmed(stars, sig, docs, shingle, percent)
-    found = components(links)
-
-    # Buckets that still hold several components: pairs across components within the threshold.
-    label = F.coalesce("component", "id").alias("component")
-    tagged = cut(members.join(found, "id", "left").select("key", "id", "pivot", label))
-    cells = tagged.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_n"))
-    mixed = cells.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select("key")
-    open_ = tagged.join(mixed, "key", "left_semi").join(far.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "h"), ["pivot", "id"], "left")
-    open_ = cut(open_.select("key", "id", "pivot", "component", F.coalesce("h", F.lit(0)).alias("h")))
-    kinds = open_.select("key", "component").distinct()
-    across = kinds.select("key", F.col("component").alias("ca")).join(kinds.select("key", F.col("component").alias("cb")), "key").where("ca < cb")
-    left = open_.select("key", F.col("component").alias("ca"), F.col("id").alias("ia"), F.col("h").alias("ha"), "pivot")
-    right = open_.select("key", F.col("component").alias("cb"), F.col("id").alias("ib"), F.col("h").alias("hb"))
-    more = (
-        across.join(left, ["key", "ca"]).join(right, ["key", "cb"])
-        .where((F.abs(F.col("ha") - F.col("hb")) <= MOST) & (F.col("ia") != F.col("pivot")) & (F.col("ib") != F.col("pivot")))
-        .select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"))
-        .distinct()
-    )
-    more = cut(more.join(far.select("a", "b"), ["a", "b"], "left_anti"))
-    _, new = confirmed(more, sig, docs, shingle, percent)
-    found = components(links.unionAll(new))
-
-    named = cut(classes.join(found, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("component_id")))
+    keys = "key bigint, chunk int, id bigint"
+
+    state = Links(sig, docs, shingle, percent)
+    members = buckets(classes.select("id", "sig").mapInPandas(_keyed, keys))
+    state.add(stars(members))
+
+    # the pivot of the bucket's largest component
+    rest = stored(state.open(members))
+    largest = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot"))
+    pivot = stored(largest.groupBy("key").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot")))
+    state.add(rest.join(pivot, "key").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
+
+    rest = state.open(rest.drop("component")).join(pivot, "key")
+    known = state.far.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "h")
+    ends = rest.withColumns({"_a": F.least("id", "pivot"), "_b": F.greatest("id", "pivot")}).join(known, ["_a", "_b"], "left")
+    rest = stored(with_partners(ends.select("key", "chunk", "id", "component", F.coalesce("h", F.lit(0)).alias("h"))))
+    sizes = stored(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
+    few = rest.join(sizes.where(F.col("n") <= SMALL).select("key"), "key", "left_semi")
+    many = rest.join(sizes.where(F.col("n") > SMALL).select("key"), "key", "left_semi")
+    finer = buckets(many.select("key", "chunk", "id").join(sig.select("id", "sig"), "id").select("key", "chunk", "id", "sig").mapInPandas(_keyed, keys))
+    state.add(across(few).unionAll(stars(finer)))
+    last = state.open(finer).withColumn("h", F.lit(0))
+    state.add(across(last))
+
+    named = stored(classes.join(state.found, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("component_id")))
     out = signed.drop("sig").join(named, ["hi", "lo"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ringfield.llm.common import before_sum, cut, fine_buckets
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-CACHE = 400_000  # words whose ids a worker remembers; beyond that it forgets all and goes on
+CACHE = 500_000  # words whose ids a worker remembers as recent ones
 
 _ODD = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile("[ \t\n\r]+")
@@ -47,47 +47,81 @@ class Ids:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.cores = Tokenizer.from_file(path), {}, {}
-
-    def encoded(self, new: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False):
-            yield np.asarray(e.ids, dtype="<u4").tobytes()
+        self.tokenizer, self.known, self.cores = Tokenizer.from_file(path), Recent(), Recent()
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run of letters
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def encoded(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Letters alone are one run each, so many such words are encoded as one text and cut at run ends."""
+        letters = [w for w in new if w.isalpha()]
+        for lo in range(0, len(letters), 2000):
+            some = letters[lo : lo + 2000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            yield from zip(some, (raw[i:j] for i, j in zip([0, *ends], ends, strict=False)), strict=True)
+        others = [w for w in new if not w.isalpha()]
+        for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            yield w, np.asarray(e.ids, dtype="<u4").tobytes()
 
     @staticmethod
     def split(word: str) -> tuple[str, ...]:
         if not word.isascii():
             return (word,)
+        if word.isalpha():
+            return (word.lower(),)
         m = _TAIL.match(word)
         return (m[1].lower(), m[2]) if m else (word.lower(),)
 
     def learn(self, new: list[str]) -> None:
         parts = [self.split(w) for w in new]
-        if len(self.cores) > CACHE:
-            self.cores.clear()
-        unknown = list({p for x in parts for p in x if p not in self.cores})
-        for p, b in zip(unknown, self.encoded(unknown), strict=True):
-            self.cores[p] = b
+        cores = self.cores
+        unknown = cores.missing({p for x in parts for p in x})
+        for p, b in self.encoded(unknown):
+            cores[p] = b
         for w, x in zip(new, parts, strict=True):
-            self.known[w] = b"".join([self.cores[p] for p in x])
+            self.known[w] = cores[x[0]] if len(x) == 1 else cores[x[0]] + cores[x[1]]
 
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
         split = [() if not t else _BLANKS.split(t) if _ODD.search(t) else t.split() for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = [w for w in set().union(*split) if w not in self.known]
+        new = self.known.missing(set().union(*split))
         if new:
             self.learn(new)
         for ws in split:
             yield b"".join(map(self.known.__getitem__, ws))
 
 
+class Recent(dict):
+    """Remembers entries; when there are CACHE of them they become the old ones, which stay
+    known as long as they are asked for before the next change."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def missing(self, keys: set) -> list:
+        """The keys that are not known, in sorted order; afterwards all others can be read."""
+        if len(self) > CACHE:
+            self.old = dict(self)
+            self.clear()
+        out = []
+        for k in keys.difference(self):
+            v = self.old.get(k)
+            if v is None:
+                out.append(k)
+            else:
+                self[k] = v
+        return sorted(out)
+
+
 def pieces_of(batches: Iterator[pd.DataFrame], path: str, capacity: int) -> Iterator[pd.DataFrame]:
     ids = Ids(path)
     end = b"\x00\x00\x00\x00"
     for batch in batches:
         rows: list[tuple] = []
-        for lo in range(0, len(batch), 64):
-            some = batch.iloc[lo : lo + 64]
+        for lo in range(0, len(batch), 256):
+            some = batch.iloc[lo : lo + 256]
             for doc, data in zip(some["doc_id"], ids.batch([x if isinstance(x, str) else None for x in some["text"]]), strict=True):
                 data += end
                 n = len(data) // 4

@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 QUERIES = {
+    "op1_scoring": "scoring",
     "op2_sharding": "sharding",
     "op3_mixing": "mixing",
     "op4_chat": "chat",

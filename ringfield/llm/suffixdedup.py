@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringfield.llm.chunks import MAX_ID, bucket_slices, packed_keys, plan_sizes, unpacked_keys
-from ringfield.llm.common import stored
+from ringfield.llm.common import bucketed, stored
 from ringfield.llm.neardup import mix
 
 LENGTH, K = 50, 26
@@ -56,7 +56,6 @@ RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_
 _R = np.random.default_rng(50)
 _BYTE = _R.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -64,7 +63,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
         return np.concatenate(([np.uint64(1)], np.cumprod(np.full(n, base, np.uint64))))
 
 
-_UP, _DOWN = _powers(_BASE, 1 << 12), _powers(_INVERSE, 1 << 12)
+_UP = _powers(_BASE, 64)
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -128,16 +127,15 @@ class Chunk:
             yield lo, hi
             lo = hi
 
-    def runs(self, lo: int, hi: int) -> tuple[np.ndarray, ...]:
-        """Of documents lo to hi: each segment's start, windows, anchor's place in it, anchor key, hash, document."""
+    def runs(self, lo: int, hi: int, spans: bool) -> tuple[np.ndarray, ...]:
+        """Of documents lo to hi: each segment's start, windows, anchor's place in it, anchor key, hash (if spans), document."""
         base = int(self.ends[lo] - self.sizes[lo])
         x = self.data[base : int(self.ends[hi - 1])]
         n = len(x)
         if n < LENGTH:
             return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
-        value = _BYTE[x]
-        # hash of x[i:i+k]: polynomial in blocks of 4096, so that the power tables stay short
-        h = window_hash(value, K)
+        powers = doubled(_BYTE[x], spans)
+        h = window_hash(powers, K)
         order = mix(h)
         v = (order & ~np.uint64((1 << 28) - 1)) | np.arange(len(h), dtype=np.uint64)
         m = v
@@ -153,37 +151,54 @@ class Chunk:
         first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (ok[1:] != ok[:-1] + 1)])
         count = np.diff(np.r_[first, len(ok)])
         s, anchor = ok[first], a[first]
-        return base + s, count, anchor - s, order[anchor], span_hash(value, s, s + count - 1 + LENGTH), doc[s]
+        return base + s, count, anchor - s, order[anchor], span_hash(powers, s, s + count - 1 + LENGTH) if spans else order[anchor], doc[s]
 
 
-def window_hash(value: np.ndarray, k: int) -> np.ndarray:
-    """Of all windows of k values; by doubling, so that it depends on nothing but the window."""
+def doubled(value: np.ndarray, spans: bool = True) -> dict[int, np.ndarray]:
+    """Hashes of all windows of 1, 2, 4, 8, 16 and, for spans, 32 values."""
     with np.errstate(over="ignore"):
         powers, w = {1: value}, 1
-        while 2 * w <= k:
+        while w < (32 if spans else 16) and len(value) > w:
             powers[2 * w] = powers[w][:-w] * _UP[w] + powers[w][w:]
             w *= 2
-        out, have = powers[w], w
-        for bit in sorted((p for p in powers if p < w), reverse=True):
-            if have + bit <= k:
-                right = powers[bit][have : have + len(value) - have - bit + 1]
-                out = out[: len(right)] * _UP[bit] + right
-                have += bit
+        return powers
+
+
+def window_hash(powers: dict[int, np.ndarray], k: int) -> np.ndarray:
+    """Of all windows of k values: those of the powers of two that add up to k, in falling order."""
+    with np.errstate(over="ignore"):
+        n, out, have = len(powers[1]), None, 0
+        for w in (32, 16, 8, 4, 2, 1):
+            if k & w:
+                part = powers[w][have : n - k + have + 1]
+                out = part if out is None else out * _UP[w] + part
+                have += w
         return out
 
 
-def span_hash(value: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Of spans of LENGTH to LONGEST values: the hashes of their first and last LENGTH windows and the length."""
-    h = window_hash(value, LENGTH)
+def span_hash(powers: dict[int, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of spans of LENGTH to LONGEST values: from their first and last LENGTH values and the length."""
+    h = window_hash(powers, LENGTH)
     return mix(h[start] * _BASE + mix(h[end - LENGTH])) + (end - start).astype(np.uint64)
 
 
+def text_hash(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """span_hash of texts that follow each other, some megabytes at a time."""
+    out = np.empty(len(sizes), np.uint64)
+    for lo in range(0, len(sizes), 20_000):
+        hi = min(lo + 20_000, len(sizes))
+        base, end = begins[lo], begins[hi - 1] + sizes[hi - 1]
+        at = begins[lo:hi] - base
+        out[lo:hi] = span_hash(doubled(_BYTE[text[base:end]]), at, at + sizes[lo:hi])
+    return out
+
+
 def _anchors(key, pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """Per bucket the chunk's distinct anchor keys, and whether more than one document has them."""
     c = Chunk(pdf.iloc[0])
     keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for lo, hi in c.blocks():
-        r = c.runs(lo, hi)
+        r = c.runs(lo, hi, spans=False)
         keys.append(r[3])
         docs.append(c.ids[r[5]])
     k, d = np.concatenate(keys), np.concatenate(docs)
@@ -194,8 +209,10 @@ def _anchors(key, pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
     if len(first):
         many = (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)).astype(np.uint8)
     k = k[first]
-    rows = [(b, int(key[0]), zstandard.ZstdCompressor(level=1).compress(packed_keys(k[lo:hi]) + np.packbits(many[lo:hi]).tobytes()) ) for b, lo, hi in bucket_slices(k, buckets)]
-    rows = [(b, ch, np.int64(hi - lo).tobytes() + body) for (b, ch, body), (_, lo, hi) in zip(rows, bucket_slices(k, buckets), strict=True)]
+    rows = []
+    for b, lo, hi in bucket_slices(k, buckets):
+        body = zstandard.ZstdCompressor(level=1).compress(packed_keys(k[lo:hi]) + np.packbits(many[lo:hi]).tobytes())
+        rows.append((b, int(key[0]), np.int64(hi - lo).tobytes() + body))
     return pd.DataFrame(rows, columns=["bucket", "chunk", "body"])
 
 
@@ -223,7 +240,7 @@ def _segments(key, left: pd.DataFrame, right: pd.DataFrame, buckets: int) -> pd.
     if not len(left):
         return pd.DataFrame({"bucket": [], "chunk": [], "body": []})
     c = Chunk(left.iloc[0])
-    found = [c.runs(lo, hi) for lo, hi in c.blocks()]
+    found = [c.runs(lo, hi, spans=True) for lo, hi in c.blocks()]
     start, count, place, k, h, doc = (np.concatenate(x) for x in zip(*found, strict=True))
     unique = np.unique(k)
     flag = np.zeros(len(unique), bool)
@@ -336,8 +353,7 @@ def _compared(key, pdf: pd.DataFrame) -> pd.DataFrame:
     k, windows, low, text = (np.concatenate(x) for x in zip(*parts, strict=True))
     sizes = windows.astype(np.int64) + LENGTH - 1
     begins = np.cumsum(sizes) - sizes
-    value = _BYTE[text]
-    h = span_hash(value, begins, begins + sizes)
+    h = text_hash(text, begins, sizes)
     order = np.lexsort((h, k))
     fresh = np.r_[True, (k[order][1:] != k[order][:-1]) | (h[order][1:] != h[order][:-1])]
     first = np.flatnonzero(fresh)
@@ -395,7 +411,7 @@ def _removed(key, left: pd.DataFrame, right: pd.DataFrame, buckets: int) -> pd.D
 def deduped(docs: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
     """docs (doc_id, text) -> RESULT; spans: starts and ends of the removed runs, as 64-bit integers."""
     chunk_bytes, buckets = plan_sizes(docs, chunk_bytes)
-    chunks = stored(docs.select("doc_id", "text").mapInPandas(partial(_chunked, size=chunk_bytes), CHUNK))
+    chunks = bucketed(docs.select("doc_id", "text").mapInPandas(partial(_chunked, size=chunk_bytes), CHUNK), "chunk", buckets)
     by = lambda f: bound(f, buckets)
     asked = chunks.groupBy("chunk").applyInPandas(by(_anchors), ASK)
     flags = asked.groupBy("bucket").applyInPandas(_repeated, BACK)
