@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import importlib
+
+from ringfield.plans.registry import QUERIES, SQL
+
+MODULES = ("grid", "objects")
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f"ringfield.plans.{m}")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(SQL)
