@@ -244,7 +244,7 @@ def _segments(key, left: pd.DataFrame, right: pd.DataFrame, buckets: int) -> pd.
     start, count, place, k, h, doc = (np.concatenate(x) for x in zip(*found, strict=True))
     unique = np.unique(k)
     flag = np.zeros(len(unique), bool)
-    replies = dict(zip(right["bucket"], right["body"], strict=True))
+    replies = dict(zip(right["bucket"], right["body"], strict=True)) if len(right) else {}
     for b, lo, hi in bucket_slices(unique, buckets):
         flag[lo:hi] = np.unpackbits(np.frombuffer(replies[b], np.uint8), count=hi - lo)
     keep = np.flatnonzero(flag[np.searchsorted(unique, k)])
