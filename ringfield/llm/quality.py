@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringfield.llm.common import SPACES, cut, words
+from ringfield.llm.common import SPACES, cut, stored, words
 
 MIN_WORDS = 50
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -118,7 +118,8 @@ def posterior(votes: tuple[int, ...], share: float, theta: list[tuple[float, flo
 
 def judged(docs: DataFrame, text: str = "text", at_least: float = 0.5) -> DataFrame:
     """docs with FEATURES, base_failed, quality (the posterior, double) and kept."""
-    return verdict(features(docs, text), at_least)
+    # a written table: a filter on the verdict would otherwise copy the text expressions into itself
+    return verdict(stored(features(docs, text)), at_least)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
