@@ -66,11 +66,11 @@ def cell_stats(cells: DataFrame) -> DataFrame:
 
 
 def cell_parent(cells: DataFrame) -> DataFrame:
-    """The cell of the next level that holds the centre; null at the last."""
+    """The cell of the next level that holds the centre; the last level has none."""
     up = level_resolution(F.col("level") + 1)
-    return cells.select(
+    return cells.where("level < 3").select(
         *KEY,
-        F.when(F.col("level") < 3, F.col("level") + 1).alias("parent_level"),
+        (F.col("level") + 1).alias("parent_level"),
         cell_index(centre("ix", "resolution"), up).alias("parent_ix"),
         cell_index(centre("iy", "resolution"), up).alias("parent_iy"),
     )

@@ -61,8 +61,8 @@ def cell_class(spark, sf_dir):
 @query(
     "cell_parent",
     q(
-        f"SELECT {KEY}, CASE WHEN level < 3 THEN level + 1 END AS parent_level, CAST(floor(center_x / up) AS BIGINT) AS parent_ix, CAST(floor(center_y / up) AS BIGINT) AS parent_iy"
-        f" FROM (SELECT *, {size_of('(level + 1)')} AS up FROM stats)",
+        f"SELECT {KEY}, level + 1 AS parent_level, CAST(floor(center_x / up) AS BIGINT) AS parent_ix, CAST(floor(center_y / up) AS BIGINT) AS parent_iy"
+        f" FROM (SELECT *, {size_of('(level + 1)')} AS up FROM stats WHERE level < 3)",
         "stats",
     ),
 )
