@@ -9,7 +9,8 @@ a smaller id. Equal strings are found in three steps.
    stay, so no equal windows are lost.
 2. Segments with the same minimiser meet in one bucket, equal ones as one with its smallest
    document id, summed in each chunk of the corpus before they are sent.
-3. In a bucket, minimisers with several different segments form collections. A collection's
+3. In a bucket, minimisers with several different segments form collections of what their
+   segments may share (windows whose hash is not the only one of its value). A collection's
    Burrows-Wheeler transform and longest common prefixes are built column by column: each round
    puts one more symbol, from the right, in front of every segment; the suffixes of the round
    are put in place by the stable order of the transform's symbols, and a common prefix is one
@@ -45,8 +46,10 @@ from ringfield.llm.neardup import mix
 LENGTH, K = 50, 26
 W = LENGTH - K + 1
 LONGEST = LENGTH + W - 1
-BLOCK = 1 << 20
-COLLECTION = 20_000  # segments whose transform is built at a time
+BLOCK = 1 << 19
+COLLECTION = 6_000  # segments whose transform is built at a time
+
+FILTER = np.uint64(0xFFFFFFFFFFFF0000)  # 48 bits tell anchors apart well enough to drop those of one document
 
 CHUNK = "chunk bigint, ids binary, sizes binary, body binary"
 ASK = "bucket int, chunk bigint, body binary"
@@ -199,7 +202,7 @@ def _anchors(key, pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
     keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for lo, hi in c.blocks():
         r = c.runs(lo, hi, spans=False)
-        keys.append(r[3])
+        keys.append(r[3] & FILTER)
         docs.append(c.ids[r[5]])
     k, d = np.concatenate(keys), np.concatenate(docs)
     order = np.argsort(k, kind="stable")
@@ -241,34 +244,41 @@ def _segments(key, left: pd.DataFrame, right: pd.DataFrame, buckets: int) -> pd.
         return pd.DataFrame({"bucket": [], "chunk": [], "body": []})
     c = Chunk(left.iloc[0])
     found = [c.runs(lo, hi, spans=True) for lo, hi in c.blocks()]
-    start, count, place, k, h, doc = (np.concatenate(x) for x in zip(*found, strict=True))
-    unique = np.unique(k)
+    start, count, _, k, h, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+    unique = np.unique(k & FILTER)
     flag = np.zeros(len(unique), bool)
     replies = dict(zip(right["bucket"], right["body"], strict=True)) if len(right) else {}
     for b, lo, hi in bucket_slices(unique, buckets):
         flag[lo:hi] = np.unpackbits(np.frombuffer(replies[b], np.uint8), count=hi - lo)
-    keep = np.flatnonzero(flag[np.searchsorted(unique, k)])
-    start, count, place, k, h, doc = (x[keep] for x in (start, count, place, k, h, doc))
+    keep = np.flatnonzero(flag[np.searchsorted(unique, k & FILTER)])
+    start, count, k, h, doc = (x[keep] for x in (start, count, k, h, doc))
     order = np.lexsort((h, k))
-    start, count, place, k, h, doc = (x[order] for x in (start, count, place, k, h, doc))
-    fresh = np.r_[True, (k[1:] != k[:-1]) | (h[1:] != h[:-1])] if len(k) else np.zeros(0, bool)
-    first = np.flatnonzero(fresh)
-    low = np.minimum.reduceat(c.ids[doc], first) if len(first) else np.zeros(0, np.int64)
-    rows = []
-    uk, us, uc, up = k[first], start[first], count[first], place[first]
+    fresh = np.r_[True, (k[order][1:] != k[order][:-1]) | (h[order][1:] != h[order][:-1])] if len(k) else np.zeros(0, bool)
+    begins = np.flatnonzero(fresh)
+    low = np.minimum.reduceat(c.ids[doc][order], begins) if len(begins) else np.zeros(0, np.int64)
+    first = order[begins]
+    index = np.empty(len(k), np.int32)
+    index[order] = np.cumsum(fresh) - 1
+    rows, numbers = [], np.zeros(buckets, np.int64)
+    uk, us, uc = k[first], start[first], count[first]
     for b, lo, hi in bucket_slices(uk, buckets):
         length = uc[lo:hi] + LENGTH - 1
         ends = np.cumsum(length)
         text = c.data[np.repeat(us[lo:hi] - (ends - length), length) + np.arange(ends[-1])]
-        rows.append((b, int(key[0]), packed(uk[lo:hi], uc[lo:hi].astype(np.uint8), low[lo:hi], text)))
-    rows.append((-1, int(key[0]), packed(start, (np.cumsum(fresh) - 1).astype(np.int32), doc.astype(np.int32), uk, uc.astype(np.uint8))))
+        numbers[b] = hi - lo
+        rows.append((b, int(key[0]), packed(np.frombuffer(packed_keys(uk[lo:hi]), np.uint8), uc[lo:hi].astype(np.uint8), low[lo:hi], text)))
+    # where the segments lie: they run in the order of the text, so their distances are small
+    rows.append((-1, int(key[0]), packed(np.diff(start, prepend=0).astype(np.int32), index, numbers, uc.astype(np.uint8))))
     return pd.DataFrame(rows, columns=["bucket", "chunk", "body"])
 
 
-def transform(segments: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def transform(segments: np.ndarray, sizes: np.ndarray, reach: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Collection BWT and LCP, column by column. segments: a row of bytes each, aligned right.
-    Returns the sorted suffixes' segment, length and common prefix with the suffix before."""
+    Returns the sorted suffixes' segment, length and common prefix with the suffix before.
+    Common prefixes that cannot grow to `reach` in the rounds left are bounded, not exact."""
     m, width = segments.shape
+    rounds = int(sizes.max())
+    flat, start = segments.ravel(), (np.arange(m) * width).astype(np.int32)
     with tempfile.TemporaryDirectory(prefix="bwt-") as folder:
         names = {x: Path(folder, x) for x in ("bwt", "lcp", "who", "len")}
 
@@ -280,38 +290,43 @@ def transform(segments: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
             return np.fromfile(names[x], kind)
 
         def ahead(who: np.ndarray, length: np.ndarray) -> np.ndarray:
-            """The symbol before each suffix, plus one; 0 at a segment's start."""
-            c = segments[who, np.maximum(width - 1 - length.astype(np.int32), 0)].astype(np.uint16) + 1
+            """The symbol before each suffix, plus one (no UTF-8 text has the byte 255); 0 at a segment's start."""
+            c = flat[np.maximum(start[who] + (width - 1) - length, 0)] + np.uint8(1)
             c[length >= sizes[who]] = 0
             return c
 
-        who, length = np.arange(m, dtype=np.int32), np.zeros(m, np.uint8)
-        write(bwt=ahead(who, length), lcp=np.zeros(m, np.uint8), who=who, len=length)
-        for _ in range(int(sizes.max())):
-            bwt, lcp = read("bwt", np.uint16), read("lcp", np.uint8)
-            order = np.argsort(bwt, kind="stable")
-            order = order[np.searchsorted(bwt[order], 1) :]  # segments that have begun bring nothing new
+        every, none = np.arange(m, dtype=np.int32), np.zeros(m, np.uint8)
+        write(bwt=ahead(every, none), lcp=none, who=every, len=none)
+        for left in range(rounds - 1, -1, -1):
+            bwt, lcp = read("bwt", np.uint8), read("lcp", np.uint8)
+            order = np.argsort(bwt, kind="stable")[len(bwt) - np.count_nonzero(bwt) :]  # segments that have begun bring nothing new
             c = bwt[order]
             new = np.zeros(len(order), np.uint8)
-            same = np.flatnonzero(c[1:] == c[:-1]) + 1
-            new[same] = np.minimum(least(lcp, order[same - 1] + 1, order[same]), 254) + 1
-            who = np.concatenate((np.arange(m, dtype=np.int32), read("who", np.int32)[order]))
-            length = np.concatenate((np.zeros(m, np.uint8), read("len", np.uint8)[order] + np.uint8(1)))
-            write(bwt=ahead(who, length), lcp=np.concatenate((np.zeros(m, np.uint8), new)), who=who, len=length)
+            same = np.flatnonzero(c[1:] == c[:-1])
+            before, after = order[same], order[same + 1]
+            low = np.minimum(lcp[before + 1], lcp[after])
+            wide = np.flatnonzero((after - before > 2) & (low > 0) & (low.astype(np.int16) + 1 + left >= reach))
+            if len(wide):
+                low[wide] = least(lcp, before[wide] + 1, after[wide])
+            new[same + 1] = np.minimum(low, 254) + 1
+            who = np.concatenate((every, read("who", np.int32)[order]))
+            length = np.concatenate((none, read("len", np.uint8)[order] + np.uint8(1)))
+            write(bwt=ahead(who, length), lcp=np.concatenate((none, new)), who=who, len=length)
         return read("who", np.int32), read("len", np.uint8), read("lcp", np.uint8)
 
 
 def least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """min(x[lo:hi+1]) for many ranges, from minima over powers of two."""
     out = np.empty(len(lo), x.dtype)
-    span = hi - lo + 1
-    level = np.frexp(span.astype(np.float64))[1] - 1
+    level = (np.frexp((hi - lo + 1).astype(np.float64))[1] - 1).astype(np.uint8)
+    order = np.argsort(level, kind="stable")
+    ends = np.searchsorted(level[order], np.arange(int(level.max()) + 2))
     table, width = x, 1
-    for k in range(int(level.max()) + 1 if len(level) else 0):
+    for k in range(len(ends) - 1):
         if k:
             table = np.minimum(table[:-width], table[width:])
             width *= 2
-        at = np.flatnonzero(level == k)
+        at = order[ends[k] : ends[k + 1]]
         out[at] = np.minimum(table[lo[at]], table[hi[at] - width + 1])
     return out
 
@@ -323,34 +338,64 @@ def lowest(text: np.ndarray, windows: np.ndarray, low: np.ndarray, group: np.nda
     ends, first = np.cumsum(sizes), np.cumsum(windows.astype(np.int64)) - windows
     out = np.repeat(low, windows)
     many = np.flatnonzero(np.bincount(group, minlength=1)[group] > 1)
-    at = 0
+    begin, windows = narrowed(text, (ends - sizes)[many], windows[many].astype(np.int64))
+    some = np.flatnonzero(windows)
+    many, begin, windows = many[some], begin[some], windows[some]
+    place = first[many] + begin - (ends - sizes)[many]  # of each segment's first window in out
+    sizes, at = windows + LENGTH - 1, 0
     while at < len(many):
         to = min(at + COLLECTION, len(many))
         while to < len(many) and group[many[to]] == group[many[to - 1]]:
             to += 1
-        some = many[at:to]
+        part = slice(at, to)
         at = to
-        width = int(sizes[some].max())
-        rows = np.zeros((len(some), width), np.uint8)
-        column = np.arange(width)[None, :] - (width - sizes[some])[:, None]
+        n, width = sizes[part], int(sizes[part].max())
+        rows = np.zeros((len(n), width), np.uint8)
+        column = np.arange(width)[None, :] - (width - n)[:, None]
         inside = column >= 0
-        rows[inside] = text[((ends - sizes)[some][:, None] + column)[inside]]
-        who, length, lcp = transform(rows, sizes[some])
+        rows[inside] = text[(begin[part][:, None] + column)[inside]]
+        who, length, lcp = transform(rows, n, LENGTH)
         long = np.flatnonzero(length >= LENGTH)
         # a suffix of 50 or more bytes that follows another one with 50 common bytes is in its group;
         # no shorter suffix stands between two that share 50
         start = np.flatnonzero(np.r_[True, (lcp[long][1:] < LENGTH) | (long[1:] != long[:-1] + 1)])
-        best = np.minimum.reduceat(low[some][who[long]], start)
+        best = np.minimum.reduceat(low[many[part]][who[long]], start)
         best = np.repeat(best, np.diff(np.r_[start, len(long)]))
-        window = sizes[some][who[long]] - length[long]
-        out[first[some][who[long]] + window] = best
+        out[place[part][who[long]] + n[who[long]] - length[long]] = best
     return out
 
 
+def narrowed(text: np.ndarray, begin: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each segment cut down to the windows from the first to the last whose hash occurs in
+    another window too; none, if there are none. A window with a hash of its own has no equal."""
+    ends = np.cumsum(windows)
+    hashes = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
+    for lo in range(0, len(begin), 10_000):
+        hi = min(lo + 10_000, len(begin))
+        w = windows[lo:hi]
+        base, end = int(begin[lo:hi].min()), int((begin[lo:hi] + w).max()) + LENGTH - 1
+        step = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+        hashes[ends[lo] - windows[lo] : ends[hi - 1]] = window_hash(doubled(_BYTE[text[base:end]]), LENGTH)[np.repeat(begin[lo:hi] - base, w) + step]
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order][1:] == hashes[order][:-1]
+    again = np.zeros(len(hashes), bool)
+    again[order[1:][same]] = True
+    again[order[:-1][same]] = True
+    hit = np.flatnonzero(again)
+    owner = np.searchsorted(ends, hit, side="right")
+    step = hit - (ends - windows)[owner]
+    lo, hi = np.full(len(begin), 1 << 30), np.full(len(begin), -1)
+    np.minimum.at(lo, owner, step)
+    np.maximum.at(hi, owner, step)
+    some = hi >= 0
+    return begin + np.where(some, lo, 0), np.where(some, hi - lo + 1, 0)
+
+
 def _compared(key, pdf: pd.DataFrame) -> pd.DataFrame:
     """Per chunk the smallest document of each window of its segments in this bucket."""
-    parts = [unpacked(b, np.uint64, np.uint8, np.int64, np.uint8) for b in pdf["body"]]
+    parts = [unpacked(b, np.uint8, np.uint8, np.int64, np.uint8) for b in pdf["body"]]
     k, windows, low, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+    k = np.concatenate([unpacked_keys(p[0].tobytes()) for p in parts])
     sizes = windows.astype(np.int64) + LENGTH - 1
     begins = np.cumsum(sizes) - sizes
     h = text_hash(text, begins, sizes)
@@ -369,7 +414,7 @@ def _compared(key, pdf: pd.DataFrame) -> pd.DataFrame:
     d_first = np.cumsum(windows[distinct].astype(np.int64)) - windows[distinct]
     rows, at = [], 0
     for chunk, p in zip(pdf["chunk"], parts, strict=True):
-        n = len(p[0])
+        n = len(p[1])
         w = windows[at : at + n].astype(np.int64)
         e = np.cumsum(w)
         rows.append((chunk, int(key[0]), packed(best[np.repeat(d_first[index[at : at + n]] - (e - w), w) + np.arange(e[-1])])))
@@ -382,9 +427,10 @@ def _removed(key, left: pd.DataFrame, right: pd.DataFrame, buckets: int) -> pd.D
         return pd.DataFrame({c.split()[0]: [] for c in RESULT.split(", ")})
     c = Chunk(left.iloc[0])
     replies = dict(zip(right["bucket"], right["body"], strict=True))
-    start, index, doc, uk, uc = unpacked(replies[-1], np.int64, np.int32, np.int32, np.uint64, np.uint8)
-    uc = uc.astype(np.int64)
-    low = [np.zeros(0, np.int64)] + [unpacked(replies[b], np.int64)[0] for b, _, _ in bucket_slices(uk, buckets)]
+    start, index, numbers, uc = unpacked(replies[-1], np.int32, np.int32, np.int64, np.uint8)
+    start, uc = np.cumsum(start.astype(np.int64)), uc.astype(np.int64)
+    doc = np.searchsorted(c.ends, start, side="right")
+    low = [np.zeros(0, np.int64)] + [unpacked(replies[b], np.int64)[0] for b in np.flatnonzero(numbers).tolist()]
     low, first = np.concatenate(low), np.cumsum(uc) - uc
     w = uc[index]
     e = np.cumsum(w)
@@ -408,7 +454,7 @@ def _removed(key, left: pd.DataFrame, right: pd.DataFrame, buckets: int) -> pd.D
     return out
 
 
-def deduped(docs: DataFrame, chunk_bytes: int = 8 << 20) -> DataFrame:
+def deduped(docs: DataFrame, chunk_bytes: int = 6 << 20) -> DataFrame:
     """docs (doc_id, text) -> RESULT; spans: starts and ends of the removed runs, as 64-bit integers."""
     chunk_bytes, buckets = plan_sizes(docs, chunk_bytes)
     chunks = bucketed(docs.select("doc_id", "text").mapInPandas(partial(_chunked, size=chunk_bytes), CHUNK), "chunk", buckets)
