@@ -6,7 +6,7 @@ import importlib
 
 from ringfield.plans.registry import QUERIES, SQL
 
-MODULES = ("grid", "objects")
+MODULES = ("grid", "objects", "evaluation")
 
 
 def _load() -> None:

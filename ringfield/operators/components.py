@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ringfield.functions import classify
 from ringfield.functions.geometry import gap
-from ringfield.operators.graph import components
+from ringfield.operators.graph import components_within
 
 
 def bucket_pairs(rows: DataFrame, by: list[str], x: str, y: str, size: float, reach: int = 1) -> DataFrame:
@@ -46,7 +46,7 @@ def cell_links(obstacles: DataFrame) -> DataFrame:
 def cell_components(obstacles: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """obstacles with component_id: the least cell of the component."""
     links = cell_links(obstacles) if links is None else links
-    found = components(obstacles.select(F.col("cell_id").alias("id")), links.select("a", "b"))
+    found = components_within("frame_id", obstacles.select("frame_id", F.col("cell_id").alias("id")), links).drop("frame_id")
     return obstacles.join(found.select(F.col("id").alias("cell_id"), F.col("component").alias("component_id")), "cell_id")
 
 
@@ -108,7 +108,7 @@ def component_links(features: DataFrame) -> DataFrame:
 def group_members(features: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """features with object_id: the least component of the object."""
     links = component_links(features) if links is None else links
-    found = components(features.select(F.col("component_id").alias("id")), links.select("a", "b"))
+    found = components_within("frame_id", features.select("frame_id", F.col("component_id").alias("id")), links).drop("frame_id")
     return features.join(found.select(F.col("id").alias("component_id"), F.col("component").alias("object_id")), "component_id")
 
 

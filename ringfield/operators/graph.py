@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +39,26 @@ def components(nodes: DataFrame | None, links: DataFrame) -> DataFrame:
     if nodes is None:
         return found
     return nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def components_within(by: str, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """As components(), for links that never leave a group of bounded size, such as the cells of
+    one scan: each group's links are joined in one task, without rounds. nodes (by, id), links (by, a, b)."""
+    found = nodes.groupBy(by).cogroup(links.groupBy(by)).applyInPandas(_joined, "_by bigint, id bigint, component bigint")
+    return found.withColumnRenamed("_by", by)
+
+
+def _joined(key: tuple, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    ids = [int(i) for i in nodes["id"]] if len(nodes) else []
+    up = {i: i for i in ids}
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for a, b in zip(links["a"], links["b"], strict=True) if len(links) else ():
+        a, b = root(int(a)), root(int(b))
+        up[max(a, b)] = min(a, b)  # the smaller id stays on top
+    return pd.DataFrame({"by": key[0], "id": pd.Series(ids, dtype="int64"), "component": pd.Series([root(i) for i in ids], dtype="int64")}).set_axis(["_by", "id", "component"], axis=1)
