@@ -28,26 +28,42 @@ from pyspark.sql import functions as F
 from ringfield.llm.common import before_sum, cut, fine_buckets
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-CACHE = 500_000  # words whose ids a worker remembers as recent ones
+CACHE = 800_000  # words whose ids a worker remembers as recent ones
 
-_ODD = re.compile("[\x1c-\x1f]")
 _BLANKS = re.compile("[ \t\n\r]+")
-_TAIL = re.compile(r"(?s)(.*[A-Za-z])([.,;:!?]+)\Z")
+_SYMBOL = re.compile(r"(?:[^\w\s]|_)[.,]\s")
+# kinds of bytes: white space, full stop or comma, separators 1C to 1F, other ASCII symbols, ASCII letters and digits, the rest
+_KIND = bytes(
+    32 if i in b" \t\n\r\x0b\x0c" else 46 if i in b".," else 88 if 0x1C <= i <= 0x1F else 117 if i > 127 else 97 if chr(i).isalnum() else 35
+    for i in range(256)
+)
+
+
+def words_of(text: str) -> list[str]:
+    """Pieces of a text that the tokenizer encodes one by one to the same ids: its words, where
+    that is safe in lower case and apart from a full stop or comma behind them, so that they recur."""
+    raw = (text + " ").encode("utf-8", "surrogatepass").lower()
+    kind = raw.translate(_KIND)
+    if b"X" in kind:  # white space for Python alone
+        return [w for w in _BLANKS.split(text) if w]
+    # marks that compose with letters, special tokens, and stops that run on from another symbol
+    if b"\xcc" in raw or b"\xcd" in raw or b"<|" in raw or b"#. " in kind or b".. " in kind or (b"u. " in kind and _SYMBOL.search(text + " ")):
+        return text.split()
+    plain = raw.decode("utf-8", "surrogatepass")
+    return plain.replace(". ", " . ").replace(", ", " , ").replace(".\n", " .\n").replace(",\n", " ,\n").split()
 
 
 class Ids:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     The vocabulary's tokenizer drops white space and never joins across it, so a text's ids are
-    those of its white-space-separated words in order, and words recur. A word of ASCII letters
-    is looked up in lower case and without the punctuation at its end, both of which the
-    tokenizer treats apart."""
+    those of its words in order, and words recur."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.cores = Tokenizer.from_file(path), Recent(), Recent()
+        self.tokenizer, self.known = Tokenizer.from_file(path), Recent()
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run of letters
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -65,29 +81,10 @@ class Ids:
         for w, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False), strict=True):
             yield w, np.asarray(e.ids, dtype="<u4").tobytes()
 
-    @staticmethod
-    def split(word: str) -> tuple[str, ...]:
-        if not word.isascii():
-            return (word,)
-        if word.isalpha():
-            return (word.lower(),)
-        m = _TAIL.match(word)
-        return (m[1].lower(), m[2]) if m else (word.lower(),)
-
-    def learn(self, new: list[str]) -> None:
-        parts = [self.split(w) for w in new]
-        cores = self.cores
-        unknown = cores.missing({p for x in parts for p in x})
-        for p, b in self.encoded(unknown):
-            cores[p] = b
-        for w, x in zip(new, parts, strict=True):
-            self.known[w] = cores[x[0]] if len(x) == 1 else cores[x[0]] + cores[x[1]]
-
     def batch(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [() if not t else _BLANKS.split(t) if _ODD.search(t) else t.split() for t in texts]
+        split = [words_of(t) if t else () for t in texts]
         new = self.known.missing(set().union(*split))
-        if new:
-            self.learn(new)
+        self.known.update(self.encoded(list(new)))
         for ws in split:
             yield b"".join(map(self.known.__getitem__, ws))
 
@@ -100,19 +97,16 @@ class Recent(dict):
         super().__init__()
         self.old: dict = {}
 
-    def missing(self, keys: set) -> list:
-        """The keys that are not known, in sorted order; afterwards all others can be read."""
+    def missing(self, keys: set) -> set:
+        """The keys that are not known; afterwards all others can be read."""
         if len(self) > CACHE:
             self.old = dict(self)
             self.clear()
-        out = []
-        for k in keys.difference(self):
-            v = self.old.get(k)
-            if v is None:
-                out.append(k)
-            else:
-                self[k] = v
-        return sorted(out)
+        out = keys.difference(self)
+        back = self.old.keys() & out
+        for k in back:
+            self[k] = self.old[k]
+        return out - back
 
 
 def pieces_of(batches: Iterator[pd.DataFrame], path: str, capacity: int) -> Iterator[pd.DataFrame]:
@@ -120,8 +114,8 @@ def pieces_of(batches: Iterator[pd.DataFrame], path: str, capacity: int) -> Iter
     end = b"\x00\x00\x00\x00"
     for batch in batches:
         rows: list[tuple] = []
-        for lo in range(0, len(batch), 256):
-            some = batch.iloc[lo : lo + 256]
+        for lo in range(0, len(batch), 1024):
+            some = batch.iloc[lo : lo + 1024]
             for doc, data in zip(some["doc_id"], ids.batch([x if isinstance(x, str) else None for x in some["text"]]), strict=True):
                 data += end
                 n = len(data) // 4
