@@ -44,7 +44,9 @@ def components(nodes: DataFrame | None, links: DataFrame) -> DataFrame:
 def components_within(by: str, nodes: DataFrame, links: DataFrame) -> DataFrame:
     """As components(), for links that never leave a group of bounded size, such as the cells of
     one scan: each group's links are joined in one task, without rounds. nodes (by, id), links (by, a, b)."""
-    found = nodes.groupBy(by).cogroup(links.groupBy(by)).applyInPandas(_joined, "_by bigint, id bigint, component bigint")
+    # fresh names for the columns: links are usually made from the nodes
+    nodes, links = nodes.select(F.col(by).alias("_g"), F.col("id").alias("id")), links.select(F.col(by).alias("_g"), F.col("a").alias("a"), F.col("b").alias("b"))
+    found = nodes.groupBy("_g").cogroup(links.groupBy("_g")).applyInPandas(_joined, "_by bigint, id bigint, component bigint")
     return found.withColumnRenamed("_by", by)
 
 

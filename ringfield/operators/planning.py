@@ -77,7 +77,9 @@ def plan_path(nodes: DataFrame, edges: DataFrame, start: tuple[float, float], go
     def call(key, left, right):
         return _path(key, left, right, start, goal, reach)
 
-    return nodes.where("NOT blocked").groupBy("frame_id").cogroup(edges.groupBy("frame_id")).applyInPandas(call, PATH)
+    free = nodes.where("NOT blocked").select(F.col("frame_id").alias("_f"), F.col("id").alias("id"), F.col("center_x").alias("center_x"), F.col("center_y").alias("center_y"))
+    links = edges.select(F.col("frame_id").alias("_f"), F.col("a").alias("a"), F.col("b").alias("b"), F.col("length").alias("length"))
+    return free.groupBy("_f").cogroup(links.groupBy("_f")).applyInPandas(call, PATH)
 
 
 def point_along(steps: DataFrame, by: str, order: str, share: float) -> DataFrame:
