@@ -45,6 +45,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def compact(df: DataFrame, rows: int = 1 << 17) -> DataFrame:
+    """As cut(), in as few partitions as its counted rows need: later shuffles of a small table write few files."""
+    done = cut(df)
+    return done.coalesce(done.count() // rows + 1)
+
+
 def bucketed(df: DataFrame, key: str, least: int) -> DataFrame:
     """df as a table of the shared warehouse, bucketed by key: grouping it by key again and
     again, alone or with other rows, shuffles only the other rows. For rows that are few and

@@ -37,10 +37,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringfield.llm.common import cut, stored
+from ringfield.llm.common import compact, cut, small, stored
 from ringfield.operators.graph import components
 
-PERMS, MOST, CHUNKS, SMALL = 80, 31, 17, 12
+PERMS, MOST, CHUNKS, SMALL = 80, 31, 17, 6
 CACHE = 1_000_000
 
 _R = np.random.default_rng(20240917)
@@ -130,6 +130,7 @@ def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 {
                     "key": np.stack(keys, 1).ravel().view(np.int64)[keep],
                     "chunk": chunks[keep].astype(np.int32),
+                    "step": np.repeat(part["step"].to_numpy(np.int32), len(keys))[keep],
                     "id": np.repeat(part["id"].to_numpy(np.int64), len(keys))[keep],
                 }
             )
@@ -139,26 +140,24 @@ def _distance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         if len(b):
             x, y = (np.frombuffer(b"".join(b[c]), np.uint16).reshape(len(b), PERMS) for c in ("sig_a", "sig_b"))
-            yield pd.DataFrame({"a": b["a"], "b": b["b"], "h": (x != y).sum(1).astype(np.int32)})
+            yield pd.DataFrame({"a": b["a"], "b": b["b"], "h": (x != y).sum(1).astype(np.int32), "fits": b["fits"]})
 
 
 def confirmed(pairs: DataFrame, sig: DataFrame, docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """pairs (a, b) of class ids -> (their signature distances, the links among them on full sets)."""
     a = sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
     b = sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"))
-    far = cut(pairs.join(a, "a").join(b, "b").select("a", "b", "sig_a", "sig_b").mapInPandas(_distance, "a bigint, b bigint, h int"))
-    near = cut(
-        far.where(F.col("h") <= MOST).join(a.drop("sig_a"), "a").join(b.drop("sig_b"), "b")
-        .where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)).select("a", "b", "n_a", "n_b")
-    )
-    ids = cut(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", "text")
-    sets = cut(texts.mapInPandas(partial(_sets, size=shingle), "id bigint, shingles array<bigint>").where("id is not null"))
+    both = pairs.join(a, "a").join(b, "b").withColumn("fits", F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    far = compact(both.select("a", "b", "sig_a", "sig_b", "fits").mapInPandas(_distance, "a bigint, b bigint, h int, fits boolean"))
+    near = far.where((F.col("h") <= MOST) & F.col("fits")).select("a", "b")
+    ids = compact(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    texts = docs.join(small(ids), "doc_id", "left_semi").select("doc_id", "text")
+    sets = texts.mapInPandas(partial(_sets, size=shingle), "id bigint, shingles array<bigint>").where("id is not null")
     x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     inter = F.size(F.array_intersect("x", "y"))
     links = near.join(x, "a").join(y, "b").where(inter * 100 >= (F.size("x") + F.size("y") - inter) * percent)
-    return far, cut(links.select("a", "b"))
+    return far.drop("fits"), compact(links.select("a", "b"))
 
 
 class Links:
@@ -174,9 +173,9 @@ class Links:
         if self.far is not None:
             pairs = pairs.join(self.far.select("a", "b"), ["a", "b"], "left_anti")
         far, links = confirmed(pairs, self.sig, self.docs, self.shingle, self.percent)
-        self.far = far if self.far is None else cut(self.far.unionAll(far))
+        self.far = far if self.far is None else compact(self.far.unionAll(far))
         self.links = links if self.links is None else self.links.unionAll(links)
-        self.found = cut(components(None, self.links))
+        self.found = compact(components(None, self.links))
 
     def named(self, members: DataFrame) -> DataFrame:
         rows = members.join(self.found, "id", "left")
@@ -190,9 +189,20 @@ class Links:
 
 
 def buckets(keyed: DataFrame) -> DataFrame:
-    """The rows of keys that several ids have. keyed is cheaper to make twice than to keep."""
-    shared = keyed.groupBy("key").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo <> _hi").select("key")
-    return stored(keyed.join(shared, "key", "left_semi"))
+    """The rows of keys that several ids have, then of keys and neighbouring sizes. keyed is
+    cheaper to make twice than to keep.
+
+    step is the logarithm of a set's size to the base 100 / percent (1.25), rounded down: sets of similarity 0.8
+    lie in one step or in two that follow each other, so each row goes to its own step and to the
+    one above, and such pairs meet."""
+
+    def shared(rows: DataFrame) -> DataFrame:
+        keys = rows.groupBy("key").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo <> _hi").select("key")
+        return rows.join(keys, "key", "left_semi")
+
+    first = stored(shared(keyed))
+    by_size = first.select("key", "chunk", "step", "id", F.explode(F.array("step", F.col("step") + 1)).alias("_s"))
+    return stored(shared(by_size.select(F.xxhash64("key", "_s").alias("key"), "chunk", "step", "id")))
 
 
 def stars(members: DataFrame) -> DataFrame:
@@ -230,10 +240,11 @@ def grouped(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = stored(some.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
     sig = classes.groupBy("id").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    keys = "key bigint, chunk int, id bigint"
+    keys = "key bigint, chunk int, step int, id bigint"
 
     state = Links(sig, docs, shingle, percent)
-    members = buckets(classes.select("id", "sig").mapInPandas(_keyed, keys))
+    step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int").alias("step")
+    members = buckets(classes.select("id", "sig", step).mapInPandas(_keyed, keys))
     state.add(stars(members))
 
     # the pivot of the bucket's largest component
@@ -245,11 +256,11 @@ def grouped(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     rest = state.open(rest.drop("component")).join(pivot, "key")
     known = state.far.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "h")
     ends = rest.withColumns({"_a": F.least("id", "pivot"), "_b": F.greatest("id", "pivot")}).join(known, ["_a", "_b"], "left")
-    rest = stored(with_partners(ends.select("key", "chunk", "id", "component", F.coalesce("h", F.lit(0)).alias("h"))))
+    rest = stored(with_partners(ends.select("key", "chunk", "step", "id", "component", F.coalesce("h", F.lit(0)).alias("h"))))
     sizes = stored(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
     few = rest.join(sizes.where(F.col("n") <= SMALL).select("key"), "key", "left_semi")
     many = rest.join(sizes.where(F.col("n") > SMALL).select("key"), "key", "left_semi")
-    finer = buckets(many.select("key", "chunk", "id").join(sig.select("id", "sig"), "id").select("key", "chunk", "id", "sig").mapInPandas(_keyed, keys))
+    finer = buckets(many.select("key", "chunk", "step", "id").join(sig.select("id", "sig"), "id").select("key", "chunk", "step", "id", "sig").mapInPandas(_keyed, keys))
     state.add(across(few).unionAll(stars(finer)))
     last = state.open(finer).withColumn("h", F.lit(0))
     state.add(across(last))
