@@ -24,13 +24,15 @@ def components(nodes: DataFrame | None, links: DataFrame) -> DataFrame:
     Large-star and small-star rounds, so their number grows with the logarithm of the longest
     path; an edge is a row, and no node's neighbours are gathered in one place."""
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    parts = edges.count() // (1 << 17) + 1  # edges never grow in number; a small table keeps to few files
+    edges = edges.coalesce(parts)
     before = None
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         near = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        edges = cut(near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(near.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut(near.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(near.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
