@@ -373,9 +373,12 @@ def narrowed(text: np.ndarray, begin: np.ndarray, windows: np.ndarray) -> tuple[
     for lo in range(0, len(begin), 10_000):
         hi = min(lo + 10_000, len(begin))
         w = windows[lo:hi]
-        base, end = int(begin[lo:hi].min()), int((begin[lo:hi] + w).max()) + LENGTH - 1
+        # only these segments' bytes, side by side: what lies between them may be much more
+        size = w + LENGTH - 1
+        ahead = np.cumsum(size) - size
+        some = text[np.repeat(begin[lo:hi] - ahead, size) + np.arange(int(size.sum()))]
         step = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
-        hashes[ends[lo] - windows[lo] : ends[hi - 1]] = window_hash(doubled(_BYTE[text[base:end]]), LENGTH)[np.repeat(begin[lo:hi] - base, w) + step]
+        hashes[ends[lo] - windows[lo] : ends[hi - 1]] = window_hash(doubled(_BYTE[some]), LENGTH)[np.repeat(ahead, w) + step]
     order = np.argsort(hashes, kind="stable")
     same = hashes[order][1:] == hashes[order][:-1]
     again = np.zeros(len(hashes), bool)
@@ -432,14 +435,15 @@ def _removed(key, left: pd.DataFrame, right: pd.DataFrame, buckets: int) -> pd.D
     doc = np.searchsorted(c.ends, start, side="right")
     low = [np.zeros(0, np.int64)] + [unpacked(replies[b], np.int64)[0] for b in np.flatnonzero(numbers).tolist()]
     low, first = np.concatenate(low), np.cumsum(uc) - uc
-    w = uc[index]
-    e = np.cumsum(w)
-    step = np.arange(e[-1] if len(e) else 0) - np.repeat(e - w, w)
-    at = np.repeat(start, w) + step
-    hit = at[low[np.repeat(first[index], w) + step] < np.repeat(c.ids[doc], w)]
     change = np.zeros(len(c.data) + 1, np.int32)
-    np.add.at(change, hit, 1)
-    np.add.at(change, hit + LENGTH, -1)
+    for i in range(0, len(index), 50_000):
+        part = slice(i, i + 50_000)
+        w = uc[index[part]]
+        step = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+        at = np.repeat(start[part], w) + step
+        hit = at[low[np.repeat(first[index[part]], w) + step] < np.repeat(c.ids[doc[part]], w)]
+        np.add.at(change, hit, 1)
+        np.add.at(change, hit + LENGTH, -1)
     gone = np.cumsum(change[:-1]) > 0
     rows, data = [], c.data
     for i in range(len(c.ids)):
