@@ -6,7 +6,7 @@ import importlib
 
 from ringfield.plans.registry import QUERIES, SQL
 
-MODULES = ("grid", "objects", "evaluation", "motion")
+MODULES = ("grid", "objects", "evaluation", "motion", "diagnosis")
 
 
 def _load() -> None:

@@ -10,6 +10,7 @@ from ringfield.operators import components as c
 from ringfield.operators import evaluation as e
 from ringfield.operators import obstacles as o
 from ringfield.operators import semantic as s
+from ringfield.operators.graph import cut
 from ringfield.operators.grid import KEY, adaptive_grid
 from ringfield.plans.registry import query, rounded
 from ringfield.plans.sql import CELL_ID, bucket
@@ -59,16 +60,16 @@ def stages(spark, sf_dir):
     """Points, grid, obstacle cells, cells with components, kept members and objects of all frames."""
     p = points(spark, sf_dir)
     grid = adaptive_grid(p)
-    found = o.obstacle_cells(grid)
-    cells = c.cell_components(found)
-    members = c.group_members(c.component_filter(c.component_features(cells)))
+    found = cut(o.obstacle_cells(grid))
+    cells = cut(c.cell_components(found))
+    members = cut(c.group_members(cut(c.component_filter(c.component_features(cells)))))
     return p, grid, found, cells, members, c.object_groups(members)
 
 
 def pairs(spark, sf_dir):
     p, _, _, cells, members, groups = stages(spark, sf_dir)
     owned = cells.join(members.select("component_id", "object_id"), "component_id")
-    return e.overlaps(e.proposal_points(p, owned), e.gt_points(p)), groups, e.gt_objects(p)
+    return cut(e.overlaps(e.proposal_points(p, owned), e.gt_points(p))), groups, e.gt_objects(p)
 
 
 @query("label_unpack", q("SELECT frame_id, point_id, semantic_id, instance_id FROM labelled", "labelled"))
@@ -108,12 +109,12 @@ def semantic_links(spark, sf_dir):
 
 @query("hypotheses")
 def hypotheses(spark, sf_dir):
-    return s.hypotheses(s.thing_cells(s.semantic_counts(points(spark, sf_dir))))
+    return s.hypotheses(cut(s.thing_cells(s.semantic_counts(points(spark, sf_dir)))))
 
 
 @query("merged_fragments")
 def merged_fragments(spark, sf_dir):
-    return s.merged_fragments(s.hypotheses(s.thing_cells(s.semantic_counts(points(spark, sf_dir)))))
+    return s.merged_fragments(cut(s.hypotheses(cut(s.thing_cells(s.semantic_counts(points(spark, sf_dir)))))))
 
 
 @query("gt_objects", q("SELECT * FROM gts", "labelled", truth=TRUTH, gts=GTS))
@@ -191,7 +192,7 @@ def confusion(spark, sf_dir):
 def gt_loss(spark, sf_dir):
     p = points(spark, sf_dir)
     grid = adaptive_grid(p)
-    return e.gt_loss(p, grid, o.obstacle_cells(grid))
+    return e.gt_loss(p, grid, cut(o.obstacle_cells(grid)))
 
 
 @query(

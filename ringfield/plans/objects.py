@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ringfield.functions import classify
 from ringfield.operators import components as c
 from ringfield.operators import obstacles as o
+from ringfield.operators.graph import cut
 from ringfield.plans.grid import cells
 from ringfield.plans.registry import query, rounded
 from ringfield.plans.sql import bucket, shape
@@ -19,11 +20,12 @@ HEIGHTS = "ground_elevation obstacle_height"
 
 
 def obstacles(spark, sf_dir):
-    return o.obstacle_cells(cells(spark, sf_dir))
+    """Written once: each later step reads them twice or more, and they are few beside the points."""
+    return cut(o.obstacle_cells(cells(spark, sf_dir)))
 
 
 def features(spark, sf_dir):
-    return c.component_features(c.cell_components(obstacles(spark, sf_dir)))
+    return cut(c.component_features(c.cell_components(obstacles(spark, sf_dir))))
 
 
 def groups(spark, sf_dir):
@@ -165,8 +167,8 @@ def frame_metrics(spark, sf_dir):
     p = points(spark, sf_dir)
     n = lambda df, name: df.groupBy("frame_id").agg(F.count(F.lit(1)).alias(name))
     grid = cells(spark, sf_dir)
-    found = o.obstacle_cells(grid)
-    kept = c.component_filter(c.component_features(c.cell_components(found)))
+    found = cut(o.obstacle_cells(grid))
+    kept = cut(c.component_filter(c.component_features(c.cell_components(found))))
     out = n(p, "points")
     for df, name in ((grid, "cells"), (found, "obstacle_cells"), (kept, "components"), (c.object_groups(c.group_members(kept)), "objects")):
         out = out.join(n(df, name), "frame_id", "left")
