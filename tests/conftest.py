@@ -12,7 +12,7 @@ def spark(tmp_path_factory):
 
     at = tmp_path_factory.mktemp("spark")
     session = (
-        SparkSession.builder.master("local[*]").appName("tests")
+        SparkSession.builder.master(os.environ.get("SPARK_TEST_MASTER", "local[*]")).appName("tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.default.parallelism", "4").config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", str(at / "warehouse"))
         .config("spark.checkpoint.dir", str(at / "shared")).config("spark.driver.memory", "4g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
