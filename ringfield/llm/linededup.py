@@ -7,11 +7,13 @@ of the leaf's lines have at its place is constant, any other place is ``<*>``. A
 the leaf's template if it has all of its constants and these are at least half of its places;
 any other line is its own template, its tokens with digits generalised.
 
-A template recurs if lines of at least `least` documents have it, and these are documents of
-different content: copies and near copies of one document repeat all of its lines, and are no
-boilerplate. Content is told by a bottom word of each document (the smallest word hash), which
-near copies share: among a template's documents, the distinct bottom words must number `least`
-and half of the documents. Lines of recurring templates are dropped, all of them.
+A template recurs if documents of at least `least` different contents have lines of it: copies
+and near copies of one document repeat all of its lines, and are no boilerplate, so each content
+counts once however many copies it has. Copies are told by the hash of the text, near copies by
+min-hashes over the three-word shingles of the whole text: texts that share two of SLOTS minima
+are one content, named by the smallest text hash that two rounds over shared pairs reach. Two
+texts of shingle similarity 0.9 share two of four with probability 0.996, of 0.05 with 0.014.
+Lines of recurring templates are dropped, all of them.
 
 Each step joins on 64-bit keys of lines, templates or documents; a template that a third of all
 lines have is summed before it is shuffled. Tables of templates are broadcast only if counted to be
@@ -25,6 +27,8 @@ and n_chars, where present, is counted anew.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +36,8 @@ from ringfield.llm.common import cut, small, words
 
 DEPTH, LEAST = 3, 8
 WILD = "<*>"
+#: One point of the hash space for each minimum: the shingle whose hash is nearest by exclusive or.
+SLOTS = (0x1B873593CC9E2D51, -0x4F4A52C7A1D36E09, 0x6A09E667F3BCC908, -0x2545F4914F6CDD1D)
 
 
 def _mask(tokens: str) -> str:
@@ -39,31 +45,47 @@ def _mask(tokens: str) -> str:
 
 
 def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _row -> (_row, no, leaf, own, family, tokens) for each line with a word."""
-    df = docs.select("_row", F.split(text, "\n").alias("_lines"), F.array_min(F.transform(words(F.col(text)), lambda w: F.xxhash64(w))).alias("family"))
-    df = df.select("_row", "family", F.posexplode("_lines").alias("no", "line"))
-    df = df.select("_row", "family", "no", words(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
-    df = df.select("_row", "family", "no", F.expr(_mask("tokens")).alias("tokens"))
+    """docs with _row -> (_row, no, leaf, own, copy, tokens) for each line with a word."""
+    df = docs.select("_row", F.split(text, "\n").alias("_lines"), F.xxhash64(text).alias("copy"))
+    df = df.select("_row", "copy", F.posexplode("_lines").alias("no", "line"))
+    df = df.select("_row", "copy", "no", words(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
+    df = df.select("_row", "copy", "no", F.expr(_mask("tokens")).alias("tokens"))
     return df.select(
-        "_row", "family", "no",
+        "_row", "copy", "no",
         F.expr(f"xxhash64(size(tokens), slice(tokens, 1, {DEPTH}))").alias("leaf"),
         F.xxhash64("tokens").alias("own"),
         "tokens",
     )
 
 
-def _recurring(counted: DataFrame, key: str, least: int) -> DataFrame:
-    """counted (key, family, n): keys of enough documents of enough different contents."""
-    sums = counted.groupBy(key).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("families"))
-    return sums.where((F.col("families") >= least) & (2 * F.col("families") >= F.col("n")))
+def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(copy, content): text hashes, and the smaller one of a near copy; other texts are contents of their own."""
+    w = docs.select(F.xxhash64(text).alias("copy"), words(F.col(text)).alias("_w"))
+    w = w.select("copy", F.inline(F.arrays_zip(F.col("_w").alias("a"), F.expr("slice(_w, 2, size(_w))").alias("b"), F.expr("slice(_w, 3, size(_w))").alias("c"))))
+    h = w.select("copy", F.xxhash64(*w.columns[1:]).alias("_h"))
+    minima = cut(h.groupBy("copy").agg(*[F.min(F.col("_h").bitwiseXOR(F.lit(x))).alias(f"_{i}") for i, x in enumerate(SLOTS)]))
+    pairs = F.explode(F.array(*[F.xxhash64(F.lit(i), F.lit(j), f"_{i}", f"_{j}") for i, j in combinations(range(len(SLOTS)), 2)]))
+    keys = minima.select("copy", pairs.alias("key"))
+    shared = cut(keys.groupBy("key").agg(F.min("copy").alias("content"), F.max("copy").alias("_hi")).where("content <> _hi").select("key", "content"))
+    keys = cut(keys.join(small(shared), "key").select("key", "copy", "content"))
+    first = keys.groupBy("copy").agg(F.min("content").alias("first"))
+    again = cut(keys.join(small(cut(first)), "copy").groupBy("key").agg(F.min("first").alias("second")))
+    named = keys.join(small(again), "key").groupBy("copy").agg(F.min("second").alias("content"))
+    return cut(named.where("copy <> content"))
+
+
+def _recurring(members: DataFrame, key: str, least: int) -> DataFrame:
+    """members (key, content): keys of enough different contents."""
+    sums = members.groupBy(key, "content").agg(F.lit(1).alias("_1")).groupBy(key).agg(F.count(F.lit(1)).alias("contents"))
+    return sums.where(F.col("contents") >= least).select(key)
 
 
 def marked(docs: DataFrame, least: int = LEAST, text: str = "text") -> DataFrame:
     """docs with _row -> (_row, no) of the lines to drop."""
     lines = lines_of(docs, text)
-    brief = cut(lines.select("_row", "no", "leaf", "own", "family"))
-    per_leaf = brief.groupBy("leaf", "family", "_row").agg(F.count_distinct("own").alias("_o")).groupBy("leaf", "family").agg(F.count(F.lit(1)).alias("n"))
-    leaves = cut(_recurring(per_leaf, "leaf", least).select("leaf"))
+    brief = lines.select("_row", "no", "leaf", "own", "copy").join(small(near_copies(docs, text)), "copy", "left")
+    brief = cut(brief.select("_row", "no", "leaf", "own", F.coalesce("content", "copy").alias("content")))
+    leaves = cut(_recurring(brief, "leaf", least))
 
     # constants of the leaves in question; equal lines of a leaf are counted before tokens are spread
     inside = lines.join(small(leaves), "leaf", "left_semi")
@@ -78,10 +100,9 @@ def marked(docs: DataFrame, least: int = LEAST, text: str = "text") -> DataFrame
     named = kinds.join(shape, "leaf", "left").select("leaf", "own", F.when(fits, F.xxhash64(F.lit("leaf"), "leaf")).otherwise(F.col("own")).alias("template"))
     generalised = cut(named.where("template <> own"))
 
-    tagged = brief.join(small(generalised), ["leaf", "own"], "left").select("_row", "no", "family", F.coalesce("template", "own").alias("template"))
+    tagged = brief.join(small(generalised), ["leaf", "own"], "left").select("_row", "no", "content", F.coalesce("template", "own").alias("template"))
     tagged = cut(tagged)
-    docs_of = tagged.groupBy("template", "family", "_row").agg(F.lit(1).alias("_1")).groupBy("template", "family").agg(F.count(F.lit(1)).alias("n"))
-    drop = cut(_recurring(docs_of, "template", least).select("template"))
+    drop = cut(_recurring(tagged, "template", least))
     return tagged.join(small(drop), "template", "left_semi").select("_row", "no")
 
 

@@ -232,6 +232,29 @@ def test_linededup(docs, empty):
     assert linededup.deduped(empty).count() == 0
 
 
+def test_linededup_counts_contents(spark):
+    """Documents of a small vocabulary share their bottom word; copies and near copies are one content."""
+    rnd = random.Random(9)
+    vocabulary = ["v" + "".join(rnd.choice("abcdef") for _ in range(4)) for _ in range(60)]
+    text = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    common, rare = "subscribe to our letter", "all rights are reserved here"
+    rows = [f"{text(60)}\n{common}\n{text(60)}" for _ in range(300)]
+    copied = f"{text(80)}\n{rare}"
+    rows += [f"{text(80)}\n{rare}" for _ in range(12)] + [copied] * 100
+    base = [text(40) for _ in range(6)]
+    near = []
+    for i in range(200):
+        lines = [x.split() for x in base]
+        lines[i % 6][i // 6 % 40] = f"edit{'abcdefghij'[i // 20]}"
+        near.append("\n".join(" ".join(x) for x in lines))
+    df = spark.createDataFrame(list(enumerate(rows + near)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in rows_of(linededup.deduped(df))}
+    for i, t in enumerate(rows):
+        assert found[i]["text"] == t.replace(f"\n{common}", "").replace(f"\n{rare}", "") and found[i]["n_lines_dropped"] == 1
+    for i, t in enumerate(near):
+        assert found[len(rows) + i]["text"] == t
+
+
 def test_suffixdedup(docs, empty, spark):
     extra = spark.createDataFrame([(500, "a" * 400, "en", "s", 1), (501, "b" + "a" * 99, "en", "s", 1), (502, "é" * 60, "en", "s", 1), (503, "x" + "é" * 60, "en", "s", 1)], SCHEMA)
     table = docs.where("doc_id is not null").unionByName(extra)
