@@ -26,8 +26,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = neardup.grouped(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """Rows without an id are named by their text, after all ids, and are one row for each distinct text with words."""
+    unnamed = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rest = [c for c in COLUMNS if c != "text"]
+    once = docs.where(unnamed).groupBy("text").agg(F.min(F.struct(*rest)).alias("_r")).select("text", "_r.*").select(*COLUMNS)
+    key = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    rows = stored(docs.where(~unnamed).select(*COLUMNS).unionAll(once).withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), key)))
+    kept = neardup.grouped(rows.select(F.col("_key").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_key")).distinct()
+    return rows.join(kept, "_key", "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,3 +14,16 @@ def test_stages(spark):
             assert tuple(docs.columns) == corpus_pipeline.COLUMNS
     assert counts[1] < counts[0] and counts[2] == counts[1] and counts[3] < counts[2]
     assert docs.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 2048
+
+
+def test_near_dedup_keeps_rows_without_id(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, text(1)), (2, text(1)), (3, text(2)), (None, text(3)), (None, text(4)), (None, text(4)), (None, text(2)), (None, text(5)), (None, text(5) + " more"), (None, None), (None, ""), (4, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    out = corpus_pipeline.near_dedup(spark, docs, "")
+    assert tuple(out.columns) == corpus_pipeline.COLUMNS
+    found = [(r["doc_id"], r["text"]) for r in out.collect()]
+    last = [t for d, t in found if t and t.startswith("w5x0")]
+    assert len(last) == 1 and last[0] in (text(5), text(5) + " more")
+    want = [(1, text(1)), (3, text(2)), (4, None), (None, text(3)), (None, text(4)), (None, None), (None, "")]
+    assert sorted(map(str, found)) == sorted(map(str, [*want, (None, last[0])]))
