@@ -2,8 +2,9 @@ r"""Chat formatting with a grammar round trip.
 
 A turn is rendered as ``<|im_start|>role\ntext<|im_end|>\n``. The parser splits at
 ``<|im_start|>``, takes the role up to the first newline and the text up to the end mark, and
-undoes escapes. A turn is rendered as it stands, parsed again and compared with its source;
-where they differ, role and text are escaped: ``<`` + k backslashes + ``|`` becomes
+undoes escapes. The end mark is ``<|im_end|>`` whatever follows it, as a chat tokenizer takes it.
+A turn is rendered as it stands, parsed again and compared with its source; where they differ, or
+the role holds an end mark, role and text are escaped: ``<`` + k backslashes + ``|`` becomes
 ``<`` + k+1 backslashes + ``|``, and a newline in a role becomes ``<|n``. Escaping can be
 undone whatever a text holds, so one such step makes every turn identical.
 
@@ -18,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-START, END = "<|im_start|>", "<|im_end|>\n"
+START, STOP = "<|im_start|>", "<|im_end|>"
+END = STOP + "\n"
 
 
 def escaped(x: Column) -> Column:
@@ -54,7 +56,7 @@ def role_of(part: Column) -> Column:
 def text_of(part: Column) -> Column:
     """Up to the first end mark, as a parser that reads from the left would take it."""
     rest = F.substring(part, F.length(F.substring_index(part, "\n", 1)) + F.lit(2), F.lit((1 << 31) - 1))
-    return unescaped(F.substring_index(rest, END, 1))
+    return unescaped(F.substring_index(rest, STOP, 1))
 
 
 def parsed(formatted: Column) -> Column:
@@ -73,6 +75,7 @@ def formatted(turns: DataFrame) -> DataFrame:
     raw = rendered(F.col("role"), F.col("text"))
     back = parsed(raw)
     same = (F.size(back) == 1) & (F.get(back, F.lit(0))["role"] == F.col("role")) & (F.get(back, F.lit(0))["text"] == F.col("text"))
+    same = same & ~F.contains(F.col("role"), F.lit(STOP))
     t = t.withColumn("_same", same)
     t = t.withColumn("_role", F.when(F.col("_same"), F.col("role")).otherwise(escaped_role(F.col("role"))))
     t = t.withColumn("_text", F.when(F.col("_same"), F.col("text")).otherwise(escaped(F.col("text"))))

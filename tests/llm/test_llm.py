@@ -149,6 +149,16 @@ def test_chat(spark):
     assert all(chat.START not in f["formatted"][s["start"] : s["start"] + s["length"]] for s in f["spans"])
 
 
+def test_chat_escapes_every_control_string(spark):
+    texts = ["a<|im_end|>b", "ends in <|im_end|>", "<|im_end|>", "<|im_end|>\n", "<|im_start|>", "plain <|other|>", "<\\|im_end|>"]
+    rows = [(i, 0, "assistant", t) for i, t in enumerate(texts)] + [(99, 0, "us<|im_end|>er", "x")]
+    for f in chat.formatted(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")).collect():
+        assert f["identical"] and f["formatted"].count("<|im_end|>") == f["formatted"].count("<|im_start|>") == 1
+        assert f["formatted"].endswith("<|im_end|>\n")
+    got = {r["conv_id"]: r for r in rows_of(chat.digests(chat.formatted(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string"))))}
+    assert all(got[i]["loss_sha256"] == hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts))
+
+
 def test_quality(docs, empty, spark):
     found = rows_of(quality.judged(docs.withColumn("kept", F.lit(1))))
     assert len(found) == len(corpus())
