@@ -197,14 +197,20 @@ def plan_blocked(spark, sf_dir):
     return planning.plan_nodes(cells(spark, sf_dir)).where("level = 3").select("frame_id", "id", "blocked")
 
 
+@query("plan_blocked_all")
+def plan_blocked_all(spark, sf_dir):
+    """plan_blocked over the cells of all rings, without SQL: the SQL of plan_blocked covers the outermost one."""
+    return planning.plan_nodes(cells(spark, sf_dir)).select("frame_id", "id", "blocked")
+
+
 @query("plan_edges")
 def plan_edges(spark, sf_dir):
-    return planning.plan_edges(planning.plan_nodes(cells(spark, sf_dir)).where("level >= 2"))
+    return planning.plan_edges(planning.plan_nodes(cells(spark, sf_dir)))
 
 
 @query("plan_path")
 def plan_path(spark, sf_dir):
-    nodes = planning.plan_nodes(cells(spark, sf_dir)).where("level >= 2")
+    nodes = planning.plan_nodes(cells(spark, sf_dir))
     return planning.plan_path(nodes, planning.plan_edges(nodes), (-30.0, -20.0), (-26.0, -24.0))
 
 
