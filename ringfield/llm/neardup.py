@@ -4,26 +4,28 @@ A document's set of word shingles is reduced to a signature of PERMS minima, eac
 bits. Two sets of similarity s differ in a given place with probability 1 - s, so sets of
 similarity 0.8 differ in more than MOST = 31 of the 80 places with probability below 1e-4, and
 sets of 0.85 below 1e-8. All pairs within that signature distance are found by pigeonhole: the
-places are dealt into 17 chunks; if at most 31 places differ, at least two chunks have at most
-one error; so each chunk is written once for each place that may be wrong, without that place,
-and equal keys meet.
-
-Nothing emits all pairs of a bucket. Each bucket is first compared with one pivot, its smallest
-id; links join components, and a bucket whose members all lie in one component is done. What is
-left is compared with the smallest id of the bucket's largest component. The signature distance
-is a metric, so members whose distances to that pivot differ by more than MOST cannot be a pair;
-only members that can still have a partner in another component go on. In small buckets those
-are paired across components; in large ones they are dealt anew by the second chunk that a pair
-must share, again with a pivot first, and paired there. Every candidate within the signature
-distance is confirmed on the full sets. No bucket is capped, and no step but this last one, on
-seven or eight equal places, pairs more than SMALL members.
-
-Equal sets are one class from the start, so groups of copies cost one signature.
+places are dealt into 16 chunks; if at most 31 places differ, some chunk has at most one error;
+so each chunk is written once for each place that may be wrong, without that place, and equal
+keys meet in a bucket.
+
+Nothing emits all pairs of a bucket.
+
+1. Each bucket is compared with its most central member, the one whose 80 buckets are the most
+   crowded: the text that the others are edits of, if there is one. Links join components, and a
+   bucket whose members lie in one component is done.
+2. Buckets that still hold several components are dealt into units of bounded size: the members
+   of the largest component by blocks, the rest by blocks, and each block of the rest meets each
+   block of both. A unit compares signatures and gives out only pairs of different components
+   within MOST, and only in the first of the buckets that a pair shares, so each candidate is one
+   row however many buckets it is in.
+
+Every candidate is confirmed on the full sets. No bucket is capped. Equal sets are one class from
+the start, so groups of copies cost one signature.
 
 Defined results: null and empty texts have no shingles, are linked with nothing and are kept;
-texts with fewer words than a shingle are one shingle; rows of one id are taken to hold one text,
-and all rows of the smallest id are kept; an empty table gives an empty result; other columns are
-ignored.
+texts with fewer words than a shingle are one shingle; rows of one id are taken to hold one text
+(of several, the one whose set has the smallest digest stands for it), and all rows of the
+smallest id are kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,16 +39,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringfield.llm.common import compact, cut, small, stored
+from ringfield.llm.common import compact, small, stored
 from ringfield.operators.graph import components
 
-PERMS, MOST, CHUNKS, SMALL = 80, 31, 17, 6
+PERMS, MOST, CHUNKS = 80, 31, 16
+PLACES = PERMS // CHUNKS
+UNIT, REST = 1024, 256  # members of a unit: of the largest component, of the others
+SLAB = 1 << 17  # pairs compared at a time
 CACHE = 1_000_000
 
 _R = np.random.default_rng(20240917)
 _MUL = _R.integers(0, 1 << 32, PERMS, dtype=np.uint32) | np.uint32(1)
 _XOR = _R.integers(0, 1 << 32, PERMS, dtype=np.uint32)
-_EDGES = [round(i * PERMS / CHUNKS) for i in range(CHUNKS + 1)]
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -108,130 +112,137 @@ def _sets(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
 
 
 def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, id) for each chunk and each place of it that may be wrong. Rows that come with the
-    key of a bucket are dealt anew inside it, by the chunks after the bucket's."""
+    """(key, id, slot) for each place that may be wrong: the key is the rest of the place's chunk."""
     for b in batches:
         for at in range(0, len(b), 2048):
             part = b.iloc[at : at + 2048]
-            sig = np.frombuffer(b"".join(part["sig"]), np.uint16).reshape(len(part), PERMS).astype(np.uint64)
-            inside = part["key"].to_numpy(np.int64).view(np.uint64) if "key" in part else None
-            keys, after = [], []
-            for chunk, (lo, hi) in enumerate(zip(_EDGES, _EDGES[1:], strict=False)):
-                for wrong in range(lo, hi):
-                    h = np.full(len(part), chunk * 256 + wrong + 1, np.uint64)
-                    for i in range(lo, hi):
-                        if i != wrong:
-                            h = mix(h * _P1 + sig[:, i] + np.uint64(1))
-                    keys.append(h if inside is None else mix(h ^ inside))
-                    after.append(np.full(len(part), True) if inside is None else part["chunk"].to_numpy() < chunk)
-            keep = np.stack(after, 1).ravel()
-            chunks = np.repeat([c for c in range(CHUNKS) for _ in range(_EDGES[c + 1] - _EDGES[c])], len(part)).reshape(-1, len(part)).T.ravel()
-            yield pd.DataFrame(
-                {
-                    "key": np.stack(keys, 1).ravel().view(np.int64)[keep],
-                    "chunk": chunks[keep].astype(np.int32),
-                    "step": np.repeat(part["step"].to_numpy(np.int32), len(keys))[keep],
-                    "id": np.repeat(part["id"].to_numpy(np.int64), len(keys))[keep],
-                }
-            )
+            sig = _matrix(part["sig"]).astype(np.uint64)
+            keys = np.empty((len(part), PERMS), np.uint64)
+            for slot in range(PERMS):
+                first = slot // PLACES * PLACES
+                h = np.full(len(part), slot + 1, np.uint64)
+                for i in range(first, first + PLACES):
+                    if i != slot:
+                        h = mix(h * _P1 + sig[:, i] + np.uint64(1))
+                keys[:, slot] = h
+            slots = np.tile(np.arange(PERMS, dtype=np.int8), len(part))
+            yield pd.DataFrame({"key": keys.ravel().view(np.int64), "id": np.repeat(part["id"].to_numpy(np.int64), PERMS), "slot": slots})
+
+
+def _matrix(sigs: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), PERMS)
 
 
 def _distance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs within the signature distance."""
     for b in batches:
         if len(b):
-            x, y = (np.frombuffer(b"".join(b[c]), np.uint16).reshape(len(b), PERMS) for c in ("sig_a", "sig_b"))
-            yield pd.DataFrame({"a": b["a"], "b": b["b"], "h": (x != y).sum(1).astype(np.int32), "fits": b["fits"]})
+            near = (_matrix(b["sig_a"]) != _matrix(b["sig_b"])).sum(1) <= MOST
+            yield b.loc[near, ["a", "b"]]
 
 
-def confirmed(pairs: DataFrame, sig: DataFrame, docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """pairs (a, b) of class ids -> (their signature distances, the links among them on full sets)."""
-    a = sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
-    b = sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("fits", F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    far = compact(both.select("a", "b", "sig_a", "sig_b", "fits").mapInPandas(_distance, "a bigint, b bigint, h int, fits boolean"))
-    near = far.where((F.col("h") <= MOST) & F.col("fits")).select("a", "b")
+def _near(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by unit and side -> the candidates of each unit; a unit may run over several batches."""
+    held = None
+    for b in batches:
+        if not len(b):
+            continue
+        b = b if held is None else pd.concat((held, b), ignore_index=True)
+        units = b["unit"].to_numpy()
+        last = int(np.flatnonzero(np.r_[True, units[1:] != units[:-1]])[-1])
+        yield from _compared(b.iloc[:last], percent)
+        held = b.iloc[last:]
+    if held is not None:
+        yield from _compared(held, percent)
+
+
+def _compared(b: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
+    """side 0 meets side 1 of its unit, side 2 meets the later rows of its unit."""
+    if len(b) < 2:
+        return
+    unit, side, ids, component, n, slot = (b[c].to_numpy() for c in ("unit", "side", "id", "component", "n", "slot"))
+    sig = _matrix(b["sig"])
+    first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+    size = np.diff(np.r_[first, len(b)])
+    end = np.repeat(first + size, size)
+    right = np.repeat(first + np.add.reduceat((side == 0).astype(np.int64), first), size)  # where side 1 begins
+    begin = np.where(side == 0, right, np.where(side == 2, np.arange(len(b)) + 1, end))
+    ends = np.cumsum(end - begin)
+    lo = 0
+    while lo < len(b):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLAB, side="right")))
+        count = (end - begin)[lo:hi]
+        x = np.repeat(np.arange(lo, hi), count)
+        y = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[lo:hi], count)
+        fits = (component[x] != component[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+        x, y = x[fits], y[fits]
+        equal = sig[x] == sig[y]
+        near = equal.sum(1) >= PERMS - MOST
+        x, y, equal = x[near], y[near], equal[near].reshape(-1, CHUNKS, PLACES)
+        right_ones = equal.sum(2) >= PLACES - 1
+        chunk = right_ones.argmax(1)  # of all buckets that the two share, the first one's chunk and slot
+        here = right_ones.any(1) & (chunk * PLACES + equal[np.arange(len(x)), chunk].argmin(1) == slot[x])
+        yield pd.DataFrame({"a": np.minimum(ids[x], ids[y])[here], "b": np.maximum(ids[x], ids[y])[here]})
+        lo = hi
+
+
+def confirmed(near: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of class ids within the signature distance -> those linked on full sets."""
     ids = compact(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     texts = docs.join(small(ids), "doc_id", "left_semi").select("doc_id", "text")
-    sets = texts.mapInPandas(partial(_sets, size=shingle), "id bigint, shingles array<bigint>").where("id is not null")
+    sets = stored(texts.mapInPandas(partial(_sets, size=shingle), "id bigint, shingles array<bigint>").where("id is not null"))
     x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     inter = F.size(F.array_intersect("x", "y"))
     links = near.join(x, "a").join(y, "b").where(inter * 100 >= (F.size("x") + F.size("y") - inter) * percent)
-    return far.drop("fits"), compact(links.select("a", "b"))
-
-
-class Links:
-    """The links found so far, the pairs whose distance is known, and the components."""
-
-    def __init__(self, sig: DataFrame, docs: DataFrame, shingle: int, percent: int):
-        self.sig, self.docs, self.shingle, self.percent = sig, docs, shingle, percent
-        self.links = self.far = None
-        self.nodes = sig.select("id")
-
-    def add(self, pairs: DataFrame) -> None:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-        if self.far is not None:
-            pairs = pairs.join(self.far.select("a", "b"), ["a", "b"], "left_anti")
-        far, links = confirmed(pairs, self.sig, self.docs, self.shingle, self.percent)
-        self.far = far if self.far is None else compact(self.far.unionAll(far))
-        self.links = links if self.links is None else self.links.unionAll(links)
-        self.found = compact(components(None, self.links))
-
-    def named(self, members: DataFrame) -> DataFrame:
-        rows = members.join(self.found, "id", "left")
-        return rows.withColumn("component", F.coalesce("component", "id"))
-
-    def open(self, members: DataFrame) -> DataFrame:
-        """The members, with components, of buckets that still hold several."""
-        rows = stored(self.named(members))
-        spread = rows.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-        return rows.join(spread.where("_lo <> _hi").select("key"), "key", "left_semi")
+    return compact(links.select("a", "b"))
 
 
 def buckets(keyed: DataFrame) -> DataFrame:
-    """The rows of keys that several ids have, then of keys and neighbouring sizes. keyed is
-    cheaper to make twice than to keep.
-
-    step is the logarithm of a set's size to the base 100 / percent (1.25), rounded down: sets of similarity 0.8
-    lie in one step or in two that follow each other, so each row goes to its own step and to the
-    one above, and such pairs meet."""
-
-    def shared(rows: DataFrame) -> DataFrame:
-        keys = rows.groupBy("key").agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo <> _hi").select("key")
-        return rows.join(keys, "key", "left_semi")
-
-    first = stored(shared(keyed))
-    by_size = first.select("key", "chunk", "step", "id", F.explode(F.array("step", F.col("step") + 1)).alias("_s"))
-    return stored(shared(by_size.select(F.xxhash64("key", "_s").alias("key"), "chunk", "step", "id")))
-
-
-def stars(members: DataFrame) -> DataFrame:
-    pivot = members.groupBy("key").agg(F.min("id").alias("a"))
-    return members.join(pivot, "key").select("a", F.col("id").alias("b")).where("a <> b")
-
-
-def across(members: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket and different components that their distances to its pivot allow."""
-    left = members.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("h").alias("ha"))
-    right = members.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("h").alias("hb"))
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.abs(F.col("ha") - F.col("hb")) <= MOST)).select("a", "b")
-
-
-def with_partners(members: DataFrame) -> DataFrame:
-    """Members that some member of another component may be near to. Distances to the pivot are
-    summed in steps: the components at each, then those of the steps within reach."""
-    step = MOST + 1
-    bands = members.withColumn("band", F.floor(F.col("h") / step).cast("int"))
-    seen = bands.groupBy("key", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("h").alias("near"), F.max("h").alias("far"))
-    around = seen.select("key", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"), "lo", "hi", "near", "far", F.col("band").alias("_of"))
-    # of the next steps only what lies within reach of some distance: the nearest for the step above, the farthest below
-    flat = around.groupBy("key", "band").agg(
-        *[F.min(F.when(F.col("_of") == F.col("band") + i, F.col(c))).alias(f"{c}{i + 1}") for i in (-1, 0, 1) for c in ("lo", "hi", "near", "far")]
+    """The rows of keys that several ids have, with their number. keyed is cheaper to make twice than to keep."""
+    many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    return stored(keyed.join(many, "key"))
+
+
+def stars(members: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket's most central member and the others, within the signature distance."""
+    central = members.groupBy("id").agg(F.sum("members").alias("crowd"))
+    ranked = members.select("key", "id").join(central, "id")
+    pivot = ranked.groupBy("key").agg(F.max(F.struct("crowd", (-F.col("id")).alias("id")))["id"].alias("id")).select("key", (-F.col("id")).alias("pivot"))
+    pairs = members.select("key", "id").join(pivot, "key").where("id <> pivot")
+    pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    a = sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
+    b = sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"))
+    both = pairs.join(a, "a").join(b, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    return compact(both.select("a", "b", "sig_a", "sig_b").mapInPandas(_distance, "a bigint, b bigint"))
+
+
+def left_over(members: DataFrame, found: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
+    """Candidates of different components in buckets that hold several."""
+    named = stored(members.select("key", "id", "slot").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    inside = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    core = inside.groupBy("key").agg(F.max(F.struct("n", "component")).alias("c"), F.sum("n").alias("all"), F.count(F.lit(1)).alias("components"))
+    core = core.where("components > 1").select(
+        "key", F.col("c.component").alias("core"), (F.col("all") <= UNIT).alias("one"),
+        F.ceil(F.col("c.n") / UNIT).cast("int").alias("blocks"), F.ceil((F.col("all") - F.col("c.n")) / REST).cast("int").alias("rests"),
     )
-    rows = bands.join(flat, ["key", "band"])
-    other = lambda i: (F.col(f"lo{i}") != F.col("component")) | (F.col(f"hi{i}") != F.col("component"))
-    keep = other(1) | (other(0) & (F.col("h") - F.col("far0") <= MOST)) | (other(2) & (F.col("near2") - F.col("h") <= MOST))
-    return rows.where(keep).select(*members.columns)
+    h = F.xxhash64(F.lit(7), "id")
+    rows = named.join(core, "key").withColumn("mine", F.when(F.col("component") == F.col("core"), F.pmod(h, F.col("blocks"))).otherwise(F.pmod(h, F.col("rests"))).cast("int"))
+    # (i, j, side): block i of the rest against block j of the core, or against block j - blocks of the rest
+    whole = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")))
+    of_core = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda i: F.struct(i.alias("i"), F.col("mine").alias("j"), F.lit(1).alias("side")))
+    of_rest = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") + F.col("rests") - 1),
+        lambda j: F.when(j < F.col("blocks") + F.col("mine"), F.struct(F.col("mine").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+        .when(j == F.col("blocks") + F.col("mine"), F.struct(F.col("mine").alias("i"), j.alias("j"), F.lit(2).alias("side")))
+        .otherwise(F.struct((j - F.col("blocks")).alias("i"), (F.col("blocks") + F.col("mine")).alias("j"), F.lit(1).alias("side"))),
+    )
+    to = F.when(F.col("one"), whole).when(F.col("component") == F.col("core"), of_core).otherwise(of_rest)
+    dealt = rows.select("key", "id", "slot", "component", F.explode(to).alias("to"))
+    # of_rest above: block i meets the blocks before it as their side 0, the later ones as side 1
+    dealt = dealt.select(F.xxhash64("key", "to.i", "to.j").alias("unit"), F.col("to.side").alias("side"), "id", "slot", "component")
+    full = dealt.join(sig.select("id", "sig", F.col("n_shingles").alias("n")), "id").repartition("unit").sortWithinPartitions("unit", "side")
+    return compact(full.mapInPandas(partial(_near, percent=percent), "a bigint, b bigint").distinct())
 
 
 def grouped(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -239,33 +250,14 @@ def grouped(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     signed = stored(docs.select("doc_id", "text").mapInPandas(partial(_signed, size=shingle), "doc_id bigint, n_shingles bigint, hi bigint, lo bigint, sig binary"))
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = stored(some.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
-    sig = classes.groupBy("id").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    keys = "key bigint, chunk int, step int, id bigint"
-
-    state = Links(sig, docs, shingle, percent)
-    step = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int").alias("step")
-    members = buckets(classes.select("id", "sig", step).mapInPandas(_keyed, keys))
-    state.add(stars(members))
-
-    # the pivot of the bucket's largest component
-    rest = stored(state.open(members))
-    largest = rest.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot"))
-    pivot = stored(largest.groupBy("key").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("pivot")))
-    state.add(rest.join(pivot, "key").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
-
-    rest = state.open(rest.drop("component")).join(pivot, "key")
-    known = state.far.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "h")
-    ends = rest.withColumns({"_a": F.least("id", "pivot"), "_b": F.greatest("id", "pivot")}).join(known, ["_a", "_b"], "left")
-    rest = stored(with_partners(ends.select("key", "chunk", "step", "id", "component", F.coalesce("h", F.lit(0)).alias("h"))))
-    sizes = stored(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")))
-    few = rest.join(sizes.where(F.col("n") <= SMALL).select("key"), "key", "left_semi")
-    many = rest.join(sizes.where(F.col("n") > SMALL).select("key"), "key", "left_semi")
-    finer = buckets(many.select("key", "chunk", "step", "id").join(sig.select("id", "sig"), "id").select("key", "chunk", "step", "id", "sig").mapInPandas(_keyed, keys))
-    state.add(across(few).unionAll(stars(finer)))
-    last = state.open(finer).withColumn("h", F.lit(0))
-    state.add(across(last))
-
-    named = stored(classes.join(state.found, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("component_id")))
+    sig = classes.groupBy("id").agg(F.min(F.struct("hi", "lo", "n_shingles", "sig")).alias("c")).select("id", "c.n_shingles", "c.sig")
+
+    members = buckets(classes.select("id", "sig").mapInPandas(_keyed, "key bigint, id bigint, slot tinyint"))
+    links = confirmed(stars(members, sig, percent), docs, shingle, percent)
+    more = confirmed(left_over(members, components(None, links), sig, percent), docs, shingle, percent)
+    found = components(None, links.unionAll(more))
+
+    named = stored(classes.join(found, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("component_id")))
     out = signed.drop("sig").join(named, ["hi", "lo"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -236,8 +236,11 @@ def test_neardup(docs, empty, shingle):
     assert neardup.grouped(empty).count() == 0
 
 
-def test_crowded_buckets_lose_no_link(spark):
+@pytest.mark.parametrize("unit", [1024, 6])
+def test_crowded_buckets_lose_no_link(spark, monkeypatch, unit):
     """Many texts around one passage, some of them near copies of each other: large buckets of several components."""
+    monkeypatch.setattr(neardup, "UNIT", unit)
+    monkeypatch.setattr(neardup, "REST", min(unit, 4))
     rnd = random.Random(1)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(7))
     passage = [word() for _ in range(60)]
