@@ -19,7 +19,9 @@ Nothing emits all pairs of a bucket.
    within MOST, and only in the first of the buckets that a pair shares, so each candidate is one
    row however many buckets it is in.
 
-Every candidate is confirmed on the full sets. No bucket is capped. Equal sets are one class from
+Candidates whose sets cannot share enough shingles go: shingles are counted in CELLS cells by
+hash, and two sets share at most the sum of the smaller counts. That bound loses no link. Every
+other candidate is confirmed on the full sets. No bucket is capped. Equal sets are one class from
 the start, so groups of copies cost one signature.
 
 Defined results: null and empty texts have no shingles, are linked with nothing and are kept;
@@ -44,6 +46,7 @@ from ringfield.operators.graph import components
 
 PERMS, MOST, CHUNKS = 80, 31, 16
 PLACES = PERMS // CHUNKS
+CELLS = 256  # shingles counted by hash
 UNIT, REST = 1024, 256  # members of a unit: of the largest component, of the others
 SLAB = 1 << 17  # pairs compared at a time
 CACHE = 1_000_000
@@ -94,7 +97,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 def _signed(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
     known = Words()
     for b in batches:
-        n, hi, lo, sig = [], [], [], []
+        n, hi, lo, sig, cells = [], [], [], [], []
         for t in b["text"]:
             s = shingle_set(t, size, known)
             d = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -102,7 +105,8 @@ def _signed(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame
             hi.append((d >> 64) - (1 << 63))
             lo.append((d & ((1 << 64) - 1)) - (1 << 63))
             sig.append(signature(s).tobytes() if len(s) else None)
-        yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": n, "hi": hi, "lo": lo, "sig": sig})
+            cells.append(np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % CELLS, minlength=CELLS), 255).astype(np.uint8).tobytes() if len(s) else None)
+        yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_shingles": n, "hi": hi, "lo": lo, "sig": sig, "cells": cells})
 
 
 def _sets(batches: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
@@ -133,12 +137,26 @@ def _matrix(sigs: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), PERMS)
 
 
-def _distance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs within the signature distance."""
+def _counts(cells: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(cells), np.uint8).reshape(len(cells), CELLS)
+
+
+def _may_share(x: np.ndarray, y: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with cell counts x and y, of n shingles together, may share enough of them. A
+    count of 255 stands for any larger one."""
+    most = np.minimum(x, y)
+    shared = most.sum(1, dtype=np.int64)
+    return (shared * 100 >= (n - shared) * percent) | (most == 255).any(1)
+
+
+def _distance(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
+    """Pairs within the signature distance that may share enough shingles."""
     for b in batches:
-        if len(b):
-            near = (_matrix(b["sig_a"]) != _matrix(b["sig_b"])).sum(1) <= MOST
-            yield b.loc[near, ["a", "b"]]
+        for at in range(0, len(b), 4096):
+            part = b.iloc[at : at + 4096]
+            near = (_matrix(part["sig_a"]) != _matrix(part["sig_b"])).sum(1) <= MOST
+            near &= _may_share(_counts(part["cells_a"]), _counts(part["cells_b"]), part["n"].to_numpy(), percent)
+            yield part.loc[near, ["a", "b"]]
 
 
 def _near(batches: Iterator[pd.DataFrame], percent: int) -> Iterator[pd.DataFrame]:
@@ -161,7 +179,7 @@ def _compared(b: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
     if len(b) < 2:
         return
     unit, side, ids, component, n, slot = (b[c].to_numpy() for c in ("unit", "side", "id", "component", "n", "slot"))
-    sig = _matrix(b["sig"])
+    sig, cells = _matrix(b["sig"]), _counts(b["cells"])
     first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
     size = np.diff(np.r_[first, len(b)])
     end = np.repeat(first + size, size)
@@ -177,7 +195,8 @@ def _compared(b: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
         fits = (component[x] != component[y]) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
         x, y = x[fits], y[fits]
         equal = sig[x] == sig[y]
-        near = equal.sum(1) >= PERMS - MOST
+        near = np.flatnonzero(equal.sum(1) >= PERMS - MOST)
+        near = near[np.r_[False, *(_may_share(cells[x[k]], cells[y[k]], n[x[k]] + n[y[k]], percent) for k in np.array_split(near, len(near) // 16384 + 1))][1:]]
         x, y, equal = x[near], y[near], equal[near].reshape(-1, CHUNKS, PLACES)
         right_ones = equal.sum(2) >= PLACES - 1
         chunk = right_ones.argmax(1)  # of all buckets that the two share, the first one's chunk and slot
@@ -188,7 +207,7 @@ def _compared(b: pd.DataFrame, percent: int) -> Iterator[pd.DataFrame]:
 
 def confirmed(near: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Distinct pairs (a, b) of class ids within the signature distance -> those linked on full sets."""
-    ids = compact(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    ids = compact(near.select(F.col("a").alias("doc_id")).unionAll(near.select(F.col("b").alias("doc_id"))).distinct())
     texts = docs.join(small(ids), "doc_id", "left_semi").select("doc_id", "text")
     sets = stored(texts.mapInPandas(partial(_sets, size=shingle), "id bigint, shingles array<bigint>").where("id is not null"))
     x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
@@ -211,10 +230,11 @@ def stars(members: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
     pivot = ranked.groupBy("key").agg(F.max(F.struct("crowd", (-F.col("id")).alias("id")))["id"].alias("id")).select("key", (-F.col("id")).alias("pivot"))
     pairs = members.select("key", "id").join(pivot, "key").where("id <> pivot")
     pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    a = sig.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
-    b = sig.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"))
-    both = pairs.join(a, "a").join(b, "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    return compact(both.select("a", "b", "sig_a", "sig_b").mapInPandas(_distance, "a bigint, b bigint"))
+    side = lambda x: sig.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n_shingles", "sig", "cells")])
+    n_a, n_b = F.col("n_shingles_a"), F.col("n_shingles_b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent)
+    both = both.select("a", "b", "sig_a", "sig_b", "cells_a", "cells_b", (n_a + n_b).alias("n"))
+    return compact(both.mapInPandas(partial(_distance, percent=percent), "a bigint, b bigint"))
 
 
 def left_over(members: DataFrame, found: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
@@ -241,16 +261,16 @@ def left_over(members: DataFrame, found: DataFrame, sig: DataFrame, percent: int
     dealt = rows.select("key", "id", "slot", "component", F.explode(to).alias("to"))
     # of_rest above: block i meets the blocks before it as their side 0, the later ones as side 1
     dealt = dealt.select(F.xxhash64("key", "to.i", "to.j").alias("unit"), F.col("to.side").alias("side"), "id", "slot", "component")
-    full = dealt.join(sig.select("id", "sig", F.col("n_shingles").alias("n")), "id").repartition("unit").sortWithinPartitions("unit", "side")
+    full = dealt.join(sig.select("id", "sig", "cells", F.col("n_shingles").alias("n")), "id").repartition("unit").sortWithinPartitions("unit", "side")
     return compact(full.mapInPandas(partial(_near, percent=percent), "a bigint, b bigint").distinct())
 
 
 def grouped(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_shingles, component_id, kept), a row for each row."""
-    signed = stored(docs.select("doc_id", "text").mapInPandas(partial(_signed, size=shingle), "doc_id bigint, n_shingles bigint, hi bigint, lo bigint, sig binary"))
+    signed = stored(docs.select("doc_id", "text").mapInPandas(partial(_signed, size=shingle), "doc_id bigint, n_shingles bigint, hi bigint, lo bigint, sig binary, cells binary"))
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = stored(some.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")))
-    sig = classes.groupBy("id").agg(F.min(F.struct("hi", "lo", "n_shingles", "sig")).alias("c")).select("id", "c.n_shingles", "c.sig")
+    classes = stored(some.groupBy("hi", "lo").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("cells").alias("cells")))
+    sig = classes.groupBy("id").agg(F.min(F.struct("hi", "lo", "n_shingles", "sig", "cells")).alias("c")).select("id", "c.n_shingles", "c.sig", "c.cells")
 
     members = buckets(classes.select("id", "sig").mapInPandas(_keyed, "key bigint, id bigint, slot tinyint"))
     links = confirmed(stars(members, sig, percent), docs, shingle, percent)
@@ -258,7 +278,7 @@ def grouped(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     found = components(None, links.unionAll(more))
 
     named = stored(classes.join(found, "id", "left").select("hi", "lo", F.coalesce("component", "id").alias("component_id")))
-    out = signed.drop("sig").join(named, ["hi", "lo"], "left")
+    out = signed.drop("sig", "cells").join(named, ["hi", "lo"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
