@@ -6,9 +6,11 @@ a smaller id. Equal strings are found in three steps.
 1. Anchors. Each 50-byte window has a minimiser, the 26-byte string in it whose hash is least;
    equal windows have equal minimisers at equal places. Runs of windows with one minimiser form
    a segment of 50 to 74 bytes. Minimisers that only one document has are dropped; all others
-   stay, so no equal windows are lost.
+   stay, so no equal windows are lost. Minimisers with more than CROWD places are crowded: their
+   windows go one by one, each under its own hash, so that nothing gathers around such an anchor.
 2. Segments with the same minimiser meet in one bucket, equal ones as one with its smallest
-   document id, summed in each chunk of the corpus before they are sent.
+   document id, summed in each chunk of the corpus before they are sent. In the bucket segments
+   are told apart by their bytes; a hash only brings equal ones side by side.
 3. In a bucket, minimisers with several different segments form collections of what their
    segments may share (windows whose hash is not the only one of its value). A collection's
    Burrows-Wheeler transform and longest common prefixes are built column by column: each round
@@ -20,8 +22,8 @@ a smaller id. Equal strings are found in three steps.
 
 Defined results: null and empty texts have no bytes and lose nothing; texts under 50 bytes lose
 nothing; rows of one id do not remove each other; a null id counts as larger than all others; an
-empty table gives an empty result; other columns are ignored. A segment's hash of 64 bits names it inside a chunk and a
-bucket; the windows themselves are compared byte by byte through the transform.
+empty table gives an empty result; other columns are ignored. Inside a chunk a hash of 64 bits names a
+segment; in a bucket segments are compared byte by byte, and their windows through the transform.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ W = LENGTH - K + 1
 LONGEST = LENGTH + W - 1
 BLOCK = 1 << 19
 COLLECTION = 6_000  # segments whose transform is built at a time
+CROWD = 20_000
+SLAB = 4 << 20  # bytes of segments compared at a time
 
 FILTER = np.uint64(0xFFFFFFFFFFFF0000)  # 48 bits tell anchors apart well enough to drop those of one document
 
@@ -120,23 +124,17 @@ class Chunk:
         self.ends = np.cumsum(self.sizes)
 
     def blocks(self) -> Iterator[tuple[int, int]]:
-        """Ranges of whole documents of about BLOCK bytes."""
-        lo = 0
-        while lo < len(self.ids):
-            hi = lo + 1
-            start = self.ends[lo] - self.sizes[lo]
-            while hi < len(self.ids) and self.ends[hi] - start <= BLOCK:
-                hi += 1
-            yield lo, hi
-            lo = hi
+        """Ranges of places where windows begin, of BLOCK bytes, so that a text of any length is worked on in parts."""
+        for lo in range(0, len(self.data), BLOCK):
+            yield lo, min(lo + BLOCK, len(self.data))
 
     def runs(self, lo: int, hi: int, spans: bool) -> tuple[np.ndarray, ...]:
-        """Of documents lo to hi: each segment's start, windows, anchor's place in it, anchor key, hash (if spans), document."""
-        base = int(self.ends[lo] - self.sizes[lo])
-        x = self.data[base : int(self.ends[hi - 1])]
+        """Of the windows that begin from lo to hi: each segment's start, windows, anchor's place in it, anchor key, hash (if spans), document."""
+        x = self.data[lo : hi + LENGTH - 1]
         n = len(x)
+        nothing = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
         if n < LENGTH:
-            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
+            return nothing
         powers = doubled(_BYTE[x], spans)
         h = window_hash(powers, K)
         order = mix(h)
@@ -146,15 +144,17 @@ class Chunk:
             m = np.minimum(m[:-step], m[step:])
         m = np.minimum(m[: len(m) - (W - 16)], m[W - 16 :])
         at = (m & np.uint64((1 << 28) - 1)).astype(np.int64)
-        doc = np.repeat(np.arange(lo, hi), self.sizes[lo:hi])
+        first, last = np.searchsorted(self.ends, (lo, lo + n - 1), side="right")
+        edges = np.clip(np.r_[lo, self.ends[first : last + 1]], lo, lo + n)
+        doc = np.repeat(np.arange(first, last + 1), np.diff(edges))
         ok = np.flatnonzero(doc[: n - LENGTH + 1] == doc[LENGTH - 1 :])
         if not len(ok):
-            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
+            return nothing
         a = at[ok]
         first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (ok[1:] != ok[:-1] + 1)])
         count = np.diff(np.r_[first, len(ok)])
         s, anchor = ok[first], a[first]
-        return base + s, count, anchor - s, order[anchor], span_hash(powers, s, s + count - 1 + LENGTH) if spans else order[anchor], doc[s]
+        return lo + s, count, anchor - s, order[anchor], span_hash(powers, s, s + count - 1 + LENGTH) if spans else order[anchor], doc[s]
 
 
 def doubled(value: np.ndarray, spans: bool = True) -> dict[int, np.ndarray]:
@@ -197,7 +197,7 @@ def text_hash(text: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.nda
 
 
 def _anchors(key, pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
-    """Per bucket the chunk's distinct anchor keys, and whether more than one document has them."""
+    """Per bucket the chunk's distinct anchor keys, whether more than one document has them, and their number of places."""
     c = Chunk(pdf.iloc[0])
     keys, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for lo, hi in c.blocks():
@@ -208,35 +208,51 @@ def _anchors(key, pdf: pd.DataFrame, buckets: int) -> pd.DataFrame:
     order = np.argsort(k, kind="stable")
     k, d = k[order], d[order]
     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-    many = np.zeros(len(first), np.uint8)
+    many, places = np.zeros(len(first), np.uint8), np.minimum(np.diff(np.r_[first, len(k)]), 65535).astype(np.uint16)
     if len(first):
         many = (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)).astype(np.uint8)
     k = k[first]
     rows = []
     for b, lo, hi in bucket_slices(k, buckets):
-        body = zstandard.ZstdCompressor(level=1).compress(packed_keys(k[lo:hi]) + np.packbits(many[lo:hi]).tobytes())
+        body = zstandard.ZstdCompressor(level=1).compress(packed_keys(k[lo:hi]) + places[lo:hi].tobytes() + np.packbits(many[lo:hi]).tobytes())
         rows.append((b, int(key[0]), np.int64(hi - lo).tobytes() + body))
     return pd.DataFrame(rows, columns=["bucket", "chunk", "body"])
 
 
-def _repeated(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per chunk a bit for each of its keys: whether several documents of the corpus have it."""
-    ks, many = [], []
+def _repeated(key, pdf: pd.DataFrame, crowd_over: int) -> pd.DataFrame:
+    """Per chunk two bits for each of its keys: whether several documents of the corpus have it, and whether it is crowded."""
+    ks, many, places = [], [], []
     for body in pdf["body"]:
         n = int(np.frombuffer(body[:8], np.int64)[0])
         raw = zstandard.ZstdDecompressor().decompress(body[8:])
         ks.append(unpacked_keys(raw[: 8 * n]))
-        many.append(np.unpackbits(np.frombuffer(raw[8 * n :], np.uint8), count=n))
+        places.append(np.frombuffer(raw, np.uint16, n, 8 * n))
+        many.append(np.unpackbits(np.frombuffer(raw[10 * n :], np.uint8), count=n))
     k = np.concatenate(ks)
     _, back, count = np.unique(k, return_inverse=True, return_counts=True)
     flag = np.bincount(back, weights=np.concatenate(many), minlength=len(count)) + count >= 2
-    flag, at, rows = flag[back], 0, []
+    crowd = np.bincount(back, weights=np.concatenate(places), minlength=len(count)) > crowd_over
+    flag, crowd, at, rows = flag[back], crowd[back], 0, []
     for chunk, x in zip(pdf["chunk"], ks, strict=True):
-        rows.append((chunk, int(key[0]), np.packbits(flag[at : at + len(x)]).tobytes()))
+        part = slice(at, at + len(x))
+        rows.append((chunk, int(key[0]), np.packbits(flag[part]).tobytes() + np.packbits(crowd[part]).tobytes()))
         at += len(x)
     return pd.DataFrame(rows, columns=["chunk", "bucket", "body"])
 
 
+def windows_of(data: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The single windows of segments: segment, start, hash."""
+    owner = np.repeat(np.arange(len(start)), count)
+    at = start[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    h = np.empty(len(at), np.uint64)
+    size = np.full(20_000, LENGTH)
+    for lo in range(0, len(at), len(size)):
+        some = at[lo : lo + len(size)]
+        text = data[some[:, None] + np.arange(LENGTH)].ravel()
+        h[lo : lo + len(some)] = text_hash(text, np.arange(len(some)) * LENGTH, size[: len(some)])
+    return owner, at, h
+
+
 def _segments(key, left: pd.DataFrame, right: pd.DataFrame, buckets: int) -> pd.DataFrame:
     """Requests by bucket: the chunk's distinct segments of repeated anchors, with their smallest
     document; and, in bucket -1, where these segments lie."""
@@ -246,12 +262,18 @@ def _segments(key, left: pd.DataFrame, right: pd.DataFrame, buckets: int) -> pd.
     found = [c.runs(lo, hi, spans=True) for lo, hi in c.blocks()]
     start, count, _, k, h, doc = (np.concatenate(x) for x in zip(*found, strict=True))
     unique = np.unique(k & FILTER)
-    flag = np.zeros(len(unique), bool)
+    flag, crowd = np.zeros(len(unique), bool), np.zeros(len(unique), bool)
     replies = dict(zip(right["bucket"], right["body"], strict=True)) if len(right) else {}
     for b, lo, hi in bucket_slices(unique, buckets):
-        flag[lo:hi] = np.unpackbits(np.frombuffer(replies[b], np.uint8), count=hi - lo)
-    keep = np.flatnonzero(flag[np.searchsorted(unique, k & FILTER)])
-    start, count, k, h, doc = (x[keep] for x in (start, count, k, h, doc))
+        bits = np.frombuffer(replies[b], np.uint8).reshape(2, -1)
+        flag[lo:hi], crowd[lo:hi] = (np.unpackbits(x, count=hi - lo) for x in bits)
+    place = np.searchsorted(unique, k & FILTER)
+    keep, single = np.flatnonzero(flag[place] & ~crowd[place]), np.flatnonzero(flag[place] & crowd[place])
+    owner, at, alone = windows_of(c.data, start[single], count[single])
+    k, h = np.r_[k[keep], mix(alone)], np.r_[h[keep], alone]
+    start, count, doc = np.r_[start[keep], at], np.r_[count[keep], np.ones(len(at), np.int64)], np.r_[doc[keep], doc[single][owner]]
+    order = np.argsort(start, kind="stable")
+    start, count, k, h, doc = (x[order] for x in (start, count, k, h, doc))
     order = np.lexsort((h, k))
     fresh = np.r_[True, (k[order][1:] != k[order][:-1]) | (h[order][1:] != h[order][:-1])] if len(k) else np.zeros(0, bool)
     begins = np.flatnonzero(fresh)
@@ -394,35 +416,65 @@ def narrowed(text: np.ndarray, begin: np.ndarray, windows: np.ndarray) -> tuple[
     return begin + np.where(some, lo, 0), np.where(some, hi - lo + 1, 0)
 
 
+def gathered(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Spans of a text, side by side."""
+    ahead = np.cumsum(size) - size
+    return text[np.repeat(begin - ahead, size) + np.arange(int(size.sum()))]
+
+
+def distinct_texts(text: np.ndarray, begin: np.ndarray, size: np.ndarray, k: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """A number for each text: equal where key and bytes are; h brings equal texts side by side."""
+    order = np.lexsort((size, h, k))
+    a, b = order[:-1], order[1:]
+    same = (k[a] == k[b]) & (h[a] == h[b]) & (size[a] == size[b])
+    hit = np.flatnonzero(same)
+    if len(hit):
+        n = size[a[hit]]
+        equal = gathered(text, begin[a[hit]], n) == gathered(text, begin[b[hit]], n)
+        same[hit] = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+    out = np.empty(len(k), np.int64)
+    out[order] = np.cumsum(np.r_[True, ~same]) - 1
+    return out
+
+
 def _compared(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Per chunk the smallest document of each window of its segments in this bucket."""
+    """Per chunk the smallest document of each window of its segments in this bucket; the segments
+    of some anchors at a time, so that memory depends on SLAB and CROWD."""
     parts = [unpacked(b, np.uint8, np.uint8, np.int64, np.uint8) for b in pdf["body"]]
-    k, windows, low, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+    windows, low, text = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
     k = np.concatenate([unpacked_keys(p[0].tobytes()) for p in parts])
-    sizes = windows.astype(np.int64) + LENGTH - 1
-    begins = np.cumsum(sizes) - sizes
-    h = text_hash(text, begins, sizes)
-    order = np.lexsort((h, k))
-    fresh = np.r_[True, (k[order][1:] != k[order][:-1]) | (h[order][1:] != h[order][:-1])]
-    first = np.flatnonzero(fresh)
-    distinct, index = order[first], np.empty(len(k), np.int64)
-    index[order] = np.cumsum(fresh) - 1
-    d_low = np.minimum.reduceat(low[order], first)
-    d_sizes = sizes[distinct]
-    ends = np.cumsum(d_sizes)
-    d_text = text[np.repeat(begins[distinct] - (ends - d_sizes), d_sizes) + np.arange(ends[-1])]
-    dk = k[distinct]
-    group = np.cumsum(np.r_[True, dk[1:] != dk[:-1]]) - 1
-    best = lowest(d_text, windows[distinct], d_low, group)
-    d_first = np.cumsum(windows[distinct].astype(np.int64)) - windows[distinct]
-    rows, at = [], 0
-    for chunk, p in zip(pdf["chunk"], parts, strict=True):
-        n = len(p[1])
-        w = windows[at : at + n].astype(np.int64)
-        e = np.cumsum(w)
-        rows.append((chunk, int(key[0]), packed(best[np.repeat(d_first[index[at : at + n]] - (e - w), w) + np.arange(e[-1])])))
+    lengths = [len(p[1]) for p in parts]
+    del parts
+    windows = windows.astype(np.int64)
+    sizes = windows + LENGTH - 1
+    begins, firsts = np.cumsum(sizes) - sizes, np.cumsum(windows) - windows
+    out = np.empty(int(windows.sum()), np.int64)
+    order = np.argsort(k, kind="stable")
+    ends, lo = np.cumsum(sizes[order]), 0
+    while lo < len(order):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLAB, side="right")))
+        while hi < len(order) and k[order[hi]] == k[order[hi - 1]]:
+            hi += 1
+        rows = order[lo:hi]
+        lo = hi
+        n, w = sizes[rows], windows[rows]
+        some = gathered(text, begins[rows], n)
+        at = np.cumsum(n) - n
+        number = distinct_texts(some, at, n, k[rows], text_hash(some, at, n))
+        by = np.argsort(number, kind="stable")
+        first = np.flatnonzero(np.r_[True, number[by][1:] != number[by][:-1]])
+        one = by[first]
+        d_low, dk = np.minimum.reduceat(low[rows][by], first), k[rows][one]
+        best = lowest(gathered(some, at[one], n[one]), w[one], d_low, np.cumsum(np.r_[True, dk[1:] != dk[:-1]]) - 1)
+        d_first = np.cumsum(w[one]) - w[one]
+        step = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+        out[np.repeat(firsts[rows], w) + step] = best[np.repeat(d_first[number], w) + step]
+    answers, at = [], 0
+    for chunk, n in zip(pdf["chunk"], lengths, strict=True):
+        to = firsts[at + n - 1] + windows[at + n - 1]
+        answers.append((chunk, int(key[0]), packed(out[firsts[at] : to])))
         at += n
-    return pd.DataFrame(rows, columns=["chunk", "bucket", "body"])
+    return pd.DataFrame(answers, columns=["chunk", "bucket", "body"])
 
 
 def _removed(key, left: pd.DataFrame, right: pd.DataFrame, buckets: int) -> pd.DataFrame:
@@ -458,13 +510,13 @@ def _removed(key, left: pd.DataFrame, right: pd.DataFrame, buckets: int) -> pd.D
     return out
 
 
-def deduped(docs: DataFrame, chunk_bytes: int = 6 << 20) -> DataFrame:
+def deduped(docs: DataFrame, chunk_bytes: int = 6 << 20, crowd: int = CROWD) -> DataFrame:
     """docs (doc_id, text) -> RESULT; spans: starts and ends of the removed runs, as 64-bit integers."""
     chunk_bytes, buckets = plan_sizes(docs, chunk_bytes)
     chunks = bucketed(docs.select("doc_id", "text").mapInPandas(partial(_chunked, size=chunk_bytes), CHUNK), "chunk", buckets)
     by = lambda f: bound(f, buckets)
     asked = chunks.groupBy("chunk").applyInPandas(by(_anchors), ASK)
-    flags = asked.groupBy("bucket").applyInPandas(_repeated, BACK)
+    flags = asked.groupBy("bucket").applyInPandas(lambda key, pdf: _repeated(key, pdf, crowd), BACK)
     found = stored(chunks.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInPandas(by(_segments), ASK))
     compared = found.where("bucket >= 0").groupBy("bucket").applyInPandas(_compared, BACK)
     back = compared.unionByName(found.where("bucket < 0"))

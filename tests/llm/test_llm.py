@@ -297,15 +297,20 @@ def test_linededup_counts_contents(spark):
         assert found[len(rows) + i]["text"] == t
 
 
-def test_suffixdedup(docs, empty, spark):
+@pytest.mark.parametrize("crowd", [20_000, 3])
+def test_suffixdedup(docs, empty, spark, crowd):
+    """By brute force; 504 is longer than a block, and with crowd = 3 most anchors send single windows."""
     extra = spark.createDataFrame([(500, "a" * 400, "en", "s", 1), (501, "b" + "a" * 99, "en", "s", 1), (502, "é" * 60, "en", "s", 1), (503, "x" + "é" * 60, "en", "s", 1)], SCHEMA)
+    rnd = random.Random(8)
+    long = " ".join(str(rnd.random()) for _ in range(30_000))
+    extra = extra.unionByName(spark.createDataFrame([(504, long, "en", "s", 1), (505, "now " + long[520_000:530_000], "en", "s", 1)], SCHEMA))
     table = docs.where("doc_id is not null").unionByName(extra)
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in table.collect()}
     first = {}
     for i in sorted(texts):
         for k in range(len(texts[i]) - 49):
             first.setdefault(texts[i][k : k + 50], i)
-    for r in rows_of(suffixdedup.deduped(table, chunk_bytes=3000)):
+    for r in rows_of(suffixdedup.deduped(table, chunk_bytes=3000, crowd=crowd)):
         b = texts[r["doc_id"]]
         gone = np.zeros(len(b), bool)
         for k in range(len(b) - 49):
