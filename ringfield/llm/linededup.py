@@ -22,7 +22,9 @@ small, and joined by a shuffle otherwise.
 Defined results: null texts stay null and lose nothing; lines without words are no lines here and stay;
 repeated rows are separate documents with equal content; a text whose lines are all dropped is
 left empty and its row stays; an empty table gives an empty result; other columns pass through,
-and n_chars, where present, is counted anew.
+whatever their names (n_lines_dropped is replaced), and n_chars, where present, is counted anew.
+Near copies are told among the texts that have a line of a leaf with enough different texts; other
+texts cannot lose a line.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringfield.llm.common import cut, small, words
+from ringfield.llm.common import cut, fresh, small, words
 
 DEPTH, LEAST = 3, 8
 WILD = "<*>"
@@ -40,16 +42,17 @@ WILD = "<*>"
 SLOTS = (0x1B873593CC9E2D51, -0x4F4A52C7A1D36E09, 0x6A09E667F3BCC908, -0x2545F4914F6CDD1D)
 
 
-def _mask(tokens: str) -> str:
-    return f"transform({tokens}, t -> IF(t RLIKE '[0-9]', '{WILD}', t))"
+#: A token with a digit; tokens are apart by the white space of words().
+VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _row -> (_row, no, leaf, own, copy, tokens) for each line with a word."""
-    df = docs.select("_row", F.split(text, "\n").alias("_lines"), F.xxhash64(text).alias("copy"))
-    df = df.select("_row", "copy", F.posexplode("_lines").alias("no", "line"))
-    df = df.select("_row", "copy", "no", words(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
-    df = df.select("_row", "copy", "no", F.expr(_mask("tokens")).alias("tokens"))
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(_row, text) -> (_row, no, leaf, own, copy, tokens) for each line with a word."""
+    df = docs.select("_row", F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    df = df.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    line = F.when(F.col("line").rlike("[0-9]"), F.regexp_replace("line", VARIABLE, WILD)).otherwise(F.col("line"))
+    df = df.select("_row", "copy", "no", line.alias("line"))  # masked as a whole: no function of each token
+    df = df.select("_row", "copy", "no", words(F.col("line")).alias("tokens"))
     return df.select(
         "_row", "copy", "no",
         F.expr(f"xxhash64(size(tokens), slice(tokens, 1, {DEPTH}))").alias("leaf"),
@@ -58,9 +61,9 @@ def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame) -> DataFrame:
     """(copy, content): text hashes, and the smaller one of a near copy; other texts are contents of their own."""
-    w = docs.select(F.xxhash64(text).alias("copy"), words(F.col(text)).alias("_w"))
+    w = docs.select(F.xxhash64("text").alias("copy"), words(F.col("text")).alias("_w"))
     w = w.select("copy", F.inline(F.arrays_zip(F.col("_w").alias("a"), F.expr("slice(_w, 2, size(_w))").alias("b"), F.expr("slice(_w, 3, size(_w))").alias("c"))))
     h = w.select("copy", F.xxhash64(*w.columns[1:]).alias("_h"))
     minima = cut(h.groupBy("copy").agg(*[F.min(F.col("_h").bitwiseXOR(F.lit(x))).alias(f"_{i}") for i, x in enumerate(SLOTS)]))
@@ -80,24 +83,29 @@ def _recurring(members: DataFrame, key: str, least: int) -> DataFrame:
     return sums.where(F.col("contents") >= least).select(key)
 
 
-def marked(docs: DataFrame, least: int = LEAST, text: str = "text") -> DataFrame:
-    """docs with _row -> (_row, no) of the lines to drop."""
-    lines = lines_of(docs, text)
-    brief = lines.select("_row", "no", "leaf", "own", "copy").join(small(near_copies(docs, text)), "copy", "left")
-    brief = cut(brief.select("_row", "no", "leaf", "own", F.coalesce("content", "copy").alias("content")))
+def marked(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """(_row, text) -> (_row, no) of the lines to drop."""
+    brief = cut(lines_of(docs).drop("tokens"))
+    # Contents are no more than different texts, so a leaf that too few texts reach is done here;
+    # texts without a line of another leaf are not read again.
+    busy = cut(_recurring(brief.withColumnRenamed("copy", "content"), "leaf", least))
+    brief = cut(brief.join(small(busy), "leaf", "left_semi"))
+    some = docs.join(small(cut(brief.select("_row").distinct())), "_row", "left_semi")
+    named = brief.join(small(near_copies(some)), "copy", "left")
+    brief = cut(named.select("_row", "no", "leaf", "own", F.coalesce("content", "copy").alias("content")))
     leaves = cut(_recurring(brief, "leaf", least))
 
     # constants of the leaves in question; equal lines of a leaf are counted before tokens are spread
-    inside = lines.join(small(leaves), "leaf", "left_semi")
+    inside = lines_of(some).join(small(leaves), "leaf", "left_semi")
     kinds = cut(inside.groupBy("leaf", "own").agg(F.count(F.lit(1)).alias("n"), F.first("tokens").alias("tokens")))
     spread = kinds.select("leaf", "n", F.posexplode("tokens").alias("pos", "token"))
     votes = spread.groupBy("leaf", "pos", "token").agg(F.sum("n").alias("n"))
-    total = kinds.groupBy("leaf").agg(F.sum("n").alias("_all"))
-    constant = votes.join(total, "leaf").where((2 * F.col("n") >= F.col("_all")) & (F.col("token") != WILD))
+    total = cut(kinds.groupBy("leaf").agg(F.sum("n").alias("_all")))
+    constant = votes.join(small(total), "leaf").where((2 * F.col("n") >= F.col("_all")) & (F.col("token") != WILD))
     constant = constant.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token"))["token"].alias("token"))
-    shape = constant.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("fixed"))
+    shape = cut(constant.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("pos", "token"))).alias("fixed")))
     fits = F.forall(F.map_entries("fixed"), lambda e: F.get("tokens", e["key"]) == e["value"]) & (2 * F.size("fixed") >= F.size("tokens"))
-    named = kinds.join(shape, "leaf", "left").select("leaf", "own", F.when(fits, F.xxhash64(F.lit("leaf"), "leaf")).otherwise(F.col("own")).alias("template"))
+    named = kinds.join(small(shape, 1 << 14), "leaf", "left").select("leaf", "own", F.when(fits, F.xxhash64(F.lit("leaf"), "leaf")).otherwise(F.col("own")).alias("template"))
     generalised = cut(named.where("template <> own"))
 
     tagged = brief.join(small(generalised), ["leaf", "own"], "left").select("_row", "no", "content", F.coalesce("template", "own").alias("template"))
@@ -108,19 +116,19 @@ def marked(docs: DataFrame, least: int = LEAST, text: str = "text") -> DataFrame
 
 def deduped(docs: DataFrame, least: int = LEAST, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs without the lines of recurring templates, with n_lines_dropped."""
-    rows = docs.drop("n_lines_dropped").withColumn("_row", _row_key(docs, text, doc_id))
-    gone = marked(rows.select("_row", text), least, text).groupBy("_row").agg(F.sort_array(F.collect_set("no")).alias("_gone"))
-    left = rows.join(small(cut(gone), 1 << 18), "_row", "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = left.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept))
-    out = out.withColumn("n_lines_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    out = out.withColumn("n_lines_dropped", F.greatest("n_lines_dropped", F.lit(0)))
+    row, gone = fresh(docs, "_row", "_gone")
+    rows = docs.drop("n_lines_dropped").withColumn(row, _row_key(text, doc_id))
+    lost = marked(rows.select(F.col(row).alias("_row"), F.col(text).alias("text")), least).groupBy(F.col("_row").alias(row)).agg(F.sort_array(F.collect_set("no")).alias(gone))
+    left = rows.join(small(cut(lost), 1 << 18), row, "left")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    out = left.withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept))
+    out = out.withColumn("n_lines_dropped", F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return out.drop("_row", "_gone")
+    return out.drop(row, gone)
 
 
-def _row_key(docs: DataFrame, text: str, doc_id: str) -> Column:
+def _row_key(text: str, doc_id: str) -> Column:
     """Names a row by its id and text: repeated rows share the name and lose the same lines."""
     return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.coalesce(F.col(text), F.lit("")))
 

@@ -6,8 +6,9 @@ integer boundary that its step crosses. Documents run in order of size class, so
 sample is stratified by size and the words taken come near the target.
 
 Defined results: null texts have size 0; a null source is a source of its own, the last one;
-repeated rows are sampled one by one; sources without words get target 0; an empty table
-gives an empty result; other columns pass through, those named like an added one are replaced.
+repeated rows are sampled one by one, in the order of a hash of id and text, so rows alike in both
+are interchangeable; sources without words get target 0; an empty table gives an empty result;
+other columns pass through whatever their names, those named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -51,19 +52,25 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
 
 def mixed(docs: DataFrame, size: Column | None = None, seed: int = 17, source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """docs with ADDED; `copies` says how often the mix takes the row."""
-    rows = docs.drop(*ADDED, "_key").withColumn("size", word_count(F.col("text")) if size is None else size)
-    return _sampled(rows.withColumn("_key", _key(source)), seed, doc_id, weights, share, most)
+    size = word_count(F.col("text")) if size is None else size
+    rows = docs.select(F.struct(*[c for c in docs.columns if c not in ADDED]).alias("_row"), size.alias("size"), _key(source).alias("_key"), _name(doc_id).alias("_name"))
+    return _sampled(rows, seed, weights, share, most).select("_row.*", *ADDED)
 
 
-def _sampled(rows: DataFrame, seed: int, doc_id: str, weights, share, most) -> DataFrame:
+def _name(doc_id: str, text: str = "text") -> Column:
+    """A row's place in any order that the sample takes: of its id and text."""
+    return F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.coalesce(F.col(text), F.lit("")))
+
+
+def _sampled(rows: DataFrame, seed: int, weights, share, most) -> DataFrame:
+    """rows with size, _key and _name -> also ADDED."""
     totals = cut(rows.groupBy("_key").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_n")))
     n = totals.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     with_target = targets(totals.drop("_n"), weights, share, most)
-    d = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
     rows = (
         rows.withColumn("_class", F.floor(F.log2(F.col("size") + 1.0) * 4).cast("int"))
-        .withColumn("_sub", F.pmod(F.xxhash64(F.lit(seed), d), F.lit(fine_buckets(n))).cast("int"))
-        .withColumn("_h", F.xxhash64(F.lit(seed + 1), d))
+        .withColumn("_sub", F.pmod(F.xxhash64(F.lit(seed), "_name"), F.lit(fine_buckets(n))).cast("int"))
+        .withColumn("_h", F.xxhash64(F.lit(seed + 1), "_name"))
         .withColumn("_one", F.lit(1))
     )
     ranked = before_sum(rows, ["_key"], ["_class", "_sub"], ["_h"], "_one", "_rank")
@@ -76,11 +83,11 @@ def _sampled(rows: DataFrame, seed: int, doc_id: str, weights, share, most) -> D
     return (
         ranked.withColumn("copies", copies.cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("_key", "_class", "_sub", "_h", "_one", "_rank")
+        .drop("_key", "_name", "_class", "_sub", "_h", "_one", "_rank")
     )
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    small = cut(docs.select("doc_id", word_count(F.col("text")).alias("size"), _key("source").alias("_key")))
-    return _sampled(small, 17, "doc_id", (3, 1, 2), 1.5, 2.0).select("doc_id", "size", "source_size", "target", "taken")
+    small = cut(docs.select("doc_id", word_count(F.col("text")).alias("size"), _key("source").alias("_key"), _name("doc_id").alias("_name")))
+    return _sampled(small, 17, (3, 1, 2), 1.5, 2.0).select("doc_id", "size", "source_size", "target", "taken")

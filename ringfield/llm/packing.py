@@ -209,7 +209,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, max_docs: int
     limits = (capacity, max_docs or capacity, max_attention or capacity**2)
     runs = places(plan(found, limits, weights))
     n = sum(found.values())
-    key = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "piece")
+    key = F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), "piece", "ids_crc32")
     ranked = pieces.withColumn("_h", key).withColumn("_b", F.pmod("_h", F.lit(fine_buckets(n))).cast("int")).withColumn("_one", F.lit(1))
     ranked = before_sum(ranked, ["length"], ["_b"], ["_h"], "_one", "_rank").drop("_h", "_b", "_one")
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank")

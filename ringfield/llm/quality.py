@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringfield.llm.common import SPACES, cut, stored, words
+from ringfield.llm.common import SPACES, cut, fresh, stored, words
 
 MIN_WORDS = 50
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -27,33 +27,34 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the columns of FEATURES."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.regexp_replace(x, SPACES, "")) > 0)
-    df = docs.drop(*FEATURES, "_w", "_l", "_h", "_p")
-    df = df.select("*", words(t).alias("_w"), lines.alias("_l"))
+    df = docs.drop(*FEATURES)
+    w, ls, h, p = fresh(df, "_w", "_l", "_h", "_p")
+    df = df.select("*", words(t).alias(w), lines.alias(ls))
     df = df.select(
         "*",
-        F.size("_w").cast("long").alias("n_words"),
+        F.size(w).cast("long").alias("n_words"),
         F.length(F.regexp_replace(t, SPACES, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
+        (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
         # (hash of three words, place), sorted: equal windows stand side by side
         F.expr(
-            "IF(size(_w) < 3, array(), array_sort(transform(sequence(0, size(_w) - 3),"
-            " i -> struct(xxhash64(_w[i], _w[i + 1], _w[i + 2]) AS h, i AS i))))"
-        ).alias("_h"),
-    ).drop("_w", "_l")
+            f"IF(size({w}) < 3, array(), array_sort(transform(sequence(0, size({w}) - 3),"
+            f" i -> struct(xxhash64({w}[i], {w}[i + 1], {w}[i + 2]) AS h, i AS i))))"
+        ).alias(h),
+    ).drop(w, ls)
     df = df.withColumn(
-        "_p",
+        p,
         F.expr(
-            "array_sort(transform(filter(_h, (x, k) -> (k > 0 AND _h[k - 1].h = x.h)"
-            " OR (k + 1 < size(_h) AND _h[k + 1].h = x.h)), x -> x.i))"
+            f"array_sort(transform(filter({h}, (x, k) -> (k > 0 AND {h}[k - 1].h = x.h)"
+            f" OR (k + 1 < size({h}) AND {h}[k + 1].h = x.h)), x -> x.i))"
         ),
-    ).drop("_h")
+    ).drop(h)
     covered = F.expr(
-        "aggregate(_p, named_struct('n', 0L, 'last', -3), (a, p) -> named_struct("
+        f"aggregate({p}, named_struct('n', 0L, 'last', -3), (a, p) -> named_struct("
         "'n', a.n + least(3, p - a.last), 'last', p), a -> a.n)"
     )
     # each start covers three words; the overlap with the start before it is not counted twice
-    return df.withColumn("n_repeat_words", covered.cast("long")).drop("_p")
+    return df.withColumn("n_repeat_words", covered.cast("long")).drop(p)
 
 
 def base_failed() -> Column:
@@ -131,10 +132,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verdict(df: DataFrame, at_least: float = 0.5, share: float = 0.8) -> DataFrame:
     """As judged(), for rows that have FEATURES already. share: of good documents among those that pass the base rules."""
     rule = rules()
-    names = [f"_v_{r}" for r in RULES]
-    votes = df.drop("base_failed", "quality", "kept").select(
-        "*", base_failed().alias("base_failed"), *(rule[r].cast("int").alias(f"_v_{r}") for r in RULES)
-    )
+    df = df.drop("base_failed", "quality", "kept")
+    names = fresh(df, *(f"_v_{r}" for r in RULES))
+    votes = df.select("*", base_failed().alias("base_failed"), *(rule[r].cast("int").alias(name) for r, name in zip(RULES, names, strict=True)))
     found = [(tuple(r[:-1]), r[-1]) for r in votes.where("NOT base_failed").groupBy(*names).count().orderBy(*names).collect()]
     theta = fit(found, share)
     odds = F.lit(math.log(share / (1 - share)))

@@ -1,6 +1,6 @@
 """Sharding by balanced label propagation.
 
-Documents are linked when their texts are equal. All start in a shard drawn from their id;
+Documents are linked when their texts are equal. All start in a shard drawn from their id and text;
 in each round the linked documents of a shard want to move to the shard where most of their
 neighbours' bytes are, and a quota for each pair of shards, from the loads and capacities,
 says how much may move. Equal texts have the same neighbours, so a round decides for all
@@ -11,8 +11,10 @@ Documents without links then fill the shards up, large ones first, by prefix sum
 The law is `bytes`: shard sizes near equal.
 
 Defined results: null texts have size 1 and crc32 0 and equal empty texts; repeated rows are
-separate documents with equal texts; an empty table gives an empty result; documents larger
-than a shard's share make their shard larger than the others.
+separate documents with equal texts, ordered by a hash of id and text, so rows alike in both are
+interchangeable; an empty table gives an empty result; documents larger than a shard's share make
+their shard larger than the others; other columns but the text pass through whatever their names,
+those named like an added one are replaced.
 """
 
 from __future__ import annotations
@@ -102,12 +104,12 @@ def sharded(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str =
     t = F.coalesce(F.col(text), F.lit(""))
     d = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
     rows = cut(
-        docs.drop("size", "text_crc32", "shard", "slot").select(
-            *[c for c in docs.columns if c not in (text, "size", "text_crc32", "shard", "slot")],
+        docs.select(
+            F.struct(*[c for c in docs.columns if c not in (text, "size", "text_crc32", "shard", "slot")]).alias("_row"),
             (F.octet_length(t) + 1).cast("long").alias("size"),
             F.crc32(t.cast("binary")).alias("text_crc32"),
             F.struct(F.xxhash64(t), F.crc32(t.cast("binary")), F.octet_length(t)).cast("string").alias("_g"),
-            F.xxhash64(F.lit(5), d).alias("_h"),
+            F.xxhash64(F.lit(5), d, t).alias("_h"),
         )
     ).withColumn("_start", F.pmod("_h", F.lit(shards)).cast("int"))
     texts = cut(rows.groupBy("_g", "_start").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("bytes")))
@@ -159,7 +161,7 @@ def sharded(docs: DataFrame, shards: int = 8, text: str = "text", doc_id: str =
     done = cut(out.unionByName(placed))
     done = done.withColumn("_b", F.pmod(F.shiftright("_h", 16), F.lit(fine_buckets(n))).cast("int")).withColumn("_1", F.lit(1))
     done = before_sum(done, ["shard"], ["_b"], ["_h"], "_1", "slot")
-    return done.drop("_g", "_h", "_start", "_one", "_kind", "_b", "_1")
+    return done.select("_row.*", "size", "text_crc32", "shard", "slot")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

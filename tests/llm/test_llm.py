@@ -391,3 +391,16 @@ def test_words_encode_as_in_whole_texts():
     texts = ["It's HE'LL, (a) b!?.. <|endoftext|>, x́y ẖH̱. \x1cq\x1d r", "Ünïcode　wide nbsp 123 4.5.6, e.g.", "don't. 'tis 're", "", "A" * 300 + " " + "é." * 50]
     plain = [np.array(e.ids, "<u4").tobytes() for e in ids.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert list(ids.batch(texts)) == plain
+
+
+HELPERS = ("_row", "_gone", "_h", "_key", "_class", "_sub", "_one", "_rank", "_g", "_start", "_kind", "_b", "_at", "_w", "_l", "_p", "_v_length", "_base", "_in", "_s", "_name")
+
+
+@pytest.mark.parametrize("f", [quality.judged, linededup.deduped, mixing.mixed, sharding.sharded])
+def test_columns_named_like_helpers_pass_through(docs, f):
+    more = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias(c) for c in HELPERS])
+    plain = f(docs)
+    keep = [c for c in plain.columns if c not in ("text", "quality")]
+    found = rows_of(f(more))
+    assert {tuple(r[c] for c in keep) for r in found} == {tuple(r[c] for c in keep) for r in rows_of(plain)}
+    assert all(r[c] == f"{c}:{'null' if r['doc_id'] is None else r['doc_id']}" for r in found for c in HELPERS)
