@@ -18,8 +18,9 @@ MAX_ID = (1 << 63) - 1
 
 
 def plan_sizes(docs: DataFrame, chunk_bytes: int) -> tuple[int, int]:
-    """Chunk size and number of buckets: both grow with the root of the input beyond some
-    terabytes, so that the rows between chunks and buckets stay in proportion to the input."""
+    """Chunk size and number of buckets. Beyond half a terabyte chunks grow with the input up to 64 MB,
+    what a task holds in numpy. From 4 TB on the rows between chunks and buckets grow with the
+    square of the input while each gets smaller: at 100 TB some hundred bytes a row."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     while total / chunk_bytes > 1 << 16 and chunk_bytes < 64 << 20:
         chunk_bytes *= 2
