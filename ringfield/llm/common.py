@@ -62,6 +62,12 @@ def compact(df: DataFrame, rows: int = 1 << 17) -> DataFrame:
     return done.coalesce(done.count() // rows + 1)
 
 
+def released(spark: SparkSession) -> None:
+    """Shuffle files go when the driver's collector finds that no plan refers to them. A loop whose
+    rounds exchange much asks it to look now, lest the files of all rounds lie on the executors."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def bucketed(df: DataFrame, key: str, least: int) -> DataFrame:
     """df as a table of the shared warehouse, bucketed by key: grouping it by key again and
     again, alone or with other rows, shuffles only the other rows. For rows that are few and

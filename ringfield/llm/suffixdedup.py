@@ -31,8 +31,8 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterator
+from contextlib import ExitStack
 from functools import partial
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -154,7 +154,8 @@ class Chunk:
         first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (ok[1:] != ok[:-1] + 1)])
         count = np.diff(np.r_[first, len(ok)])
         s, anchor = ok[first], a[first]
-        return lo + s, count, anchor - s, order[anchor], span_hash(powers, s, s + count - 1 + LENGTH) if spans else order[anchor], doc[s]
+        key = mix(order[anchor])  # minimisers are the small hashes; their keys are even
+        return lo + s, count, anchor - s, key, span_hash(powers, s, s + count - 1 + LENGTH) if spans else key, doc[s]
 
 
 def doubled(value: np.ndarray, spans: bool = True) -> dict[int, np.ndarray]:
@@ -301,15 +302,20 @@ def transform(segments: np.ndarray, sizes: np.ndarray, reach: int = 0) -> tuple[
     m, width = segments.shape
     rounds = int(sizes.max())
     flat, start = segments.ravel(), (np.arange(m) * width).astype(np.int32)
-    with tempfile.TemporaryDirectory(prefix="bwt-") as folder:
-        names = {x: Path(folder, x) for x in ("bwt", "lcp", "who", "len")}
+    with ExitStack() as stack:
+        files = {x: stack.enter_context(tempfile.TemporaryFile(prefix="bwt-", buffering=0)) for x in ("bwt", "lcp", "who", "len")}
+        written = dict.fromkeys(files, 0)
 
         def write(**arrays: np.ndarray) -> None:
+            """Front to back over what the round before has written; a column never has fewer suffixes than the one before."""
             for x, a in arrays.items():
-                a.tofile(names[x])
+                files[x].seek(0)
+                a.tofile(files[x])
+                written[x] = len(a)
 
         def read(x: str, kind: type) -> np.ndarray:
-            return np.fromfile(names[x], kind)
+            files[x].seek(0)
+            return np.fromfile(files[x], kind, written[x])
 
         def ahead(who: np.ndarray, length: np.ndarray) -> np.ndarray:
             """The symbol before each suffix, plus one (no UTF-8 text has the byte 255); 0 at a segment's start."""
