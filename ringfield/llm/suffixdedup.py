@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringfield.llm.chunks import MAX_ID, bucket_slices, packed_keys, plan_sizes, unpacked_keys
-from ringfield.llm.common import bucketed, stored
+from ringfield.llm.common import bucketed, released, stored
 from ringfield.llm.neardup import mix
 
 LENGTH, K = 50, 26
@@ -524,6 +524,8 @@ def deduped(docs: DataFrame, chunk_bytes: int = 6 << 20, crowd: int = CROWD) ->
     asked = chunks.groupBy("chunk").applyInPandas(by(_anchors), ASK)
     flags = asked.groupBy("bucket").applyInPandas(lambda key, pdf: _repeated(key, pdf, crowd), BACK)
     found = stored(chunks.groupBy("chunk").cogroup(flags.groupBy("chunk")).applyInPandas(by(_segments), ASK))
+    del asked, flags
+    released(docs.sparkSession)
     compared = found.where("bucket >= 0").groupBy("bucket").applyInPandas(_compared, BACK)
     back = compared.unionByName(found.where("bucket < 0"))
     return chunks.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInPandas(by(_removed), RESULT)
