@@ -13,8 +13,9 @@ neighbours stand out more in it than in the whole, so that recall does not fall
 
 Defined results: vectors that are null, zero, of another length than most rows' or that hold
 null or non-finite components take no part; repeated rows (one id twice) are separate
-candidates, and rows with the query's own id are none; with fewer rows than asked for, all
-candidates are returned; an empty table gives an empty result; other columns are ignored.
+candidates, and rows with the query's own id are none; repeated query rows with one id and vector are
+one query, those with one id and several vectors are several queries that are ranked apart; with
+fewer rows than asked for, all candidates are returned; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from ringfield.llm.common import cut
 
 BITS = 32
-FOUND = "query_id bigint, vec_id bigint, score double"
+FOUND = "query_id bigint, query bigint, vec_id bigint, score double"
 
 
 def forest(x: np.ndarray, trees: int, seed: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray], np.ndarray]:
@@ -76,17 +77,17 @@ def candidates(q: np.ndarray, built: tuple, wanted: int) -> list[np.ndarray]:
 
 def _answer(key: tuple, base: pd.DataFrame, asked: pd.DataFrame, k: int, trees: int, share: float, seed: int) -> pd.DataFrame:
     if not len(base) or not len(asked):
-        return pd.DataFrame({"query_id": pd.array([], "int64"), "vec_id": pd.array([], "int64"), "score": pd.array([], "float64")})
+        return pd.DataFrame({"query_id": pd.array([], "int64"), "query": pd.array([], "int64"), "vec_id": pd.array([], "int64"), "score": pd.array([], "float64")})
     base = base.sort_values("vec_id", ignore_index=True)
     x, q = np.stack(base["v"].to_numpy()).astype(float), np.stack(asked["v"].to_numpy()).astype(float)
-    ids, qid = base["vec_id"].to_numpy(), asked["query_id"].to_numpy()
+    ids, qid, name = base["vec_id"].to_numpy(), asked["query_id"].to_numpy(), asked["query"].to_numpy()
     wanted = max(4 * k, int(np.ceil(share * len(x))))
     rows = []
     for i, c in enumerate(candidates(q, forest(x, trees, seed), wanted)):
         c = c[ids[c] != qid[i]]
         d = np.sqrt(((x[c] - q[i]) ** 2).sum(axis=1))
         best = np.lexsort((ids[c], d))[:k]
-        rows.append(pd.DataFrame({"query_id": qid[i], "vec_id": ids[c][best], "score": d[best]}))
+        rows.append(pd.DataFrame({"query_id": qid[i], "query": name[i], "vec_id": ids[c][best], "score": d[best]}))
     return pd.concat(rows)
 
 
@@ -103,15 +104,15 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, trees: int = 96,
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     rows = rows.where(F.size("v") == (size[0] if size else 0))
     n = size[1] if size else 0
-    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
+    asked = rows.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), F.xxhash64("v").alias("query"), "v").dropDuplicates(["query_id", "query"])
     groups, blocks = max(1, -(-(n // every + 1) // group)), max(1, -(-n // block))
     each = lambda count, name: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
     base = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), each(groups, "grp"), "vec_id", "v")
-    asked = asked.select(each(blocks, "block"), F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("grp"), "query_id", "v")
+    asked = asked.select(each(blocks, "block"), F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("grp"), "query_id", "query", "v")
     found = base.groupBy("block", "grp").cogroup(asked.groupBy("block", "grp")).applyInPandas(
         partial_named(_answer, k=k, trees=trees, share=share, seed=seed), FOUND
     )
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    best = Window.partitionBy("query_id", "query").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -393,6 +393,15 @@ def test_words_encode_as_in_whole_texts():
     assert list(ids.batch(texts)) == plain
 
 
+def test_repeated_queries(spark):
+    rows = [(i, [float(i % 13) + 1, float(i % 7), float(i % 5)]) for i in range(1, 150)] + [(100, [1.0, 2.0, 3.0])] * 2
+    found = rows_of(neighbours.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), block=40))
+    want = []
+    for q in {tuple(v) for i, v in rows if i == 100}:
+        want += [(k + 1, *x) for k, x in enumerate(sorted((round(math.dist(q, v), 9), i) for i, v in rows if i != 100)[:10])]
+    assert sorted((r["rank"], round(r["score"], 9), r["vec_id"]) for r in found) == sorted(want)
+
+
 HELPERS = ("_row", "_gone", "_h", "_key", "_class", "_sub", "_one", "_rank", "_g", "_start", "_kind", "_b", "_at", "_w", "_l", "_p", "_v_length", "_base", "_in", "_s", "_name")
 
 
