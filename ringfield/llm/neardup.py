@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringfield.llm.common import compact, small, stored
+from ringfield.llm.common import compact, released, small, stored
 from ringfield.operators.graph import components
 
 PERMS, MOST, CHUNKS = 80, 31, 16
@@ -273,7 +273,9 @@ def grouped(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     sig = classes.groupBy("id").agg(F.min(F.struct("hi", "lo", "n_shingles", "sig", "cells")).alias("c")).select("id", "c.n_shingles", "c.sig", "c.cells")
 
     members = buckets(classes.select("id", "sig").mapInPandas(_keyed, "key bigint, id bigint, slot tinyint"))
+    released(docs.sparkSession)  # of the keys that one id alone has
     links = confirmed(stars(members, sig, percent), docs, shingle, percent)
+    released(docs.sparkSession)
     more = confirmed(left_over(members, components(None, links), sig, percent), docs, shingle, percent)
     found = components(None, links.unionAll(more))
 
