@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringfield.config import THING_IDS
+from ringfield.config import GT_IDS
 from ringfield.functions import classify
+from ringfield.functions.geometry import centre, level_resolution, ring_level
 from ringfield.operators.grid import KEY, cell_stats, with_cell
 from ringfield.operators.semantic import unpack
 
 
 def gt_points(points: DataFrame) -> DataFrame:
-    rows = unpack(points).where(F.col("semantic_id").isin(*THING_IDS) & (F.col("instance_id") > 0))
+    rows = unpack(points).where(F.col("semantic_id").isin(*GT_IDS) & (F.col("instance_id") > 0))
     return rows.withColumn("gt_id", F.col("label"))
 
 
@@ -26,8 +27,17 @@ def gt_objects(points: DataFrame, least: int = 5) -> DataFrame:
 
 
 def proposal_points(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """Non-ground points in the cells of each proposal; cells: KEY with object_id."""
-    return with_cell(points).where("NOT is_ground").join(cells.select(*KEY, "object_id"), KEY).select("frame_id", "object_id", "point_id")
+    """Points in range inside the cells of each proposal, edges included; cells: KEY with object_id.
+    A point on an edge may lie in cells of two proposals, and in a cell of another ring. Cells are
+    spread to the tiles they touch, four at most, so points and cells meet on equal keys."""
+    tile, size = 0.5, level_resolution("level")
+    lo, hi = (lambda c: centre(c, size) - size / 2), (lambda c: centre(c, size) + size / 2)
+    box = cells.select("frame_id", "object_id", lo("ix").alias("_x0"), hi("ix").alias("_x1"), lo("iy").alias("_y0"), hi("iy").alias("_y1"))
+    at = lambda c: F.floor(F.col(c) / tile)
+    tiles = box.select("*", F.explode(F.sequence(at("_x0"), at("_x1"))).alias("_tx")).select("*", F.explode(F.sequence(at("_y0"), at("_y1"))).alias("_ty"))
+    near = points.where(ring_level("x", "y").isNotNull()).select("frame_id", "point_id", "x", "y", at("x").alias("_tx"), at("y").alias("_ty"))
+    hit = near.join(tiles, ["frame_id", "_tx", "_ty"]).where(F.col("x").between(F.col("_x0"), F.col("_x1")) & F.col("y").between(F.col("_y0"), F.col("_y1")))
+    return hit.select("frame_id", "object_id", "point_id").distinct()
 
 
 def overlaps(inside: DataFrame, truth: DataFrame) -> DataFrame:

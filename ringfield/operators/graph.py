@@ -13,6 +13,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df to the folder that the cluster names for checkpoints (one of our own only where none is set)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") and not df.sparkSession.conf.get("spark.checkpoint.dir", None):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ringfield-"))
     return df.checkpoint(eager=True)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringfield.config import COMPATIBLE, SEMANTIC_NAMES, THING_IDS
+from ringfield.config import COMPATIBLE, MERGE_GAP, MERGE_GAP_DEFAULT, OBJECT_IDS, QUALITY, QUALITY_DEFAULT, SEMANTIC_NAMES
 from ringfield.operators.components import bucket_pairs
 from ringfield.operators.graph import components_within
 from ringfield.operators.grid import KEY, with_cell
@@ -73,7 +73,7 @@ def thing_cells(counts: DataFrame) -> DataFrame:
     """Cells whose dominant class is an object class, with their id, centre and entropy."""
     from ringfield.functions.geometry import cell_id
 
-    d = dominant_class(counts).where(F.col("semantic_id").isin(*THING_IDS)).join(cell_entropy(counts), KEY)
+    d = dominant_class(counts).where(F.col("semantic_id").isin(*OBJECT_IDS)).join(cell_entropy(counts), KEY)
     at = lambda i: (F.col(i) + 0.5) * F.col("resolution")
     return d.select(cell_id().alias("cell_id"), *KEY, "resolution", "semantic_id", "confidence", "points", "entropy", at("ix").alias("center_x"), at("iy").alias("center_y"))
 
@@ -109,26 +109,52 @@ def hypotheses(cells: DataFrame, links: DataFrame | None = None) -> DataFrame:
     return out.withColumn("confidence", 0.65 * F.col("_share") + 0.35 * F.col("_confidence")).drop("_share", "_confidence")
 
 
-def merged_fragments(found: DataFrame, max_gap: float = 0.8) -> DataFrame:
-    """Hypotheses of one class whose boxes are at most max_gap apart become one, until none are.
+def by_class(values: dict, default, semantic_id: str = "semantic_id") -> Column:
+    """The value of a row's class."""
+    out = F.lit(default)
+    for k, v in values.items():
+        out = F.when(F.col(semantic_id) == k, F.lit(v)).otherwise(out)
+    return out
+
+
+def quality_filter(found: DataFrame) -> DataFrame:
+    """Hypotheses with enough points, cells and extent for their class."""
+    points, cells, extent = (by_class({k: v[i] for k, v in QUALITY.items()}, QUALITY_DEFAULT[i]) for i in range(3))
+    wide = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+    return found.where((F.col("points") >= points) & (F.col("cells") >= cells) & (wide >= extent))
+
+
+def merged_fragments(found: DataFrame) -> DataFrame:
+    """Hypotheses of one class whose boxes are at most the class's gap apart become one, until none are.
     Boxes only grow, so every order ends in the same groups; each round is one join per frame
-    and class, on boxes that are fewer every time."""
-    keep = ["frame_id", "semantic_id", "hypothesis_id", "min_x", "max_x", "min_y", "max_y", "cells", "points"]
-    rows = found.select(*keep)
+    and class, on boxes that are fewer every time. Centre, confidence and entropy are means by points."""
+    from ringfield.operators.graph import cut
+
+    means = ["center_x", "center_y", "confidence", "entropy"]
+    keep = ["frame_id", "semantic_id", "hypothesis_id", "min_x", "max_x", "min_y", "max_y", "cells", "points", *means]
+    rows = cut(found.select(*keep))
     while True:
-        a = rows.select("frame_id", "semantic_id", *[F.col(c).alias(f"a_{c}") for c in keep[2:]])
-        b = rows.select("frame_id", "semantic_id", *[F.col(c).alias(f"b_{c}") for c in keep[2:]])
+        side = lambda p: rows.select("frame_id", "semantic_id", *[F.col(c).alias(f"{p}_{c}") for c in ("hypothesis_id", "min_x", "max_x", "min_y", "max_y")])
         gap = lambda c: F.greatest(F.col(f"b_min_{c}") - F.col(f"a_max_{c}"), F.col(f"a_min_{c}") - F.col(f"b_max_{c}"), F.lit(0.0))
-        near = a.join(b, ["frame_id", "semantic_id"]).where((F.col("a_hypothesis_id") < F.col("b_hypothesis_id")) & (F.hypot(gap("x"), gap("y")) <= max_gap))
-        links = near.select("frame_id", F.col("a_hypothesis_id").alias("a"), F.col("b_hypothesis_id").alias("b"))
+        both = side("a").join(side("b"), ["frame_id", "semantic_id"]).where(F.col("a_hypothesis_id") < F.col("b_hypothesis_id"))
+        near = both.where(F.hypot(gap("x"), gap("y")) <= by_class(MERGE_GAP, MERGE_GAP_DEFAULT))
+        links = cut(near.select("frame_id", F.col("a_hypothesis_id").alias("a"), F.col("b_hypothesis_id").alias("b")))
         if links.isEmpty():
             return rows
         named = components_within("frame_id", rows.select("frame_id", F.col("hypothesis_id").alias("id")), links)
-        from ringfield.operators.graph import cut
-
         rows = cut(
             rows.join(named.select(F.col("id").alias("hypothesis_id"), "component"), "hypothesis_id")
             .groupBy("frame_id", "semantic_id", F.col("component").alias("hypothesis_id"))
-            .agg(*[F.min(c).alias(c) for c in ("min_x", "min_y")], *[F.max(c).alias(c) for c in ("max_x", "max_y")], F.sum("cells").alias("cells"), F.sum("points").alias("points"))
+            .agg(
+                *[F.min(c).alias(c) for c in ("min_x", "min_y")], *[F.max(c).alias(c) for c in ("max_x", "max_y")],
+                *[(F.sum(F.col(c) * F.col("points")) / F.sum("points")).alias(c) for c in means], F.sum("cells").alias("cells"), F.sum("points").alias("points"),
+            )
             .select(*keep)
-        )
+        )
+
+
+def semantic_objects(cells: DataFrame) -> DataFrame:
+    """Hypotheses that pass the quality rules, merged, and judged again."""
+    from ringfield.operators.graph import cut
+
+    return quality_filter(merged_fragments(quality_filter(hypotheses(cut(cells)))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ringfield.config import COMPATIBLE, SEMANTIC_NAMES, THING_IDS
+from ringfield.config import COMPATIBLE, GT_IDS, OBJECT_IDS, SEMANTIC_NAMES
 from ringfield.functions import classify
 from ringfield.operators import components as c
 from ringfield.operators import evaluation as e
@@ -13,13 +13,14 @@ from ringfield.operators import semantic as s
 from ringfield.operators.graph import cut
 from ringfield.operators.grid import KEY, adaptive_grid
 from ringfield.plans.registry import query, rounded
-from ringfield.plans.sql import CELL_ID, bucket
+from ringfield.plans.sql import CELL_ID, bucket, size_of
 from ringfield.plans.sql import query as q
 from ringfield.plans.sql import rounded as r
 from ringfield.sources.derived import points
 
 K = "frame_id, level, ix, iy"
-THINGS = f"({', '.join(map(str, THING_IDS))})"
+THINGS = f"({', '.join(map(str, GT_IDS))})"
+OBJECTS = f"({', '.join(map(str, OBJECT_IDS))})"
 NAME = "CASE semantic_id " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in SEMANTIC_NAMES.items()) + " ELSE 'class-' || semantic_id END"
 GROUP = "CASE " + " ".join(f"WHEN semantic_id IN {ids} THEN '{n}'" for n, ids in COMPATIBLE.items()) + " ELSE 'class-' || semantic_id END"
 
@@ -27,7 +28,7 @@ DOMINANT = f"SELECT {K}, semantic_id, CAST(n AS DOUBLE) / total AS confidence, C
 ENTROPY = f"SELECT {K}, -sum(p * log2(p)) AS entropy FROM (SELECT *, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY {K}) AS p FROM cell_labels) GROUP BY {K}"
 THING_CELLS = (
     f"SELECT {CELL_ID} AS cell_id, d.*, e.entropy, (d.ix + 0.5) * c.resolution AS center_x, (d.iy + 0.5) * c.resolution AS center_y, c.resolution, {GROUP} AS grp FROM dominant d"
-    f" JOIN entropy e USING ({K}) JOIN cells c USING ({K}) WHERE d.semantic_id IN {THINGS}"
+    f" JOIN entropy e USING ({K}) JOIN cells c USING ({K}) WHERE d.semantic_id IN {OBJECTS}"
 )
 SLINKS = (
     "SELECT a.frame_id, a.cell_id AS a, b.cell_id AS b FROM tcells a JOIN tcells b ON a.frame_id = b.frame_id AND a.grp = b.grp AND a.cell_id < b.cell_id"
@@ -39,7 +40,10 @@ GTS = (
     " round(avg(x), 9) AS center_x, round(avg(y), 9) AS center_y, round(avg(z), 9) AS center_z FROM truth GROUP BY frame_id, gt_id, semantic_id, instance_id) WHERE points >= 5)"
 )
 OCELLS = "SELECT c.frame_id, c.level, c.ix, c.iy, m.object_id FROM component_cells c JOIN members m ON m.component_id = c.component_id"
-INSIDE = "SELECT p.frame_id, o.object_id, p.point_id FROM mapped p JOIN ocells o ON o.frame_id = p.frame_id AND o.level = p.level AND o.ix = p.ix AND o.iy = p.iy WHERE NOT p.is_ground"
+INSIDE = (
+    "SELECT DISTINCT p.frame_id, o.object_id, p.point_id FROM mapped p JOIN (SELECT frame_id, object_id, ix * s + s / 2 - s / 2 AS x0, ix * s + s / 2 + s / 2 AS x1, iy * s + s / 2 - s / 2 AS y0, iy * s + s / 2 + s / 2 AS y1"
+    f" FROM (SELECT *, {size_of('level')} AS s FROM ocells)) o ON o.frame_id = p.frame_id AND p.x BETWEEN o.x0 AND o.x1 AND p.y BETWEEN o.y0 AND o.y1"
+)
 OVER = (
     "SELECT *, CAST(overlap AS DOUBLE) / gt_points AS coverage, CAST(overlap AS DOUBLE) / proposal_points AS purity, CAST(overlap AS DOUBLE) / (gt_points + proposal_points - overlap) AS iou FROM"
     " (SELECT i.frame_id, i.object_id, t.gt_id, count(*) AS overlap FROM inside i JOIN truth t ON t.frame_id = i.frame_id AND t.point_id = i.point_id GROUP BY 1, 2, 3)"
@@ -117,6 +121,12 @@ def merged_fragments(spark, sf_dir):
     return s.merged_fragments(cut(s.hypotheses(cut(s.thing_cells(s.semantic_counts(points(spark, sf_dir)))))))
 
 
+@query("semantic_objects")
+def semantic_objects(spark, sf_dir):
+    """Hypotheses after the quality rules of their class, the merge of fragments, and the rules again."""
+    return s.semantic_objects(s.thing_cells(s.semantic_counts(points(spark, sf_dir))))
+
+
 @query("gt_objects", q("SELECT * FROM gts", "labelled", truth=TRUTH, gts=GTS))
 def gt_objects(spark, sf_dir):
     return e.gt_objects(points(spark, sf_dir))
