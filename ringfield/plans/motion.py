@@ -152,7 +152,7 @@ def accumulated_cloud(spark, sf_dir):
 def detections(spark, sf_dir):
     """Proposals of all frames as one sequence in world coordinates, 0.1 s apart."""
     p = proposals(groups(spark, sf_dir)).withColumns({"x": F.col("center_x"), "y": F.col("center_y"), "z": F.lit(0.0)})
-    world = poses.world_points(p, derived_poses(spark, sf_dir).withColumns({c: F.lit(v) for c, v in (("r00", 1.0), ("r01", 0.0), ("r10", 0.0), ("r11", 1.0), ("t0", 0.0), ("t1", 0.0))}))
+    world = poses.world_points(p, derived_poses(spark, sf_dir))
     return world.select(
         F.lit(0).cast("bigint").alias("sequence_id"), "frame_id", (F.col("frame_id") * 0.1).alias("ts_s"), "object_id", "classification",
         F.col("wx").alias("x"), F.col("wy").alias("y"), "width", "length", "confidence",
