@@ -14,7 +14,7 @@ from ringfield.llm import linededup, mixing, neardup, packing, quality
 from ringfield.llm.common import stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-ORACLE_SQL = None  # no stage but the first part of one is expressible; tests hold the stages against brute force
+ORACLE_SQL = None  # hashing, EM and tokenizers are not SQL; tests/llm hold the operators to brute force or properties, and the stages to row counts
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
