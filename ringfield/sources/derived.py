@@ -8,20 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _D = "CAST({} AS DOUBLE)".format
-_OBJ = "(l_orderkey % 24 < 12)"
 _O = "(l_orderkey % 24)"
+# object 7 is gone after the fourth frame, object 9 has two parts that lie apart, object 6 is two labelled instances side by side
+_OBJ = f"({_O} < 12 AND NOT ({_O} = 7 AND l_linenumber > 4))"
 
 POINT = {
     "frame_id": "CAST(l_linenumber - 1 AS BIGINT)",
-    "point_id": "CAST(l_orderkey * 8 + l_linenumber AS BIGINT)",
+    # lines of an order may share their number; order, part and price tell them apart inside a frame
+    "point_id": "CAST((l_orderkey % 268435456) * 4294967296 + (CAST(round(l_extendedprice * 100) AS BIGINT) % 16777216) * 256 + l_partkey % 256 AS BIGINT)",
     "x": f"CASE WHEN {_OBJ} THEN {_D(f'{_O} * 17 % 41 - 20')} * {_D(2)} + {_D('l_linenumber')} * {_D(1)} / {_D(4)} + {_D('l_partkey % 8')} / {_D(4)}"
     f" ELSE {_D('(l_partkey * 37 + l_orderkey) % 2561 - 1280')} / {_D(32)} END",
-    "y": f"CASE WHEN {_OBJ} THEN {_D(f'{_O} * 29 % 37 - 18')} * {_D(2)} + {_D('l_suppkey % 8')} / {_D(4)}"
+    "y": f"CASE WHEN {_OBJ} THEN {_D(f'{_O} * 29 % 37 - 18')} * {_D(2)} + {_D('l_suppkey % 8')} / {_D(4)} + CASE WHEN {_O} = 9 AND l_suppkey % 8 >= 4 THEN {_D(3)} / {_D(4)} ELSE {_D(0)} END"
     f" ELSE {_D('(l_orderkey * 53 + l_partkey) % 2561 - 1280')} / {_D(32)} END",
     "z": f"CASE WHEN {_OBJ} THEN {_D(1)} / {_D(4)} + {_D('CAST(l_quantity AS BIGINT) % 32')} / {_D(16)}"
     f" ELSE {_D('(l_orderkey + l_partkey) % 9 - 4')} / {_D(256)} END",
     # low 16 bits: semantic id; high 16 bits: instance, 0 on the ground
-    "label": f"CAST(CASE WHEN {_OBJ} THEN ({_O} + 1) * 65536 + CASE {_O} WHEN 0 THEN 10 WHEN 1 THEN 30 WHEN 2 THEN 50 WHEN 3 THEN 71 WHEN 4 THEN 80"
+    "label": f"CAST(CASE WHEN {_OBJ} THEN ({_O} + 1 + CASE WHEN {_O} = 6 AND l_suppkey % 8 >= 4 THEN 100 ELSE 0 END) * 65536 + CASE {_O} WHEN 0 THEN 10 WHEN 1 THEN 30 WHEN 2 THEN 50 WHEN 3 THEN 71 WHEN 4 THEN 80"
     " WHEN 5 THEN 81 WHEN 6 THEN 10 WHEN 7 THEN 30 WHEN 8 THEN 252 WHEN 9 THEN 18 WHEN 10 THEN 99 ELSE 52 END"
     " ELSE CASE WHEN (l_orderkey + l_partkey) % 7 < 5 THEN 40 ELSE 72 END END AS BIGINT)",
 }
