@@ -6,7 +6,7 @@ import importlib
 
 from ringfield.plans.registry import QUERIES, SQL
 
-MODULES = ("grid", "objects", "evaluation", "motion", "diagnosis")
+MODULES = ("grid", "objects", "evaluation", "motion", "diagnosis", "detector", "failures")
 
 
 def _load() -> None:

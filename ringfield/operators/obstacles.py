@@ -10,14 +10,15 @@ from ringfield.functions.geometry import cell_id, centre
 from ringfield.operators.grid import KEY, cell_stats
 
 
-def local_ground(cells: DataFrame, cfg: Obstacles = Obstacles()) -> DataFrame:
-    """Ground height for cells with obstacle points but no ground, from ground cells of the same
-    level within cfg.radius cells on both axes, weighted by inverse distance.
+def local_ground(cells: DataFrame, cfg: Obstacles = Obstacles(), want: DataFrame | None = None) -> DataFrame:
+    """Ground height for cells with obstacle points but no ground (or for those of `want`: KEY, resolution),
+    from ground cells of the same level within cfg.radius cells on both axes, weighted by inverse distance.
 
     Cells meet by tiles one cell wider than the radius: a cell looks in the nine tiles around its
     own, so the join is on equal keys and the window test is left over."""
     tile = cfg.radius + 1
-    want = cells.where((F.col("ground_count") == 0) & (F.col("obstacle_count") >= cfg.min_points))
+    if want is None:
+        want = cells.where((F.col("ground_count") == 0) & (F.col("obstacle_count") >= cfg.min_points))
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     want = want.select(*KEY, "resolution", around.alias("_n"))
     want = want.select(

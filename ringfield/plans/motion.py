@@ -225,3 +225,18 @@ def point_along_path(spark, sf_dir):
     at = lambda k: (F.col("event_id") % k).cast("double") / 4
     return rounded(planning.point_along(e.select("user_id", "event_id", at(97).alias("x"), at(89).alias("y")), "user_id", "event_id", 0.5), "x y", 6)
 
+
+
+@query("track_labels")
+def track_labels(spark, sf_dir):
+    return tracking.track_labels(tracking.tracks(detections(spark, sf_dir)))
+
+
+@query("track_class_counts")
+def track_class_counts(spark, sf_dir):
+    return tracking.class_counts(tracking.tracks(detections(spark, sf_dir)))
+
+
+@query("track_trails")
+def track_trails(spark, sf_dir):
+    return tracking.trails(tracking.world_objects(tracking.tracks(detections(spark, sf_dir))))
