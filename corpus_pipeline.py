@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringfield.llm import linededup, mixing, neardup, packing, quality
-from ringfield.llm.common import stored
+from ringfield.llm.common import cut, released, small, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None  # hashing, EM and tokenizers are not SQL; tests/llm hold the operators to brute force or properties, and the stages to row counts
@@ -31,9 +31,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rest = [c for c in COLUMNS if c != "text"]
     once = docs.where(unnamed).groupBy("text").agg(F.min(F.struct(*rest)).alias("_r")).select("text", "_r.*").select(*COLUMNS)
     key = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    rows = stored(docs.where(~unnamed).select(*COLUMNS).unionAll(once).withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), key)))
-    kept = neardup.grouped(rows.select(F.col("_key").alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias("_key")).distinct()
-    return rows.join(kept, "_key", "left_semi").select(*COLUMNS)
+    # read anew from docs each time: a key is a pure function of its row, and a written copy would be one more of all texts
+    rows = docs.where(~unnamed).select(*COLUMNS).unionAll(once).withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), key))
+    verdicts = neardup.grouped(rows.select(F.col("_key").alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("_key")).agg(F.max("kept").alias("kept"))
+    gone = cut(verdicts.where("NOT kept").select("_key"))
+    released(spark)
+    return rows.join(small(gone), "_key", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
