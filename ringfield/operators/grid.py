@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringfield.config import MAX_RANGE
@@ -192,7 +192,7 @@ def elevation_patches(cells: DataFrame) -> DataFrame:
     return c.where("ground_count > 0").select(*KEY, (F.col("center_x") - half).alias("x0"), (F.col("center_y") - half).alias("y0"), "resolution", "ground_elevation")
 
 
-def frame_running_points(cells: DataFrame) -> DataFrame:
-    """Points mapped up to and with each frame."""
+def frame_running_points(cells: DataFrame, sequence: Column) -> DataFrame:
+    """Points mapped up to and with each frame of a sequence; sequence tells a frame's."""
     per = cells.groupBy("frame_id").agg(F.sum("point_count").alias("points"))
-    return per.withColumn("points_so_far", F.sum("points").over(Window.orderBy("frame_id")))
+    return per.withColumn("points_so_far", F.sum("points").over(Window.partitionBy(sequence).orderBy("frame_id")))

@@ -33,25 +33,25 @@ def ego_points(points: DataFrame, poses: DataFrame) -> DataFrame:
     return rows.withColumns({"ex": x, "ey": y, "ez": z}).drop(*POSE)
 
 
-def heading(poses: DataFrame) -> DataFrame:
+def heading(poses: DataFrame, *keys: str) -> DataFrame:
     """Where the sensor is and which way its x axis points."""
-    return poses.select("frame_id", F.col("t0").alias("x"), F.col("t1").alias("y"), F.col("t2").alias("z"), F.atan2("r10", "r00").alias("yaw"))
+    return poses.select(*keys, "frame_id", F.col("t0").alias("x"), F.col("t1").alias("y"), F.col("t2").alias("z"), F.atan2("r10", "r00").alias("yaw"))
 
 
-def displacement(poses: DataFrame) -> DataFrame:
-    """Distance and turn from each frame to the next."""
-    w = Window.orderBy("frame_id")
-    rows = heading(poses).withColumns({f"p{c}": F.lag(c).over(w) for c in ("x", "y", "z", "yaw")}).where("px IS NOT NULL")
+def displacement(poses: DataFrame, by: str = "sequence_id") -> DataFrame:
+    """Distance and turn from each frame to the next of its sequence."""
+    w = Window.partitionBy(by).orderBy("frame_id")
+    rows = heading(poses, by).withColumns({f"p{c}": F.lag(c).over(w) for c in ("x", "y", "z", "yaw")}).where("px IS NOT NULL")
     d = [F.col(c) - F.col(f"p{c}") for c in "xyz"]
-    return rows.select("frame_id", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("distance"), (F.col("yaw") - F.col("pyaw")).alias("turn"))
+    return rows.select(by, "frame_id", F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).alias("distance"), (F.col("yaw") - F.col("pyaw")).alias("turn"))
 
 
-def trajectory(poses: DataFrame) -> DataFrame:
-    """Path so far at each frame, in metres."""
-    w = Window.orderBy("frame_id")
-    rows = poses.select("frame_id", "t0", "t1").withColumns({"_x": F.lag("t0").over(w), "_y": F.lag("t1").over(w)})
+def trajectory(poses: DataFrame, by: str = "sequence_id") -> DataFrame:
+    """Path so far at each frame of a sequence, in metres."""
+    w = Window.partitionBy(by).orderBy("frame_id")
+    rows = poses.select(by, "frame_id", "t0", "t1").withColumns({"_x": F.lag("t0").over(w), "_y": F.lag("t1").over(w)})
     step = F.coalesce(F.hypot(F.col("t0") - F.col("_x"), F.col("t1") - F.col("_y")), F.lit(0.0))
-    return rows.select("frame_id", F.col("t0").alias("x"), F.col("t1").alias("y"), F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("travelled"))
+    return rows.select(by, "frame_id", F.col("t0").alias("x"), F.col("t1").alias("y"), F.sum(step).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("travelled"))
 
 
 def travel_metres(samples: DataFrame, by: str, order: str, x: str = "x", y: str = "y") -> DataFrame:

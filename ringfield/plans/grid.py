@@ -11,7 +11,7 @@ from ringfield.plans.registry import query, rounded
 from ringfield.plans.sql import CLASS, d, size_of
 from ringfield.plans.sql import query as q
 from ringfield.plans.sql import rounded as r
-from ringfield.sources.derived import points
+from ringfield.sources.derived import STRIDE, points, sequence_id
 
 KEY = "frame_id, level, ix, iy"
 
@@ -216,9 +216,9 @@ def xyz_ranges(spark, sf_dir):
     return points(spark, sf_dir).groupBy("frame_id").agg(F.count(F.lit(1)).alias("points"), *[f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))])
 
 
-@query("points_so_far", q("SELECT frame_id, points, CAST(sum(points) OVER (ORDER BY frame_id) AS BIGINT) AS points_so_far FROM (SELECT frame_id, CAST(sum(point_count) AS BIGINT) AS points FROM cells GROUP BY frame_id)", "cells"))
+@query("points_so_far", q(f"SELECT frame_id, points, CAST(sum(points) OVER (PARTITION BY frame_id // {STRIDE} ORDER BY frame_id) AS BIGINT) AS points_so_far FROM (SELECT frame_id, CAST(sum(point_count) AS BIGINT) AS points FROM cells GROUP BY frame_id)", "cells"))
 def points_so_far(spark, sf_dir):
-    return grid.frame_running_points(cells(spark, sf_dir))
+    return grid.frame_running_points(cells(spark, sf_dir), sequence_id())
 
 
 @query("out_of_range", q("SELECT frame_id, count(*) AS points, count(CASE WHEN lv IS NULL THEN 1 END) AS dropped FROM (SELECT frame_id, CASE WHEN x*x+y*y < 2500 THEN 1 END AS lv FROM points) GROUP BY frame_id", "points"))

@@ -12,12 +12,19 @@ from ringfield.plans.registry import query, rounded
 from ringfield.plans.sql import d
 from ringfield.plans.sql import query as q
 from ringfield.plans.sql import rounded as r
-from ringfield.sources.derived import points
+from ringfield.sources.derived import STRIDE, points, sequence_id
 from ringfield.sources.derived import poses as derived_poses
 
 WORLD = "SELECT p.frame_id, p.point_id, " + ", ".join(f"r{i}0 * x + r{i}1 * y + r{i}2 * z + t{i} AS w{c}" for i, c in enumerate("xyz")) + " FROM points p JOIN poses USING (frame_id)"
 
 
+DRIVES = f"PARTITION BY frame_id // {STRIDE}"
+
+
+def drives(spark, sf_dir):
+    return derived_poses(spark, sf_dir).withColumn("sequence_id", sequence_id())
+
+
 @query("world_points", q(f"SELECT frame_id, point_id, {r('wx wy wz')} FROM world", "points", "poses", world=WORLD))
 def world_points(spark, sf_dir):
     rows = poses.world_points(points(spark, sf_dir), derived_poses(spark, sf_dir))
@@ -60,23 +67,23 @@ def ego_heading(spark, sf_dir):
     "ego_displacement",
     q(
         "SELECT frame_id, round(sqrt((t0-p0)*(t0-p0) + (t1-p1)*(t1-p1)), 9) AS distance, round(yaw - pyaw, 9) AS turn FROM (SELECT *, lag(t0) OVER w AS p0, lag(t1) OVER w AS p1, lag(yaw) OVER w AS pyaw"
-        " FROM (SELECT *, atan2(r10, r00) AS yaw FROM poses) WINDOW w AS (ORDER BY frame_id)) WHERE p0 IS NOT NULL",
+        f" FROM (SELECT *, atan2(r10, r00) AS yaw FROM poses) WINDOW w AS ({DRIVES} ORDER BY frame_id)) WHERE p0 IS NOT NULL",
         "poses",
     ),
 )
 def ego_displacement(spark, sf_dir):
-    return rounded(poses.displacement(derived_poses(spark, sf_dir)), "distance turn")
+    return rounded(poses.displacement(drives(spark, sf_dir)), "distance turn").drop("sequence_id")
 
 
 @query(
     "trajectory",
     q(
-        "SELECT frame_id, t0 AS x, t1 AS y, round(sum(s) OVER (ORDER BY frame_id), 9) AS travelled FROM (SELECT *, coalesce(sqrt((t0-lag(t0) OVER w)*(t0-lag(t0) OVER w) + (t1-lag(t1) OVER w)*(t1-lag(t1) OVER w)), 0.0) AS s FROM poses WINDOW w AS (ORDER BY frame_id))",
+        f"SELECT frame_id, t0 AS x, t1 AS y, round(sum(s) OVER ({DRIVES} ORDER BY frame_id), 9) AS travelled FROM (SELECT *, coalesce(sqrt((t0-lag(t0) OVER w)*(t0-lag(t0) OVER w) + (t1-lag(t1) OVER w)*(t1-lag(t1) OVER w)), 0.0) AS s FROM poses WINDOW w AS ({DRIVES} ORDER BY frame_id))",
         "poses",
     ),
 )
 def trajectory(spark, sf_dir):
-    return rounded(poses.trajectory(derived_poses(spark, sf_dir)), "travelled")
+    return rounded(poses.trajectory(drives(spark, sf_dir)), "travelled").drop("sequence_id")
 
 
 EVENTS = "SELECT user_id, event_id, CAST(event_id % 97 AS DOUBLE) / 4 AS x, CAST(event_id % 89 AS DOUBLE) / 4 AS y FROM events"
@@ -150,11 +157,11 @@ def accumulated_cloud(spark, sf_dir):
 
 
 def detections(spark, sf_dir):
-    """Proposals of all frames as one sequence in world coordinates, 0.1 s apart."""
+    """Proposals of all frames in the world coordinates of their drive, 0.1 s apart; a drive is a sequence."""
     p = proposals(groups(spark, sf_dir)).withColumns({"x": F.col("center_x"), "y": F.col("center_y"), "z": F.lit(0.0)})
     world = poses.world_points(p, derived_poses(spark, sf_dir))
     return world.select(
-        F.lit(0).cast("bigint").alias("sequence_id"), "frame_id", (F.col("frame_id") * 0.1).alias("ts_s"), "object_id", "classification",
+        sequence_id().alias("sequence_id"), "frame_id", (F.col("frame_id") * 0.1).alias("ts_s"), "object_id", "classification",
         F.col("wx").alias("x"), F.col("wy").alias("y"), "width", "length", "confidence",
     )
 

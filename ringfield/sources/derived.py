@@ -4,16 +4,19 @@ them do not depend on their order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+DRIVE = 8192  # order keys of a drive
+STRIDE = 8  # frame ids of a drive: seven frames and a gap, so that no frame follows the last one of another drive
+
 _D = "CAST({} AS DOUBLE)".format
 _O = "(l_orderkey % 24)"
 # object 7 is gone after the fourth frame, object 9 has two parts that lie apart, object 6 is two labelled instances side by side
 _OBJ = f"({_O} < 12 AND NOT ({_O} = 7 AND l_linenumber > 4))"
 
 POINT = {
-    "frame_id": "CAST(l_linenumber - 1 AS BIGINT)",
+    "frame_id": f"CAST(floor({_D('l_orderkey')} / {_D(DRIVE)}) * {STRIDE} + l_linenumber - 1 AS BIGINT)",
     # lines of an order may share their number; order, part and price tell them apart inside a frame
     "point_id": "CAST((l_orderkey % 268435456) * 4294967296 + (CAST(round(l_extendedprice * 100) AS BIGINT) % 16777216) * 256 + l_partkey % 256 AS BIGINT)",
     "x": f"CASE WHEN {_OBJ} THEN {_D(f'{_O} * 17 % 41 - 20')} * {_D(2)} + {_D('l_linenumber')} * {_D(1)} / {_D(4)} + {_D('l_partkey % 8')} / {_D(4)}"
@@ -31,14 +34,15 @@ GROUND = f"abs(z) <= {_D('0.08')}"
 
 POINTS_SQL = f"SELECT *, {GROUND} AS is_ground FROM (SELECT {', '.join(f'{e} AS {n}' for n, e in POINT.items())} FROM lineitem)"
 
-# A turn of 0.05 rad and a step of (1.25, 0.5) a frame.
+# A turn of 0.05 rad and a step of (1.25, 0.5) a frame, from the origin in each drive.
+_N = _D(f"frame_id % {STRIDE}")
 POSE = {
-    "yaw": f"{_D('frame_id')} * {_D('0.05')}", "t0": f"{_D('frame_id')} * {_D('1.25')}", "t1": f"{_D('frame_id')} * {_D('0.5')}", "t2": _D("0"),
+    "yaw": f"{_N} * {_D('0.05')}", "t0": f"{_N} * {_D('1.25')}", "t1": f"{_N} * {_D('0.5')}", "t2": _D("0"),
 }
 POSES_SQL = (
     f"SELECT frame_id, cos(yaw) AS r00, -sin(yaw) AS r01, {_D(0)} AS r02, sin(yaw) AS r10, cos(yaw) AS r11, {_D(0)} AS r12,"
     f" {_D(0)} AS r20, {_D(0)} AS r21, {_D(1)} AS r22, t0, t1, t2 FROM (SELECT frame_id, {', '.join(f'{e} AS {n}' for n, e in POSE.items())}"
-    " FROM (SELECT DISTINCT CAST(l_linenumber - 1 AS BIGINT) AS frame_id FROM lineitem))"
+    f" FROM (SELECT DISTINCT {POINT['frame_id']} AS frame_id FROM lineitem))"
 )
 
 
@@ -58,3 +62,8 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
         zero.alias("r20"), zero.alias("r21"), one.alias("r22"),
         *[F.expr(POSE[t]).alias(t) for t in ("t0", "t1", "t2")],
     )
+
+
+def sequence_id() -> Column:
+    """The drive of a frame."""
+    return F.floor(F.col("frame_id") / STRIDE).cast("bigint")
