@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffixdedup": "suffixdedup",
     "op9_neighbours": "neighbours",
     "op10_packing": "packing",
+    "op13_simhash": "simhash",
 }
 
 
