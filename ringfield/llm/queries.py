@@ -15,6 +15,8 @@ QUERIES = {
     "op8_suffixdedup": "suffixdedup",
     "op9_neighbours": "neighbours",
     "op10_packing": "packing",
+    "op11_trie": "trie",
+    "op12_manifest": "manifest",
     "op13_simhash": "simhash",
 }
 
