@@ -5,17 +5,24 @@ from __future__ import annotations
 import tempfile
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the folder that the cluster names for checkpoints (one of our own only where none is set)."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names for checkpoints (one of our own only where none is set)."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local") and not df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        if not sc.master.startswith("local") and not named:
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ringfield-"))
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ringfield-"))
+    return named or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the folder that the cluster names for checkpoints."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ringfield.functions import matrix
 from ringfield.functions.geometry import ROTATION, SHIFT, composed, inverse, quaternion_rotation, transformed
 
 POSE = [*ROTATION, *SHIFT]
@@ -74,3 +75,39 @@ def frame_dt(frames: DataFrame, by: str, default: float = 0.1) -> DataFrame:
 
 def rotation_of(w: Column, x: Column, y: Column, z: Column) -> list[Column]:
     return [v.alias(k) for k, v in quaternion_rotation(w, x, y, z).items()]
+
+
+def calibrated(poses: DataFrame, calibration: DataFrame, by: str = "sequence_id") -> DataFrame:
+    """(by, frame_id, world): lidar to world for each frame, its pose after its sequence's calibration.
+    poses: by, frame_id, POSE (sensor's carrier to world); calibration: by, POSE (lidar to carrier)."""
+    rows = poses.select(by, "frame_id", matrix.of_columns().alias("_pose")).join(calibration.select(by, matrix.of_columns().alias("_calibration")), by)
+    return rows.select(by, "frame_id", matrix.product(F.col("_pose"), F.col("_calibration")).alias("world"))
+
+
+def between(worlds: DataFrame, pairs: DataFrame, by: str = "sequence_id") -> DataFrame:
+    """(by, source, target, transform) for each pair of frames: points of the source frame into the target frame."""
+    side = lambda name, m: worlds.select(by, F.col("frame_id").alias(name), m.alias(f"_{name}"))
+    rows = pairs.join(side("source", F.col("world")), [by, "source"]).join(side("target", matrix.inverse(F.col("world"))), [by, "target"])
+    return rows.select(by, "source", "target", matrix.product(F.col("_target"), F.col("_source")).alias("transform"))
+
+
+def carried(points: DataFrame, transforms: DataFrame, on: list[str], name: str, into: tuple[str, str, str], back: bool = False) -> DataFrame:
+    """points (x, y, z by default as `xyz`) through the transform `name` of their key, or back through its inverse."""
+    m = matrix.inverse(F.col(name)) if back else F.col(name)
+    rows = points.join(transforms.select(*on, m.alias("_m")), on)
+    return rows.withColumns(dict(zip(into, matrix.applied(F.col("_m"), F.col("x"), F.col("y"), F.col("z")), strict=True))).drop("_m")
+
+
+def world_ground(places: DataFrame, worlds: DataFrame, by: str = "sequence_id") -> DataFrame:
+    """places (by, frame_id, x, y) at height 0 -> ground_x, ground_z: the horizontal place in a world whose y axis is vertical."""
+    rows = carried(places.withColumn("z", F.lit(0.0)), worlds, [by, "frame_id"], "world", ("ground_x", "_up", "ground_z"))
+    return rows.drop("z", "_up")
+
+
+def pose_source(motion: bool, named: str | None = None, poses: DataFrame | None = None) -> str:
+    """What the poses of a run are: none at all, those of a source that names itself, an empty table, or a table."""
+    if not motion:
+        return "identity_no_odometry"
+    if named:
+        return named
+    return "identity_empty_poses" if poses is None or poses.isEmpty() else "kitti_poses_lidar_to_frame0"
