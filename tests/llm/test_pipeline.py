@@ -27,3 +27,11 @@ def test_near_dedup_keeps_rows_without_id(spark):
     assert len(last) == 1 and last[0] in (text(5), text(5) + " more")
     want = [(1, text(1)), (3, text(2)), (4, None), (None, text(3)), (None, text(4)), (None, None), (None, "")]
     assert sorted(map(str, found)) == sorted(map(str, [*want, (None, last[0])]))
+
+
+def test_near_dedup_keeps_one_row_for_an_id_and_text(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, text(1), "en"), (1, text(1), None), (1, text(1), "en"), (2, text(2), "en"), (3, text(2), "en"), (3, text(2), "en"), (4, None, "en"), (4, None, "en"), (5, text(5), "en"), (5, text(6), "en")]
+    docs = spark.createDataFrame([(d, t, lang, "s", 1) for d, t, lang in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    found = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()), key=str)
+    assert found == sorted([(1, text(1)), (2, text(2)), (4, None), (5, text(5)), (5, text(6))], key=str)
