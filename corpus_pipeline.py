@@ -26,7 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without an id are named by their text, after all ids, and are one row for each distinct text with words."""
+    """Rows without an id are named by their text, after all ids, and are one row for each distinct text with words. Rows
+    that share id and text are one row too."""
     unnamed = F.col("doc_id").isNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     rest = [c for c in COLUMNS if c != "text"]
     once = docs.where(unnamed).groupBy("text").agg(F.min(F.struct(*rest)).alias("_r")).select("text", "_r.*").select(*COLUMNS)
@@ -35,8 +36,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.where(~unnamed).select(*COLUMNS).unionAll(once).withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), key))
     verdicts = neardup.grouped(rows.select(F.col("_key").alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("_key")).agg(F.max("kept").alias("kept"))
     gone = cut(verdicts.where("NOT kept").select("_key"))
+    many = cut(rows.groupBy("_key").count().where("count > 1").select("_key"))  # ids only, no texts
     released(spark)
-    return rows.join(small(gone), "_key", "left_anti").select(*COLUMNS)
+    kept = rows.join(small(gone), "_key", "left_anti")
+    if many.isEmpty():
+        return kept.select(*COLUMNS)
+    twice = kept.join(small(many), "_key", "left_semi").groupBy("_key", "text").agg(F.min(F.struct(*rest)).alias("_r")).select("text", "_r.*")
+    return kept.join(small(many), "_key", "left_anti").select(*COLUMNS).unionByName(twice.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
