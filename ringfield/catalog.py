@@ -6,7 +6,7 @@ import importlib
 
 from ringfield.plans.registry import QUERIES, SQL
 
-MODULES = ("grid", "objects", "evaluation", "motion", "diagnosis", "detector", "failures", "transforms", "intake", "streams")
+MODULES = ("grid", "objects", "evaluation", "motion", "diagnosis", "detector", "failures", "transforms", "intake", "exports", "streams")
 
 
 def _load() -> None:

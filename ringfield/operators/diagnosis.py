@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringfield.config import COMPATIBLE
-from ringfield.functions import classify
 
 
 def proposal_purity(inside: DataFrame, labelled: DataFrame) -> DataFrame:
     """The most frequent class among each proposal's points (smallest id on ties) and its share."""
-    n = inside.join(labelled.select("frame_id", "point_id", "semantic_id"), ["frame_id", "point_id"]).groupBy("frame_id", "object_id", "semantic_id").agg(F.count(F.lit(1)).alias("n"))
+    n = inside.select("frame_id", "object_id", "point_id").join(labelled.select("frame_id", "point_id", "semantic_id"), ["frame_id", "point_id"]).groupBy("frame_id", "object_id", "semantic_id").agg(F.count(F.lit(1)).alias("n"))
     return n.groupBy("frame_id", "object_id").agg(
         F.max_by("semantic_id", F.struct("n", -F.col("semantic_id"))).alias("semantic_id"), F.sum("n").alias("points"), F.round(F.max("n") / F.sum("n"), 9).alias("purity")
     )
@@ -51,20 +50,17 @@ def match_candidates(proposals: DataFrame, max_distance: float = 3.0, max_size:
     a = proposals.select((F.col("frame_id") + 1).alias("frame_id"), *[F.col(c).alias(f"a_{c}") for c in keep])
     b = proposals.select("frame_id", *[F.col(c).alias(f"b_{c}") for c in keep])
     d = lambda x, y: F.sqrt((F.col(f"a_{x}") - F.col(f"b_{x}")) ** 2 + (F.col(f"a_{y}") - F.col(f"b_{y}")) ** 2)
-    rows = a.join(b, (a.frame_id == b.frame_id) & (F.col("a_classification") == F.col("b_classification"))).drop(a.frame_id)
+    # places of b stand in one bucket as wide as the distance, those of a look into the nine around theirs
+    at = lambda c: F.floor(F.col(c) / max_distance)
+    around = F.explode(F.array(*[F.struct((at("a_center_x") + i).alias("i"), (at("a_center_y") + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    a = a.select("*", around.alias("_n")).select("*", F.col("_n.i").alias("_bx"), F.col("_n.j").alias("_by"), F.col("a_classification").alias("_c")).drop("_n")
+    b = b.withColumns({"_bx": at("b_center_x"), "_by": at("b_center_y"), "_c": F.col("b_classification")})
+    rows = a.join(b, ["frame_id", "_c", "_bx", "_by"])
     rows = rows.withColumns({"distance": d("center_x", "center_y"), "size": d("width", "length")}).where((F.col("distance") <= max_distance) & (F.col("size") <= max_size))
     score = 0.65 * F.col("distance") / max_distance + 0.25 * F.col("size") / max_size + 0.1 * (1 - F.col("b_confidence"))
     return rows.select("frame_id", F.col("a_object_id").alias("before"), F.col("b_object_id").alias("after"), F.round("distance", 6).alias("distance"), F.round(score, 6).alias("score"))
 
 
-def missed_objects(gts: DataFrame, pairs: DataFrame, least: float = 0.2) -> DataFrame:
-    """Objects by whether a proposal covers enough of them, by distance and class."""
-    best = pairs.groupBy("frame_id", "gt_id").agg(F.max("coverage").alias("_c"))
-    rows = gts.join(best, ["frame_id", "gt_id"], "left")
-    state = F.when(F.col("_c").isNull(), "NO_PROPOSAL").when(F.col("_c") < least, "LOW_COVERAGE").otherwise("DETECTED")
-    return rows.groupBy(state.alias("reason"), classify.distance_bucket(F.col("distance")).alias("bucket"), "semantic_id").agg(F.count(F.lit(1)).alias("objects"))
-
-
 def compact_count(n: Column) -> Column:
     """1234 as 1.2k, 2500000 as 2.5M."""
     return (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ringfield.config import GT_IDS
 from ringfield.functions import classify
 from ringfield.functions.geometry import centre, level_resolution, ring_level
-from ringfield.operators.grid import KEY, cell_stats, with_cell
+from ringfield.operators.grid import KEY, with_cell
 from ringfield.operators.semantic import unpack
 
 
@@ -27,23 +27,36 @@ def gt_objects(points: DataFrame, least: int = 5) -> DataFrame:
 
 
 def proposal_points(points: DataFrame, cells: DataFrame) -> DataFrame:
-    """Points in range inside the cells of each proposal, edges included; cells: KEY with object_id.
-    A point on an edge may lie in cells of two proposals, and in a cell of another ring. Cells are
-    spread to the tiles they touch, four at most, so points and cells meet on equal keys."""
+    """Points in range inside the cells of each proposal, edges included, with their label if they have one; cells: KEY with
+    object_id. A point on an edge may lie in cells of two proposals, and in a cell of another ring. Cells are
+    spread to the tiles they touch, four at most, so points and cells meet on equal keys; a point has one tile, so
+    its hits are told apart where they were found, without another shuffle."""
     tile, size = 0.5, level_resolution("level")
     lo, hi = (lambda c: centre(c, size) - size / 2), (lambda c: centre(c, size) + size / 2)
     box = cells.select("frame_id", "object_id", lo("ix").alias("_x0"), hi("ix").alias("_x1"), lo("iy").alias("_y0"), hi("iy").alias("_y1"))
     at = lambda c: F.floor(F.col(c) / tile)
     tiles = box.select("*", F.explode(F.sequence(at("_x0"), at("_x1"))).alias("_tx")).select("*", F.explode(F.sequence(at("_y0"), at("_y1"))).alias("_ty"))
-    near = points.where(ring_level("x", "y").isNotNull()).select("frame_id", "point_id", "x", "y", at("x").alias("_tx"), at("y").alias("_ty"))
+    near = points.where(ring_level("x", "y").isNotNull()).select("frame_id", "point_id", "x", "y", *_label(points), at("x").alias("_tx"), at("y").alias("_ty"))
     hit = near.join(tiles, ["frame_id", "_tx", "_ty"]).where(F.col("x").between(F.col("_x0"), F.col("_x1")) & F.col("y").between(F.col("_y0"), F.col("_y1")))
-    return hit.select("frame_id", "object_id", "point_id").distinct()
+    return hit.select("frame_id", "_tx", "_ty", "object_id", "point_id", *_label(points)).distinct().drop("_tx", "_ty")
+
+
+def _label(points: DataFrame) -> list[str]:
+    return ["label"] if "label" in points.columns else []
 
 
 def overlaps(inside: DataFrame, truth: DataFrame) -> DataFrame:
-    """(frame, proposal, gt): shared points, coverage of the gt, purity of the proposal, IoU."""
-    both = inside.join(truth.select("frame_id", "point_id", "gt_id"), ["frame_id", "point_id"]).groupBy("frame_id", "object_id", "gt_id").agg(F.count(F.lit(1)).alias("overlap"))
-    p = inside.groupBy("frame_id", "object_id").agg(F.count(F.lit(1)).alias("proposal_points"))
+    """(frame, proposal, gt): shared points, coverage of the gt, purity of the proposal, IoU. truth: gt_points(). Where
+    the points inside carry their label, it names their gt, and one aggregation counts both sides."""
+    if "label" in inside.columns:
+        from ringfield.operators.graph import cut
+
+        counts = cut(inside.groupBy("frame_id", "object_id", F.col("label").alias("gt_id")).agg(F.count(F.lit(1)).alias("overlap")))
+        p = counts.groupBy("frame_id", "object_id").agg(F.sum("overlap").alias("proposal_points"))
+        both = counts  # labels that are no gt's meet none below
+    else:
+        both = inside.join(truth.select("frame_id", "point_id", "gt_id"), ["frame_id", "point_id"]).groupBy("frame_id", "object_id", "gt_id").agg(F.count(F.lit(1)).alias("overlap"))
+        p = inside.groupBy("frame_id", "object_id").agg(F.count(F.lit(1)).alias("proposal_points"))
     g = truth.groupBy("frame_id", "gt_id").agg(F.count(F.lit(1)).alias("gt_points"))
     o = both.join(p, ["frame_id", "object_id"]).join(g, ["frame_id", "gt_id"])
     n = F.col("overlap")
@@ -103,8 +116,8 @@ def fragmentation(o: DataFrame, least: float = 0.2) -> DataFrame:
 
 
 def contested(o: DataFrame, least: float = 0.2) -> DataFrame:
-    """Proposals that qualify for more than one gt."""
-    return o.where(F.col("coverage") >= least).groupBy("frame_id", "object_id").agg(F.count(F.lit(1)).alias("gts")).where("gts > 1")
+    """Proposals that qualify, by coverage and purity, for more than one gt."""
+    return o.where((F.col("coverage") >= least) & (F.col("purity") >= least)).groupBy("frame_id", "object_id").agg(F.count(F.lit(1)).alias("gts")).where("gts > 1")
 
 
 def confusion(best: DataFrame, proposals: DataFrame) -> DataFrame:
@@ -118,23 +131,6 @@ def cell_instances(points: DataFrame) -> DataFrame:
     return rows.groupBy(*KEY).agg(F.array_join(F.sort_array(F.collect_set("instance_id")), ",").alias("instances"))
 
 
-def gt_loss(points: DataFrame, cells: DataFrame, obstacles: DataFrame, least_points: int = 3, least_height: float = 0.15) -> DataFrame:
-    """Why points of gt objects do not reach an obstacle cell, in the order of the pipeline's tests."""
-    truth = with_cell(gt_points(points))
-    c = cell_stats(cells).select(*KEY, "ground_count", "obstacle_count")
-    o = obstacles.select(*KEY, F.lit(True).alias("_passed"))
-    rows = truth.join(c, KEY, "left").join(o, KEY, "left")
-    reason = (
-        F.when(F.col("obstacle_count").isNull(), "MISSING_CELL")
-        .when(F.col("_passed"), "PASSED")
-        .when(F.col("obstacle_count") == 0, "NO_OBSTACLE_ELEVATION")
-        .when(F.col("obstacle_count") < least_points, "TOO_FEW_OBSTACLE_POINTS")
-        .when(F.col("ground_count") > 0, "HEIGHT_BELOW_THRESHOLD")
-        .otherwise("NO_GROUND_REFERENCE")
-    )
-    return rows.groupBy("frame_id", reason.alias("reason")).agg(F.count(F.lit(1)).alias("points"))
-
-
 def stage_funnel(points: DataFrame, obstacles: DataFrame, kept_cells: DataFrame) -> DataFrame:
     """Points of gt objects that survive each stage: in range, not ground, in an obstacle cell, in a kept component."""
     truth = with_cell(gt_points(points)).join(obstacles.select(*KEY, F.lit(1).alias("_o")), KEY, "left").join(kept_cells.select(*KEY, F.lit(1).alias("_k")), KEY, "left")
@@ -148,8 +144,10 @@ def stage_funnel(points: DataFrame, obstacles: DataFrame, kept_cells: DataFrame)
 def batch_eval(prf: DataFrame) -> DataFrame:
     """All frames together: micro from sums, macro from means."""
     s = lambda c: F.sum(c)
+    f1 = lambda r, p: F.when(r + p > 0, 2 * r * p / (r + p)).otherwise(0.0)
     return prf.agg(
         F.count(F.lit(1)).alias("frames"), s("gts").alias("gts"), s("proposals").alias("proposals"),
         F.round(s("found") / s("gts"), 9).alias("micro_recall"), F.round(s("right") / s("proposals"), 9).alias("micro_precision"),
         F.round(F.avg("recall"), 9).alias("macro_recall"), F.round(F.avg("precision"), 9).alias("macro_precision"),
+        F.round(f1(s("found") / s("gts"), s("right") / s("proposals")), 9).alias("micro_f1"), F.round(F.avg("f1"), 9).alias("macro_f1"),
     )

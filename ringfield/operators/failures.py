@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringfield.config import Obstacles
+from ringfield.functions import classify
 from ringfield.operators.evaluation import gt_points
 from ringfield.operators.grid import KEY, cell_stats, with_cell
 from ringfield.operators.obstacles import local_ground
@@ -17,25 +18,67 @@ GT = ["frame_id", "gt_id"]
 
 def gt_cells(points: DataFrame) -> DataFrame:
     """Points of each labelled object by grid cell, and how many of them are ground."""
-    return with_cell(gt_points(points)).groupBy("frame_id", "gt_id", "level", "ix", "iy").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_ground").alias("ground"))
+    return with_cell(gt_points(points)).groupBy("frame_id", "gt_id", "level", "ix", "iy").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_ground").alias("ground_n"))
 
 
-def gt_diagnostic(gts: DataFrame, truth: DataFrame, cells: DataFrame, obstacles: DataFrame, owned: DataFrame, cfg: Obstacles = Obstacles()) -> DataFrame:
-    """Each gt's points by what its cells lack, in the order of the pipeline's tests, and the share of it that its best object holds.
-    truth: gt_cells; owned: KEY with object_id, the cells of the final objects."""
+def cell_states(truth: DataFrame, cells: DataFrame, cfg: Obstacles = Obstacles()) -> DataFrame:
+    """truth (gt_cells) with what each cell is tested on, in the order of the tests: ground_source (SAME-CELL,
+    RECOVERED from the neighbours, UNRESOLVED), ground, obstacle_elevation, obstacle_count, height and state."""
     bare = cells.where("ground_count = 0").join(truth.select(*KEY).distinct(), KEY, "left_semi")
     near = local_ground(cells, cfg, bare.select(*KEY, "resolution")).select(*KEY, "local_elevation")
     stats = cell_stats(cells).select(*KEY, "ground_elevation", "obstacle_elevation", "obstacle_count")
-    rows = truth.join(stats, KEY, "left").join(near, KEY, "left").join(obstacles.select(*KEY, F.lit(True).alias("_o")), KEY, "left")
-    level, top = F.coalesce("ground_elevation", "local_elevation"), F.col("obstacle_elevation")
+    rows = truth.join(stats, KEY, "left").join(near, KEY, "left")
+    ground, top = F.coalesce("ground_elevation", "local_elevation"), F.col("obstacle_elevation")
+    source = F.when(F.col("ground_elevation").isNotNull(), "SAME-CELL").when(F.col("local_elevation").isNotNull(), "RECOVERED").otherwise("UNRESOLVED")
+    rows = rows.select(*truth.columns, source.alias("ground_source"), ground.alias("ground"), "obstacle_elevation", "obstacle_count", (top - ground).alias("height"))
     state = (
-        F.when(level.isNull(), "unresolved_reference").when(top.isNull(), "no_obstacle_elevation").when(F.col("obstacle_count") < cfg.min_points, "too_few_points")
-        .when(top - level < cfg.min_height, "height_failed").otherwise("obstacle_eligible")
+        F.when(F.col("obstacle_count").isNull(), "missing_cell").when(F.col("ground").isNull(), "unresolved_reference").when(F.col("obstacle_elevation").isNull(), "no_obstacle_elevation")
+        .when(F.col("obstacle_count") < cfg.min_points, "too_few_points").when(F.col("height") < cfg.min_height, "height_failed").otherwise("obstacle_eligible")
     )
+    return rows.withColumn("state", state)
+
+
+# Names of a point's fate, by the state of its cell.
+FATES = {
+    "missing_cell": "MISSING_CELL", "unresolved_reference": "NO_GROUND_REFERENCE", "no_obstacle_elevation": "NO_OBSTACLE_ELEVATION",
+    "too_few_points": "TOO_FEW_OBSTACLE_POINTS", "height_failed": "HEIGHT_BELOW_THRESHOLD", "obstacle_eligible": "PASSED",
+}
+# Bins of heights below the threshold, in metres.
+BINS = (0.0, 0.05, 0.10, 0.15)
+
+
+def gt_loss(states: DataFrame) -> DataFrame:
+    """Why points of gt objects do not reach an obstacle cell, by frame."""
+    name = F.create_map(*[F.lit(x) for pair in FATES.items() for x in pair])
+    return states.groupBy("frame_id", F.try_element_at(name, F.col("state")).alias("reason")).agg(F.sum("n").alias("points"))
+
+
+def loss_heights(states: DataFrame) -> DataFrame:
+    """Points of gt objects in cells that are too low, by frame and bin of height; those below the ground are a bin of their own."""
+    h = F.col("height")
+    bin_of = F.when(h < BINS[0], "below")
+    for lo, hi in zip(BINS, BINS[1:], strict=False):
+        bin_of = bin_of.when(h < hi, f"{lo:.2f}-{hi:.2f}")
+    rows = states.where("state = 'height_failed'").withColumn("bin", bin_of)
+    return rows.groupBy("frame_id", "bin").agg(F.sum("n").alias("points"), F.count(F.lit(1)).alias("cells"), F.min("height").alias("min_height"), F.max("height").alias("max_height"))
+
+
+def gt_trace(states: DataFrame, components: DataFrame, kept: DataFrame, owned: DataFrame) -> DataFrame:
+    """Every cell of every labelled object on its way: points, ground, test, component, whether that was kept, object.
+    components: KEY with component_id; kept: component_id; owned: KEY with object_id."""
+    rows = states.join(components.select(*KEY, "component_id"), KEY, "left").join(kept.select("component_id", F.lit(True).alias("component_kept")), "component_id", "left")
+    return rows.join(owned.select(*KEY, "object_id"), KEY, "left").withColumn("component_kept", F.when(F.col("component_id").isNotNull(), F.coalesce("component_kept", F.lit(False))))
+
+
+def gt_diagnostic(gts: DataFrame, truth: DataFrame, cells: DataFrame, obstacles: DataFrame, owned: DataFrame, cfg: Obstacles = Obstacles()) -> DataFrame:
+    """Each gt's points by what its cells lack, in the order of the pipeline's tests, and the share of it that its best object holds.
+    truth: gt_cells; owned: KEY with object_id, the cells of the final objects."""
+    rows = cell_states(truth, cells, cfg).join(obstacles.select(*KEY, F.lit(True).alias("_o")), KEY, "left")
     n = lambda on, name: F.coalesce(F.sum(F.when(on, F.col("n"))), F.lit(0)).alias(name)
     lost = ("unresolved_reference", "no_obstacle_elevation", "too_few_points", "height_failed", "obstacle_eligible")
+    state = F.when(F.col("state") == "missing_cell", "unresolved_reference").otherwise(F.col("state"))
     found = rows.withColumn("_s", state).groupBy(*GT).agg(
-        F.sum("n").alias("range_points"), F.sum("ground").alias("ground_points"), F.count(F.lit(1)).alias("cell_count"), *[n(F.col("_s") == s, s) for s in lost], n(F.col("_o"), "obstacle_cell_points")
+        F.sum("n").alias("range_points"), F.sum("ground_n").alias("ground_points"), F.count(F.lit(1)).alias("cell_count"), *[n(F.col("_s") == s, s) for s in lost], n(F.col("_o"), "obstacle_cell_points")
     )
     best = truth.join(owned.select(*KEY, "object_id"), KEY).groupBy(*GT, "object_id").agg(F.sum("n").alias("_n")).groupBy(*GT).agg(F.max("_n").alias("final_points"))
     counts = ["range_points", "ground_points", "cell_count", *lost, "obstacle_cell_points", "final_points"]
@@ -49,6 +92,7 @@ def best_candidates(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+# Fixed values below: names of the outcomes.
 def reason(accepted: Column) -> Column:
     """Why a gt has no proposal of its own; the first rule that holds. Needs gt_diagnostic with coverage and purity of the best pair."""
     c = F.col
@@ -74,6 +118,11 @@ def failure_reasons(diagnostic: DataFrame, pairs: DataFrame, matched: DataFrame)
     return rows.withColumn("reason", reason(F.coalesce("_a", F.lit(False)))).drop("_a")
 
 
+def histogram(reasons: DataFrame) -> DataFrame:
+    """Labelled objects by the reason of their failure, distance and class."""
+    return reasons.groupBy("reason", classify.distance_bucket(F.col("distance")).alias("bucket"), "semantic_id").agg(F.count(F.lit(1)).alias("objects"))
+
+
 def difficult(reasons: DataFrame, k: int = 15) -> DataFrame:
     """The k undetected gts of each frame that are covered least, the nearer first."""
     w = Window.partitionBy("frame_id").orderBy("_c", "distance", "gt_id")
@@ -92,6 +141,7 @@ def contested_pairs(pairs: DataFrame) -> DataFrame:
     return rows.select("frame_id", "object_id", "gt_a", F.explode(F.slice("_g", F.col("_k") + 2, F.size("_g"))).alias("gt_b"))
 
 
+# Fixed values below: names of the verdicts and the gains that they ask for.
 def recovery_variants(points: DataFrame, cells: DataFrame, candidates: DataFrame) -> DataFrame:
     """How the best pair of each gt would fare if the proposal's points were those of its cells (xy), without ground (up),
     or within the heights of their cell (band), and whether leaving ground out would help.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,16 +63,15 @@ def components_within(by: str, nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _joined(key: tuple, nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-    ids = [int(i) for i in nodes["id"]] if len(nodes) else []
-    up = {i: i for i in ids}
-
-    def root(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    for a, b in zip(links["a"], links["b"], strict=True) if len(links) else ():
-        a, b = root(int(a)), root(int(b))
-        up[max(a, b)] = min(a, b)  # the smaller id stays on top
-    return pd.DataFrame({"by": key[0], "id": pd.Series(ids, dtype="int64"), "component": pd.Series([root(i) for i in ids], dtype="int64")}).set_axis(["_by", "id", "component"], axis=1)
+    ids = np.unique(nodes["id"].to_numpy(np.int64)) if len(nodes) else np.zeros(0, np.int64)
+    root = np.arange(len(ids))
+    if len(links):
+        a, b = (np.searchsorted(ids, links[c].to_numpy(np.int64)) for c in "ab")
+        while (root[a] != root[b]).any():
+            x, y = root[a], root[b]
+            low = np.minimum(x, y)  # the smaller id stays on top
+            np.minimum.at(root, x, low)
+            np.minimum.at(root, y, low)
+            while (root[root] != root).any():
+                root = root[root]
+    return pd.DataFrame({"_by": np.full(len(ids), key[0]), "id": ids, "component": ids[root]})

@@ -109,48 +109,73 @@ def hypotheses(cells: DataFrame, links: DataFrame | None = None) -> DataFrame:
     return out.withColumn("confidence", 0.65 * F.col("_share") + 0.35 * F.col("_confidence")).drop("_share", "_confidence")
 
 
-def by_class(values: dict, default, semantic_id: str = "semantic_id") -> Column:
-    """The value of a row's class."""
-    out = F.lit(default)
-    for k, v in values.items():
-        out = F.when(F.col(semantic_id) == k, F.lit(v)).otherwise(out)
-    return out
+def with_rules(found: DataFrame, names: tuple[str, ...], values: dict[int, tuple], default: tuple) -> DataFrame:
+    """found with the values of its class as columns; a table of a few rows, so broadcast."""
+    rows = [(k, *v) for k, v in values.items()]
+    rules = found.sparkSession.createDataFrame(rows, ", ".join(["semantic_id bigint", *[f"{n} double" for n in names]]))
+    out = found.join(F.broadcast(rules), "semantic_id", "left")
+    return out.withColumns({n: F.coalesce(F.col(n), F.lit(float(d))) for n, d in zip(names, default, strict=True)})
 
 
 def quality_filter(found: DataFrame) -> DataFrame:
     """Hypotheses with enough points, cells and extent for their class."""
-    points, cells, extent = (by_class({k: v[i] for k, v in QUALITY.items()}, QUALITY_DEFAULT[i]) for i in range(3))
+    limits = ("_points", "_cells", "_extent")
+    values = {k: tuple(float(x) for x in v) for k, v in QUALITY.items()}
+    rows = with_rules(found, limits, values, QUALITY_DEFAULT)
     wide = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
-    return found.where((F.col("points") >= points) & (F.col("cells") >= cells) & (wide >= extent))
+    return rows.where((F.col("points") >= F.col("_points")) & (F.col("cells") >= F.col("_cells")) & (wide >= F.col("_extent"))).select(*found.columns)
+
+
+TILE = 4.0
+
+
+def near_boxes(grown: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(frame_id, a, b), a < b: boxes of one class at most the class's `gap` apart, of which one is in `grown`.
+    Boxes reach out by half the gap and are spread to the tiles that they touch; a pair is told in the tile of the
+    lower corner that the two have in common, so no pair is told twice."""
+    at = lambda e: F.floor(e / TILE)
+
+    def spread(df: DataFrame, p: str) -> DataFrame:
+        half = F.col("gap") / 2
+        out = df.select("frame_id", "semantic_id", "gap", *[F.col(c).alias(f"{p}_{c}") for c in ("hypothesis_id", "min_x", "max_x", "min_y", "max_y")], *[(F.col(f"min_{c}") - half).alias(f"{p}_{c}0") for c in "xy"], *[(F.col(f"max_{c}") + half).alias(f"{p}_{c}1") for c in "xy"])
+        for c in "xy":
+            out = out.withColumn(f"_t{c}", F.explode(F.sequence(at(F.col(f"{p}_{c}0")), at(F.col(f"{p}_{c}1")))))
+        return out
+
+    both = spread(grown, "a").join(spread(boxes, "b").drop("gap"), ["frame_id", "semantic_id", "_tx", "_ty"]).where(F.col("a_hypothesis_id") != F.col("b_hypothesis_id"))
+    for c in "xy":
+        both = both.where(F.col(f"_t{c}") == at(F.greatest(f"a_{c}0", f"b_{c}0")))
+    gap = lambda c: F.greatest(F.col(f"b_min_{c}") - F.col(f"a_max_{c}"), F.col(f"a_min_{c}") - F.col(f"b_max_{c}"), F.lit(0.0))
+    near = both.where(F.hypot(gap("x"), gap("y")) <= F.col("gap"))
+    return near.select("frame_id", F.least("a_hypothesis_id", "b_hypothesis_id").alias("a"), F.greatest("a_hypothesis_id", "b_hypothesis_id").alias("b")).distinct()
 
 
 def merged_fragments(found: DataFrame) -> DataFrame:
     """Hypotheses of one class whose boxes are at most the class's gap apart become one, until none are.
-    Boxes only grow, so every order ends in the same groups; each round is one join per frame
-    and class, on boxes that are fewer every time. Centre, confidence and entropy are means by points."""
+    Boxes only grow, so every order ends in the same groups; each round looks only for neighbours of boxes that
+    grew in the last one. Centre, confidence and entropy are means by points."""
     from ringfield.operators.graph import cut
 
     means = ["center_x", "center_y", "confidence", "entropy"]
     keep = ["frame_id", "semantic_id", "hypothesis_id", "min_x", "max_x", "min_y", "max_y", "cells", "points", *means]
-    rows = cut(found.select(*keep))
+    rows = cut(with_rules(found.select(*keep), ("gap",), {k: (v,) for k, v in MERGE_GAP.items()}, (MERGE_GAP_DEFAULT,)))
+    grown = rows
     while True:
-        side = lambda p: rows.select("frame_id", "semantic_id", *[F.col(c).alias(f"{p}_{c}") for c in ("hypothesis_id", "min_x", "max_x", "min_y", "max_y")])
-        gap = lambda c: F.greatest(F.col(f"b_min_{c}") - F.col(f"a_max_{c}"), F.col(f"a_min_{c}") - F.col(f"b_max_{c}"), F.lit(0.0))
-        both = side("a").join(side("b"), ["frame_id", "semantic_id"]).where(F.col("a_hypothesis_id") < F.col("b_hypothesis_id"))
-        near = both.where(F.hypot(gap("x"), gap("y")) <= by_class(MERGE_GAP, MERGE_GAP_DEFAULT))
-        links = cut(near.select("frame_id", F.col("a_hypothesis_id").alias("a"), F.col("b_hypothesis_id").alias("b")))
+        links = cut(near_boxes(grown, rows))
         if links.isEmpty():
-            return rows
-        named = components_within("frame_id", rows.select("frame_id", F.col("hypothesis_id").alias("id")), links)
-        rows = cut(
-            rows.join(named.select(F.col("id").alias("hypothesis_id"), "component"), "hypothesis_id")
+            return rows.select(*keep)
+        linked = links.select("frame_id", F.col("a").alias("id")).unionByName(links.select("frame_id", F.col("b").alias("id"))).distinct()
+        named = cut(components_within("frame_id", linked, links).select(F.col("id").alias("hypothesis_id"), "component"))
+        new = (
+            rows.join(named, "hypothesis_id")
             .groupBy("frame_id", "semantic_id", F.col("component").alias("hypothesis_id"))
             .agg(
-                *[F.min(c).alias(c) for c in ("min_x", "min_y")], *[F.max(c).alias(c) for c in ("max_x", "max_y")],
+                *[F.min(c).alias(c) for c in ("min_x", "min_y")], *[F.max(c).alias(c) for c in ("max_x", "max_y")], F.first("gap").alias("gap"),
                 *[(F.sum(F.col(c) * F.col("points")) / F.sum("points")).alias(c) for c in means], F.sum("cells").alias("cells"), F.sum("points").alias("points"),
             )
-            .select(*keep)
         )
+        grown = cut(new.select(*keep, "gap"))
+        rows = cut(rows.select(*keep, "gap").join(named, "hypothesis_id", "left_anti").unionByName(grown))
 
 
 def semantic_objects(cells: DataFrame) -> DataFrame:

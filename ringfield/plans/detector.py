@@ -7,6 +7,7 @@ from ringfield.operators import ground
 from ringfield.operators.graph import cut
 from ringfield.plans.objects import obstacles
 from ringfield.plans.registry import query, rounded
+from ringfield.plans.sql import PARTS as PIECES
 from ringfield.plans.sql import d, reach
 from ringfield.plans.sql import query as q
 from ringfield.plans.sql import rounded as r
@@ -101,3 +102,36 @@ def ransac_ground(spark, sf_dir):
 def ransac_mask(spark, sf_dir):
     p = points(spark, sf_dir)
     return ground.with_ground(p, cut(ground.ransac_ground(p))).select("frame_id", "point_id", "is_ground")
+
+
+_NEAR = f"abs(p.a * t.x + p.b * t.y + p.c * t.z + p.d) <= {d('0.08')}"
+_PAIRS = ("xx", "xy", "xz", "yy", "yz", "zz")
+FITTED = {
+    "sums": f"SELECT t.frame_id, count(*) AS n, {', '.join(f'sum(t.{c}) AS s{c}' for c in 'xyz')}, {', '.join(f'sum(t.{u} * t.{v}) AS s{u}{v}' for u, v in _PAIRS)} FROM points t JOIN best p ON t.frame_id = p.frame_id WHERE {_NEAR} GROUP BY 1",
+    "moments": f"SELECT frame_id, {', '.join(f's{c} / n AS m{c}' for c in 'xyz')}, {', '.join(f's{u}{v} - s{u} * s{v} / n AS {u}{v}' for u, v in _PAIRS)} FROM sums",
+    "dets": "SELECT *, yy * zz - yz * yz AS dx, xx * zz - xz * xz AS dy, xx * yy - xy * xy AS dz, xz * yz - xy * zz AS p, xy * yz - xz * yy AS q, xy * xz - yz * xx AS s FROM moments",
+    "fits": "SELECT *, CASE WHEN w < 0 THEN -sqrt(u*u + v*v + w*w) ELSE sqrt(u*u + v*v + w*w) END AS size FROM (SELECT *, CASE WHEN dz >= dx AND dz >= dy THEN q WHEN dy >= dx THEN p ELSE dx END AS u, CASE WHEN dz >= dx AND dz >= dy THEN s WHEN dy >= dx THEN dy ELSE p END AS v,"
+    " CASE WHEN dz >= dx AND dz >= dy THEN dz WHEN dy >= dx THEN s ELSE q END AS w FROM dets)",
+}
+
+
+@query("ground_refit", q("SELECT f.frame_id, round(u / size, 6) + 0.0 AS a, round(v / size, 6) + 0.0 AS b, round(w / size, 6) + 0.0 AS c, round(-(u * mx + v * my + w * mz) / size, 6) + 0.0 AS d, inliers, points FROM fits f JOIN best USING (frame_id)", "points", **PLANES, **FITTED))
+def ground_refit(spark, sf_dir):
+    """The drawn plane of each frame, fitted to all its inliers."""
+    p = points(spark, sf_dir)
+    rows = rounded(ground.refitted(p, cut(ground.ransac_ground(p))), "a b c d", 6)
+    return rows.withColumns({k: rows[k] + 0.0 for k in "abcd"})
+
+
+@query(
+    "ransac_grid",
+    q("SELECT * FROM regrid", "points", **PLANES,
+      reground=f"SELECT t.frame_id, t.point_id, t.x, t.y, t.z, t.label, coalesce({_NEAR}, false) AS is_ground FROM points t LEFT JOIN best p ON t.frame_id = p.frame_id",
+      remapped=PIECES["mapped"].replace("FROM points", "FROM reground"), regrid=PIECES["cells"].replace("FROM mapped", "FROM remapped")),
+)
+def ransac_grid(spark, sf_dir):
+    """The adaptive grid over ground that comes from the planes."""
+    from ringfield.operators.grid import adaptive_grid
+
+    p = points(spark, sf_dir)
+    return adaptive_grid(cut(ground.with_ground(p, cut(ground.ransac_ground(p)))))

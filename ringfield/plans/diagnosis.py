@@ -78,21 +78,6 @@ def match_candidates(spark, sf_dir):
     return d.match_candidates(cut(c.proposals(stages(spark, sf_dir)[-1])))
 
 
-@query(
-    "failure_histogram",
-    q(
-        f"SELECT CASE WHEN b.c IS NULL THEN 'NO_PROPOSAL' WHEN b.c < 0.2 THEN 'LOW_COVERAGE' ELSE 'DETECTED' END AS reason, {bucket('distance')} AS bucket, semantic_id, count(*) AS objects FROM gts g"
-        " LEFT JOIN (SELECT frame_id, gt_id, max(coverage) AS c FROM pairs GROUP BY 1, 2) b ON b.frame_id = g.frame_id AND b.gt_id = g.gt_id GROUP BY 1, 2, 3",
-        "groups",
-        "labelled",
-        **EVAL,
-    ),
-)
-def failure_histogram(spark, sf_dir):
-    found, _, gts = pairs(spark, sf_dir)
-    return d.missed_objects(gts, found)
-
-
 @query(
     "compact_counts",
     q("SELECT frame_id, CASE WHEN n >= 1000000 THEN format('{:.1f}M', n / 1e6) WHEN n >= 1000 THEN format('{:.1f}k', n / 1e3) ELSE CAST(n AS VARCHAR) END AS points FROM (SELECT frame_id, count(*) AS n FROM points GROUP BY frame_id)", "points"),

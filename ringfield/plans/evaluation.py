@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ringfield.config import COMPATIBLE, GT_IDS, OBJECT_IDS, SEMANTIC_NAMES
-from ringfield.functions import classify
+from ringfield.config import COMPATIBLE, GT_IDS, OBJECT_IDS, QUALITY, QUALITY_DEFAULT, SEMANTIC_NAMES
 from ringfield.operators import components as c
 from ringfield.operators import evaluation as e
 from ringfield.operators import obstacles as o
 from ringfield.operators import semantic as s
 from ringfield.operators.graph import cut
-from ringfield.operators.grid import KEY, adaptive_grid
+from ringfield.operators.grid import adaptive_grid
 from ringfield.plans.registry import query, rounded
-from ringfield.plans.sql import CELL_ID, bucket, size_of
+from ringfield.plans.sql import CELL_ID, bucket, reach, size_of
 from ringfield.plans.sql import query as q
 from ringfield.plans.sql import rounded as r
 from ringfield.sources.derived import points
@@ -63,7 +62,7 @@ BEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, objec
 def stages(spark, sf_dir):
     """Points, grid, obstacle cells, cells with components, kept members and objects of all frames."""
     p = points(spark, sf_dir)
-    grid = adaptive_grid(p)
+    grid = cut(adaptive_grid(p))
     found = cut(o.obstacle_cells(grid))
     cells = cut(c.cell_components(found))
     members = cut(c.group_members(cut(c.component_filter(c.component_features(cells)))))
@@ -111,9 +110,34 @@ def semantic_links(spark, sf_dir):
     return s.semantic_links(s.thing_cells(s.semantic_counts(points(spark, sf_dir))))
 
 
-@query("hypotheses")
+_THINGS = q("", "cell_labels", "cells", dominant=DOMINANT, entropy=ENTROPY, tcells=THING_CELLS, slinks=SLINKS).strip().removeprefix("WITH ")
+_MEAN = lambda c: f"sum({c} * CAST(points AS DOUBLE)) / sum(CAST(points AS DOUBLE))"
+HYPOTHESES = {
+    "hrows": "SELECT t.*, c.component AS hypothesis_id FROM tcells t JOIN _component c ON c.id = t.cell_id",
+    "htop": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hypothesis_id ORDER BY p DESC, semantic_id) AS rk, CAST(p AS DOUBLE) / sum(p) OVER (PARTITION BY hypothesis_id) AS share FROM (SELECT hypothesis_id, semantic_id, sum(points) AS p FROM hrows GROUP BY 1, 2)) WHERE rk = 1",
+    "hbox": f"SELECT frame_id, hypothesis_id, count(*) AS cells, CAST(sum(points) AS BIGINT) AS points, {_MEAN('center_x')} AS center_x, {_MEAN('center_y')} AS center_y, {_MEAN('confidence')} AS conf, {_MEAN('entropy')} AS entropy,"
+    " min(center_x - resolution / 2) AS min_x, max(center_x + resolution / 2) AS max_x, min(center_y - resolution / 2) AS min_y, max(center_y + resolution / 2) AS max_y FROM hrows GROUP BY 1, 2",
+    "hypotheses": "SELECT b.frame_id, hypothesis_id, cells, points, center_x, center_y, entropy, min_x, max_x, min_y, max_y, semantic_id, CAST(0.65 AS DOUBLE) * share + CAST(0.35 AS DOUBLE) * conf AS confidence FROM hbox b JOIN htop USING (hypothesis_id) WHERE cells >= 2 OR points >= 8",
+    "rules": "SELECT * FROM (VALUES " + ", ".join(f"({k}, {p}, {n}, CAST({w} AS DOUBLE))" for k, (p, n, w) in QUALITY.items()) + ") t(semantic_id, least_points, least_cells, least_extent)",
+    "good": f"SELECT h.* FROM hypotheses h LEFT JOIN rules r USING (semantic_id) WHERE points >= coalesce(least_points, {QUALITY_DEFAULT[0]}) AND cells >= coalesce(least_cells, {QUALITY_DEFAULT[1]}) AND greatest(max_x - min_x, max_y - min_y) >= coalesce(least_extent, CAST({QUALITY_DEFAULT[2]} AS DOUBLE))",
+}
+MEANS = "center_x center_y min_x max_x min_y max_y confidence entropy"
+
+
+def _hypotheses(select: str) -> str:
+    own = "".join(f", {n} AS ({x})" for n, x in HYPOTHESES.items())
+    return f"WITH RECURSIVE {_THINGS}, {reach('(SELECT cell_id AS id FROM tcells)', 'slinks')}{own} {select}"
+
+
+@query("hypotheses", _hypotheses(f"SELECT frame_id, hypothesis_id, cells, points, semantic_id, {r(MEANS, 6)} FROM hypotheses"))
 def hypotheses(spark, sf_dir):
-    return s.hypotheses(cut(s.thing_cells(s.semantic_counts(points(spark, sf_dir)))))
+    return rounded(s.hypotheses(cut(s.thing_cells(s.semantic_counts(points(spark, sf_dir))))), MEANS, 6)
+
+
+@query("semantic_quality", _hypotheses(f"SELECT frame_id, hypothesis_id, cells, points, semantic_id, {r(MEANS, 6)} FROM good"))
+def semantic_quality(spark, sf_dir):
+    """Hypotheses that pass the quality rules of their class."""
+    return rounded(s.quality_filter(s.hypotheses(cut(s.thing_cells(s.semantic_counts(points(spark, sf_dir)))))), MEANS, 6)
 
 
 @query("merged_fragments")
@@ -150,9 +174,22 @@ def best_overlap(spark, sf_dir):
     return e.best_overlap(pairs(spark, sf_dir)[0]).select("frame_id", "object_id", "gt_id", "overlap")
 
 
-@query("match_one_to_one")
+def greedy(where: str) -> dict[str, str]:
+    """One-to-one matching in SQL: each frame's pairs, best first, folded over the lists of what is taken."""
+    order = "coverage DESC, iou DESC, purity DESC, overlap DESC, object_id, gt_id"
+    taken = "list_contains(w.os, p.object_id) OR list_contains(w.gs, p.gt_id)"
+    return {
+        "queue": f"SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY {order}) AS k FROM pairs WHERE {where}",
+        "walk": "SELECT DISTINCT frame_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS os, CAST([] AS BIGINT[]) AS gs FROM queue UNION ALL SELECT w.frame_id, p.k,"
+        f" CASE WHEN {taken} THEN w.os ELSE list_append(w.os, p.object_id) END, CASE WHEN {taken} THEN w.gs ELSE list_append(w.gs, p.gt_id) END FROM walk w JOIN queue p ON p.frame_id = w.frame_id AND p.k = w.k + 1",
+        "matched": "SELECT p.* FROM queue p JOIN (SELECT frame_id, max_by(os, k) AS os, max_by(gs, k) AS gs FROM walk GROUP BY 1) w ON w.frame_id = p.frame_id"
+        " WHERE list_contains(w.os, p.object_id) AND list_position(w.os, p.object_id) = list_position(w.gs, p.gt_id)",
+    }
+
+
+@query("match_one_to_one", q(f"SELECT frame_id, object_id, gt_id, overlap, proposal_points, gt_points, {r(METRICS)} FROM matched", "groups", "labelled", **EVAL, **greedy("coverage >= 0.2")))
 def match_one_to_one(spark, sf_dir):
-    return e.match_one_to_one(pairs(spark, sf_dir)[0])
+    return rounded(e.match_one_to_one(pairs(spark, sf_dir)[0]), METRICS)
 
 
 @query("detection_prf", q(f'SELECT frame_id, gts, proposals, found, "right", {r("recall precision f1")} FROM prf', "groups", "labelled", **EVAL, prf=PRF))
@@ -161,7 +198,8 @@ def detection_prf(spark, sf_dir):
     return rounded(e.detection_prf(found, groups, gts), "recall precision f1")
 
 
-@query("batch_eval", q('SELECT count(*) AS frames, CAST(sum(gts) AS BIGINT) AS gts, CAST(sum(proposals) AS BIGINT) AS proposals, round(CAST(sum(found) AS DOUBLE) / sum(gts), 9) AS micro_recall, round(CAST(sum("right") AS DOUBLE) / sum(proposals), 9) AS micro_precision, round(avg(recall), 9) AS macro_recall, round(avg(precision), 9) AS macro_precision FROM prf', "groups", "labelled", **EVAL, prf=PRF))
+@query("batch_eval", q('SELECT count(*) AS frames, CAST(sum(gts) AS BIGINT) AS gts, CAST(sum(proposals) AS BIGINT) AS proposals, round(CAST(sum(found) AS DOUBLE) / sum(gts), 9) AS micro_recall, round(CAST(sum("right") AS DOUBLE) / sum(proposals), 9) AS micro_precision, round(avg(recall), 9) AS macro_recall, round(avg(precision), 9) AS macro_precision,'
+    ' round(CASE WHEN sum(found) + sum("right") > 0 THEN 2 * (CAST(sum(found) AS DOUBLE) / sum(gts)) * (CAST(sum("right") AS DOUBLE) / sum(proposals)) / (CAST(sum(found) AS DOUBLE) / sum(gts) + CAST(sum("right") AS DOUBLE) / sum(proposals)) ELSE 0.0 END, 9) AS micro_f1, round(avg(f1), 9) AS macro_f1 FROM prf', "groups", "labelled", **EVAL, prf=PRF))
 def batch_eval(spark, sf_dir):
     found, groups, gts = pairs(spark, sf_dir)
     return e.batch_eval(e.detection_prf(found, groups, gts))
@@ -178,7 +216,7 @@ def fragmentation(spark, sf_dir):
     return e.fragmentation(pairs(spark, sf_dir)[0])
 
 
-@query("contested_pairs", q("SELECT frame_id, object_id, count(*) AS gts FROM pairs WHERE coverage >= 0.2 GROUP BY 1, 2 HAVING count(*) > 1", "groups", "labelled", **EVAL))
+@query("contested_pairs", q("SELECT frame_id, object_id, count(*) AS gts FROM pairs WHERE coverage >= 0.2 AND purity >= 0.2 GROUP BY 1, 2 HAVING count(*) > 1", "groups", "labelled", **EVAL))
 def contested_pairs(spark, sf_dir):
     return e.contested(pairs(spark, sf_dir)[0])
 
@@ -189,22 +227,6 @@ def confusion(spark, sf_dir):
     return e.confusion(e.best_overlap(found), c.proposals(groups))
 
 
-@query(
-    "gt_loss",
-    q(
-        "SELECT t.frame_id, CASE WHEN c.obstacle_count IS NULL THEN 'MISSING_CELL' WHEN o.cell_id IS NOT NULL THEN 'PASSED' WHEN c.obstacle_count = 0 THEN 'NO_OBSTACLE_ELEVATION' WHEN c.obstacle_count < 3 THEN 'TOO_FEW_OBSTACLE_POINTS'"
-        " WHEN c.ground_count > 0 THEN 'HEIGHT_BELOW_THRESHOLD' ELSE 'NO_GROUND_REFERENCE' END AS reason, count(*) AS points FROM truth t LEFT JOIN cells c ON c.frame_id = t.frame_id AND c.level = t.level AND c.ix = t.ix AND c.iy = t.iy"
-        " LEFT JOIN obstacles o ON o.frame_id = t.frame_id AND o.level = t.level AND o.ix = t.ix AND o.iy = t.iy GROUP BY 1, 2",
-        "obstacles",
-        truth=f"SELECT *, label AS gt_id FROM mapped WHERE label % 65536 IN {THINGS} AND label // 65536 > 0",
-    ),
-)
-def gt_loss(spark, sf_dir):
-    p = points(spark, sf_dir)
-    grid = adaptive_grid(p)
-    return e.gt_loss(p, grid, cut(o.obstacle_cells(grid)))
-
-
 @query(
     "stage_funnel",
     q(
@@ -219,5 +241,3 @@ def stage_funnel(spark, sf_dir):
     p, _, found, cells, members, _ = stages(spark, sf_dir)
     return e.stage_funnel(p, found, cells.join(members.select("component_id"), "component_id", "left_semi"))
 
-
-del KEY, classify

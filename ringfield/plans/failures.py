@@ -9,10 +9,10 @@ from ringfield.operators import evaluation as e
 from ringfield.operators import failures as f
 from ringfield.operators import semantic as s
 from ringfield.operators.graph import cut
-from ringfield.operators.grid import KEY
-from ringfield.plans.evaluation import EVAL, THINGS, stages
+from ringfield.operators.grid import KEY, adaptive_grid
+from ringfield.plans.evaluation import EVAL, THINGS, greedy, stages
 from ringfield.plans.registry import query, rounded
-from ringfield.plans.sql import PARTS, d
+from ringfield.plans.sql import PARTS, bucket, d
 from ringfield.plans.sql import query as q
 from ringfield.plans.sql import rounded as r
 from ringfield.sources.derived import points
@@ -28,7 +28,7 @@ STATE = (
 DIAGNOSTIC = {
     "tcells": TCELLS,
     "near": NEAR,
-    "checked": f"SELECT *, {STATE} AS st FROM (SELECT t.*, coalesce(c.ground_elevation, l.local_elevation) AS g, c.obstacle_elevation AS top, c.obstacle_count, o.cell_id IS NOT NULL AS seen FROM tcells t JOIN stats c USING ({K}) LEFT JOIN near l USING ({K}) LEFT JOIN obstacles o USING ({K}))",
+    "checked": f"SELECT *, top - g AS height, {STATE} AS st FROM (SELECT t.*, coalesce(c.ground_elevation, l.local_elevation) AS g, CASE WHEN c.ground_elevation IS NOT NULL THEN 'SAME-CELL' WHEN l.local_elevation IS NOT NULL THEN 'RECOVERED' ELSE 'UNRESOLVED' END AS ground_source, c.obstacle_elevation AS top, c.obstacle_count, o.cell_id IS NOT NULL AS seen FROM tcells t JOIN stats c USING ({K}) LEFT JOIN near l USING ({K}) LEFT JOIN obstacles o USING ({K}))",
     "tallied": "SELECT frame_id, gt_id, CAST(sum(n) AS BIGINT) AS range_points, CAST(sum(ground) AS BIGINT) AS ground_points, count(*) AS cell_count, "
     + ", ".join(f"CAST(sum(CASE WHEN st = '{x}' THEN n ELSE 0 END) AS BIGINT) AS {x}" for x in STATES)
     + ", CAST(sum(CASE WHEN seen THEN n ELSE 0 END) AS BIGINT) AS obstacle_cell_points FROM checked GROUP BY 1, 2",
@@ -57,13 +57,47 @@ class Bundle:
         return f.gt_diagnostic(e.gt_objects(self.points), self.truth, self.grid, self.obstacles, self.owned)
 
 
+DIAG = f"SELECT *, CAST(final_points AS DOUBLE) / points AS best_coverage, CASE WHEN range_points > 0 THEN CAST(ground_points AS DOUBLE) / range_points ELSE 0.0 END AS ground_share FROM (SELECT frame_id, gt_id, semantic_id, distance, points, {COUNTS} FROM gts LEFT JOIN tallied USING (frame_id, gt_id) LEFT JOIN held USING (frame_id, gt_id))"
+SHARES = "best_coverage ground_share"
+EVERY = ", ".join(("frame_id", "gt_id", "semantic_id", "distance", "points", "range_points", "ground_points", "cell_count", *STATES, "obstacle_cell_points", "final_points"))
+
+
+@query("gt_diagnostic", q(f"SELECT {EVERY}, {r(SHARES)} FROM diag", "groups", "labelled", **EVAL, **DIAGNOSTIC, diag=DIAG))
+def gt_diagnostic(spark, sf_dir):
+    return rounded(Bundle(spark, sf_dir).diagnostic(), SHARES)
+
+
+def _states(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return f.cell_states(f.gt_cells(p), cut(adaptive_grid(p)))
+
+
+FATE = "CASE st " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in f.FATES.items()) + " END"
+CHECKED = {k: DIAGNOSTIC[k] for k in ("tcells", "near", "checked")}
+
+
+@query("gt_loss", q(f"SELECT frame_id, {FATE} AS reason, CAST(sum(n) AS BIGINT) AS points FROM checked GROUP BY 1, 2", "obstacles", **CHECKED))
+def gt_loss(spark, sf_dir):
+    return f.gt_loss(_states(spark, sf_dir))
+
+
+BIN = "CASE WHEN height < 0 THEN 'below' " + " ".join(f"WHEN height < {d(hi)} THEN '{lo:.2f}-{hi:.2f}'" for lo, hi in zip(f.BINS, f.BINS[1:], strict=False)) + " END"
+
+
+@query("gt_loss_heights", q(f"SELECT frame_id, {BIN} AS bin, CAST(sum(n) AS BIGINT) AS points, count(*) AS cells, round(min(height), 9) AS min_height, round(max(height), 9) AS max_height FROM checked WHERE st = 'height_failed' GROUP BY 1, 2", "obstacles", **CHECKED))
+def gt_loss_heights(spark, sf_dir):
+    return rounded(f.loss_heights(_states(spark, sf_dir)), "min_height max_height")
+
+
 @query(
-    "gt_diagnostic",
-    q(f"SELECT *, round(CAST(final_points AS DOUBLE) / points, 9) AS best_coverage, CASE WHEN range_points > 0 THEN round(CAST(ground_points AS DOUBLE) / range_points, 9) ELSE 0.0 END AS ground_share"
-      f" FROM (SELECT frame_id, gt_id, semantic_id, distance, points, {COUNTS} FROM gts LEFT JOIN tallied USING (frame_id, gt_id) LEFT JOIN held USING (frame_id, gt_id))", "groups", "labelled", **EVAL, **DIAGNOSTIC),
+    "gt_trace",
+    q(f"SELECT {K}, t.gt_id, n, ground AS ground_n, ground_source, round(g, 9) AS ground, top AS obstacle_elevation, t.obstacle_count, round(height, 9) AS height, st AS state, c.component_id, CASE WHEN c.component_id IS NOT NULL THEN c.component_id IN (SELECT component_id FROM kept) END AS component_kept, object_id"
+      f" FROM checked t LEFT JOIN (SELECT {K}, component_id FROM component_cells) c USING ({K}) LEFT JOIN ocells USING ({K})", "groups", **CHECKED, ocells=EVAL["ocells"]),
 )
-def gt_diagnostic(spark, sf_dir):
-    return rounded(Bundle(spark, sf_dir).diagnostic(), "best_coverage ground_share")
+def gt_trace(spark, sf_dir):
+    """Every cell of every labelled object, from its points to the object that holds it."""
+    b = Bundle(spark, sf_dir)
+    return rounded(f.gt_trace(f.cell_states(b.truth, b.grid), b.cells, b.members, b.owned), "ground height")
 
 
 def _reasons(spark, sf_dir):
@@ -72,20 +106,41 @@ def _reasons(spark, sf_dir):
     return f.failure_reasons(b.diagnostic(), pairs, e.match_one_to_one(f.qualified(pairs)))
 
 
-@query("failure_reason")
+UNSEEN = "obstacle_cell_points = 0"
+REASON = (
+    "CASE WHEN accepted THEN 'DETECTED' WHEN coverage >= 0.2 AND purity < 0.2 THEN 'MERGED_OR_LOW_PURITY' WHEN coverage >= 0.2 THEN 'MATCHING_FAILURE' WHEN best_coverage > 0 AND best_coverage < 0.2 THEN 'LOW_COMPONENT_COVERAGE'"
+    f" WHEN obstacle_eligible = 0 AND too_few_points > 0 THEN 'SPARSE_OBSTACLE_POINTS' WHEN ground_share >= 0.2 AND {UNSEEN} THEN 'GROUND_OVERREJECTION_FLAG' WHEN unresolved_reference > 0 THEN 'NO_TERRAIN_REFERENCE'"
+    f" WHEN height_failed > 0 AND {UNSEEN} THEN 'HEIGHT_THRESHOLD' WHEN no_obstacle_elevation > 0 AND {UNSEEN} THEN 'NO_OBSTACLE_ELEVATION' WHEN obstacle_cell_points > 0 AND final_points = 0 THEN 'COMPONENT_FILTERED_OUT' ELSE 'NO_OBSTACLE_CELLS' END"
+)
+REASONS = {
+    **EVAL, **DIAGNOSTIC, "diag": DIAG, "best": BEST, **greedy("coverage >= 0.2 AND purity >= 0.2"),
+    "reasons": f"SELECT *, {REASON} AS reason FROM (SELECT g.*, b.coverage, b.purity, m.gt_id IS NOT NULL AS accepted FROM diag g LEFT JOIN best b USING (frame_id, gt_id) LEFT JOIN matched m USING (frame_id, gt_id))",
+}
+FOUR = f"{SHARES} coverage purity"
+
+
+@query("failure_reason", q(f"SELECT {EVERY}, {r(FOUR)}, reason FROM reasons", "groups", "labelled", **REASONS))
 def failure_reason(spark, sf_dir):
-    return rounded(_reasons(spark, sf_dir), "best_coverage ground_share coverage purity")
+    return rounded(_reasons(spark, sf_dir), FOUR)
 
 
-@query("difficult_objects")
+@query(
+    "difficult_objects",
+    q("SELECT frame_id, rank, gt_id, semantic_id, distance, round(covered, 9) AS covered, reason FROM (SELECT *, CAST(row_number() OVER (PARTITION BY frame_id ORDER BY covered, distance, gt_id) AS INTEGER) AS rank FROM"
+      " (SELECT *, coalesce(coverage, best_coverage) AS covered FROM reasons WHERE reason <> 'DETECTED')) WHERE rank <= 15", "groups", "labelled", **REASONS),
+)
 def difficult_objects(spark, sf_dir):
     return rounded(f.difficult(cut(_reasons(spark, sf_dir))), "covered")
 
 
+@query("failure_histogram", q(f"SELECT reason, {bucket('distance')} AS bucket, semantic_id, count(*) AS objects FROM reasons GROUP BY 1, 2, 3", "groups", "labelled", **REASONS))
+def failure_histogram(spark, sf_dir):
+    return f.histogram(_reasons(spark, sf_dir))
+
+
 @query("detector_failures")
 def detector_failures(spark, sf_dir):
     """Failure reasons of the detector's path, whose objects are closest-first merges."""
-    from ringfield.operators.grid import adaptive_grid
     from ringfield.plans.objects import obstacles
 
     p, found = points(spark, sf_dir), obstacles(spark, sf_dir)

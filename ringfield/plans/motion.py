@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ringfield.operators import planning, poses, sampling, tracking
 from ringfield.operators.components import proposals
+from ringfield.operators.graph import cut
 from ringfield.plans.grid import cells
 from ringfield.plans.objects import groups
 from ringfield.plans.registry import query, rounded
-from ringfield.plans.sql import d
+from ringfield.plans.sql import CELL_ID, d
 from ringfield.plans.sql import query as q
 from ringfield.plans.sql import rounded as r
 from ringfield.sources.derived import STRIDE, points, sequence_id
@@ -191,33 +192,40 @@ def nearest_objects(spark, sf_dir):
     return tracking.nearest(tracking.tracks(detections(spark, sf_dir)))
 
 
-@query(
-    "plan_blocked",
-    q(
-        "SELECT frame_id, ((frame_id * 4 + level) * 67108864 + (ix + 4096) * 8192 + (iy + 4096)) AS id, cell_class <> 'GROUND' OR EXISTS (SELECT 1 FROM stats o WHERE o.frame_id = s.frame_id AND o.cell_class <> 'GROUND'"
-        f" AND abs(o.center_x - s.center_x) < (o.resolution + s.resolution) / 2 + {d('0.0001')} AND abs(o.center_y - s.center_y) < (o.resolution + s.resolution) / 2 + {d('0.0001')}) AS blocked FROM stats s WHERE level = 3",
-        "stats",
-    ),
-)
+# Squares of two cells overlap only if these touch one square metre of a grid in common, as no cell is wider than half a metre.
+SQUARES = {
+    "squares": f"SELECT frame_id, {CELL_ID} AS id, cell_class, center_x, center_y, resolution, CAST(floor(center_x) AS BIGINT) AS bx, CAST(floor(center_y) AS BIGINT) AS by_ FROM stats",
+    "walls": "SELECT frame_id, center_x, center_y, resolution, bx + di AS bx, by_ + dj AS by_ FROM squares, (VALUES (-1), (0), (1)) a(di), (VALUES (-1), (0), (1)) b(dj) WHERE cell_class <> 'GROUND'",
+    "struck": f"SELECT DISTINCT s.id FROM squares s JOIN walls o USING (frame_id, bx, by_) WHERE abs(o.center_x - s.center_x) < (o.resolution + s.resolution) / 2 + {d('0.0001')} AND abs(o.center_y - s.center_y) < (o.resolution + s.resolution) / 2 + {d('0.0001')}",
+    "nodes": "SELECT s.*, cell_class <> 'GROUND' OR s.id IN (SELECT id FROM struck) AS blocked FROM squares s",
+}
+
+
+@query("plan_blocked", q("SELECT frame_id, id, blocked FROM nodes", "stats", **SQUARES))
 def plan_blocked(spark, sf_dir):
-    """Of the outermost ring's cells, those that a path must not cross."""
-    return planning.plan_nodes(cells(spark, sf_dir)).where("level = 3").select("frame_id", "id", "blocked")
+    """Cells of all rings, and whether a path must not cross them."""
+    return planning.plan_nodes(cut(cells(spark, sf_dir))).select("frame_id", "id", "blocked")
 
 
-@query("plan_blocked_all")
+@query("plan_blocked_all", q("SELECT frame_id, id, blocked FROM nodes", "stats", **SQUARES))
 def plan_blocked_all(spark, sf_dir):
-    """plan_blocked over the cells of all rings, without SQL: the SQL of plan_blocked covers the outermost one."""
-    return planning.plan_nodes(cells(spark, sf_dir)).select("frame_id", "id", "blocked")
+    """plan_blocked, under the name that it had while that one kept to the outermost ring."""
+    return plan_blocked(spark, sf_dir)
 
 
-@query("plan_edges")
+@query(
+    "plan_edges",
+    q("SELECT DISTINCT a.frame_id, a.id AS a, b.id AS b, round(sqrt((a.center_x-b.center_x)*(a.center_x-b.center_x) + (a.center_y-b.center_y)*(a.center_y-b.center_y)), 9) AS length FROM free a JOIN around b USING (frame_id, bx, by_)"
+      f" WHERE a.id < b.id AND abs(a.center_x - b.center_x) <= (a.resolution + b.resolution) / 2 + {d('0.001')} AND abs(a.center_y - b.center_y) <= (a.resolution + b.resolution) / 2 + {d('0.001')}",
+      "stats", **SQUARES, free="SELECT * FROM nodes WHERE NOT blocked", around="SELECT frame_id, id, center_x, center_y, resolution, bx + di AS bx, by_ + dj AS by_ FROM free, (VALUES (-1), (0), (1)) a(di), (VALUES (-1), (0), (1)) b(dj)"),
+)
 def plan_edges(spark, sf_dir):
-    return planning.plan_edges(planning.plan_nodes(cells(spark, sf_dir)))
+    return rounded(planning.plan_edges(planning.plan_nodes(cut(cells(spark, sf_dir)))), "length")
 
 
 @query("plan_path")
 def plan_path(spark, sf_dir):
-    nodes = planning.plan_nodes(cells(spark, sf_dir))
+    nodes = planning.plan_nodes(cut(cells(spark, sf_dir)))
     return planning.plan_path(nodes, planning.plan_edges(nodes), (-30.0, -20.0), (-26.0, -24.0))
 
 

@@ -21,7 +21,7 @@ HEIGHTS = "ground_elevation obstacle_height"
 
 def obstacles(spark, sf_dir):
     """Written once: each later step reads them twice or more, and they are few beside the points."""
-    return cut(o.obstacle_cells(cells(spark, sf_dir)))
+    return cut(o.obstacle_cells(cut(cells(spark, sf_dir))))
 
 
 def features(spark, sf_dir):
@@ -34,7 +34,7 @@ def groups(spark, sf_dir):
 
 @query("local_ground", q(f"SELECT {KEY}, round(local_elevation, 9) AS local_elevation, neighbors FROM local", "local"))
 def local_ground(spark, sf_dir):
-    return rounded(o.local_ground(cells(spark, sf_dir)), "local_elevation")
+    return rounded(o.local_ground(cut(cells(spark, sf_dir))), "local_elevation")
 
 
 @query("obstacle_cells", q(f"SELECT cell_id, {KEY}, resolution, center_x, center_y, obstacle_elevation, obstacle_count, ground_source, {r(HEIGHTS)} FROM obstacles", "obstacles"))
@@ -166,7 +166,7 @@ def frame_metrics(spark, sf_dir):
 
     p = points(spark, sf_dir)
     n = lambda df, name: df.groupBy("frame_id").agg(F.count(F.lit(1)).alias(name))
-    grid = cells(spark, sf_dir)
+    grid = cut(cells(spark, sf_dir))
     found = cut(o.obstacle_cells(grid))
     kept = cut(c.component_filter(c.component_features(c.cell_components(found))))
     out = n(p, "points")

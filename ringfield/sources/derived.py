@@ -11,28 +11,61 @@ DRIVE = 8192  # order keys of a drive
 STRIDE = 8  # frame ids of a drive: seven frames and a gap, so that no frame follows the last one of another drive
 
 _D = "CAST({} AS DOUBLE)".format
-_O = "(l_orderkey % 24)"
-# object 7 is gone after the fourth frame, object 9 has two parts that lie apart, object 6 is two labelled instances side by side
-_OBJ = f"({_O} < 12 AND NOT ({_O} = 7 AND l_linenumber > 4))"
+KINDS = 24  # what an order's points are goes by its key modulo this
 
+
+def _objects() -> list[dict]:
+    """What stands where, one row for each kind of order. Points that are `on` (every `every`-th part, up to line `lines`) lie at
+    x0 + dx * line + xp * (part % xpm) + xs * (supplier % xsm), y0 + ys * (supplier * ysk % ysm) + yp * (part % ypm) + gap for
+    suppliers in the upper half of eight, z0 + zq * (quantity % zqm), and with `flat` as the ground does. Suppliers whose
+    key modulo `split` is less than `part` have the label `low`, the others `high`; -1 is the ground's own. All other points are ground."""
+    none = {"every": 1, "lines": 0, "x0": 0, "dx": 0, "xp": 0, "xpm": 1, "xs": 0, "xsm": 1, "y0": 0, "ys": 0, "ysk": 1, "ysm": 1, "yp": 0, "ypm": 1, "gap": 0, "z0": 0, "zq": 0, "zqm": 1, "flat": 0, "split": 1, "part": 0, "low": 0, "high": -1}
+    tall = {"z0": 1 / 4, "zq": 1 / 16, "zqm": 32, "lines": 99}
+    label = lambda instance, semantic: instance * 65536 + semantic
+    place = lambda k: {"x0": (k * 17 % 41 - 20) * 2, "dx": 1 / 4, "xp": 1 / 4, "xpm": 8, "y0": (k * 29 % 37 - 18) * 2, "ys": 1 / 4, "ysm": 8}
+    rows = [{**none, **tall, **place(k), "high": label(k + 1, s)} for k, s in enumerate((10, 30, 50, 71, 80, 81, 10, 30, 252, 18, 99, 52))]
+    rows[4] |= {"split": 16, "part": 1, "low": label(105, 31)}  # a sixteenth of it is another instance
+    rows[6] |= {"split": 8, "part": 4, "low": label(7, 10), "high": label(107, 10)}  # two instances side by side
+    rows[7] |= {"lines": 4}  # gone after the fourth frame
+    rows[9] |= {"gap": 3 / 4}  # two parts that lie apart
+    third = {"every": 3, "lines": 99}
+    rows += [
+        {**none, **third, "x0": -35, "xs": 1 / 16, "xsm": 8, "y0": 30, "yp": 1 / 16, "ypm": 8, "z0": 13 / 128, "zq": 1 / 256, "zqm": 4, "high": label(13, 10)},  # too low
+        {**none, **third, "x0": 25, "xp": 1 / 8, "xpm": 97, "y0": -35, "ys": 1 / 8, "ysk": 7, "ysm": 89, "z0": 1, "high": label(14, 30)},  # too sparse
+        {**none, **tall, **third, "x0": 80, "xp": 1 / 4, "xpm": 8, "y0": 40, "ys": 1 / 4, "ysm": 8, "high": label(15, 18)},  # no ground near
+        {**none, **tall, **third, "x0": -45 - 1 / 8, "y0": -20 - 1 / 8, "high": label(16, 11)},  # a single cell
+        {**none, **third, "x0": 10, "xs": 1 / 8, "xsm": 8, "y0": -8, "yp": 1 / 8, "ypm": 8, "flat": 1, "high": label(17, 15)},  # lies flat on the ground
+        {**none, **tall, "x0": -30, "xp": 1 / 4, "xpm": 21, "y0": -38, "ys": 1 / 8, "ysm": 2, "high": label(18, 50)},  # a wall
+        {**none, **place(0), "every": 3, "lines": 99, "flat": 1},  # ground below the first two objects
+        {**none, **place(1), "every": 11, "lines": 99, "flat": 1},
+    ]
+    rows += [none] * (KINDS - len(rows))
+    return [{"kind": k, **r} for k, r in enumerate(rows)]
+
+
+OBJECTS = _objects()
+_WHOLE = ("kind", "every", "lines", "xpm", "xsm", "ysk", "ysm", "ypm", "zqm", "split", "part", "low", "high")
+OBJECT_SCHEMA = ", ".join(f"{c} {'bigint' if c in _WHOLE else 'double'}" for c in OBJECTS[0])
+OBJECTS_SQL = (
+    f"SELECT {', '.join(f'CAST({c} AS {"BIGINT" if c in _WHOLE else "DOUBLE"}) AS {c}' for c in OBJECTS[0])} FROM (VALUES "
+    + ", ".join(f"({', '.join(str(v) for v in r.values())})" for r in OBJECTS)
+    + f") t({', '.join(OBJECTS[0])})"
+)
+_ON = "(l_partkey % every = 0 AND l_linenumber <= lines)"
+_FLAT = f"{_D('(l_orderkey + l_partkey) % 9 - 4')} / {_D(256)}"
 POINT = {
     "frame_id": f"CAST(floor({_D('l_orderkey')} / {_D(DRIVE)}) * {STRIDE} + l_linenumber - 1 AS BIGINT)",
     # lines of an order may share their number; order, part and price tell them apart inside a frame
     "point_id": "CAST((l_orderkey % 268435456) * 4294967296 + (CAST(round(l_extendedprice * 100) AS BIGINT) % 16777216) * 256 + l_partkey % 256 AS BIGINT)",
-    "x": f"CASE WHEN {_OBJ} THEN {_D(f'{_O} * 17 % 41 - 20')} * {_D(2)} + {_D('l_linenumber')} * {_D(1)} / {_D(4)} + {_D('l_partkey % 8')} / {_D(4)}"
-    f" ELSE {_D('(l_partkey * 37 + l_orderkey) % 2561 - 1280')} / {_D(32)} END",
-    "y": f"CASE WHEN {_OBJ} THEN {_D(f'{_O} * 29 % 37 - 18')} * {_D(2)} + {_D('l_suppkey % 8')} / {_D(4)} + CASE WHEN {_O} = 9 AND l_suppkey % 8 >= 4 THEN {_D(3)} / {_D(4)} ELSE {_D(0)} END"
-    f" ELSE {_D('(l_orderkey * 53 + l_partkey) % 2561 - 1280')} / {_D(32)} END",
-    "z": f"CASE WHEN {_OBJ} THEN {_D(1)} / {_D(4)} + {_D('CAST(l_quantity AS BIGINT) % 32')} / {_D(16)}"
-    f" ELSE {_D('(l_orderkey + l_partkey) % 9 - 4')} / {_D(256)} END",
+    "x": f"CASE WHEN {_ON} THEN x0 + dx * l_linenumber + xp * (l_partkey % xpm) + xs * (l_suppkey % xsm) ELSE {_D('(l_partkey * 37 + l_orderkey) % 2561 - 1280')} / {_D(32)} END",
+    "y": f"CASE WHEN {_ON} THEN y0 + ys * (l_suppkey * ysk % ysm) + yp * (l_partkey % ypm) + CASE WHEN l_suppkey % 8 >= 4 THEN gap ELSE {_D(0)} END ELSE {_D('(l_orderkey * 53 + l_partkey) % 2561 - 1280')} / {_D(32)} END",
+    "z": f"CASE WHEN {_ON} THEN z0 + zq * (CAST(l_quantity AS BIGINT) % zqm) + flat * ({_FLAT}) ELSE {_FLAT} END",
     # low 16 bits: semantic id; high 16 bits: instance, 0 on the ground
-    "label": f"CAST(CASE WHEN {_OBJ} THEN ({_O} + 1 + CASE WHEN {_O} = 6 AND l_suppkey % 8 >= 4 THEN 100 ELSE 0 END) * 65536 + CASE {_O} WHEN 0 THEN 10 WHEN 1 THEN 30 WHEN 2 THEN 50 WHEN 3 THEN 71 WHEN 4 THEN 80"
-    " WHEN 5 THEN 81 WHEN 6 THEN 10 WHEN 7 THEN 30 WHEN 8 THEN 252 WHEN 9 THEN 18 WHEN 10 THEN 99 ELSE 52 END"
-    " ELSE CASE WHEN (l_orderkey + l_partkey) % 7 < 5 THEN 40 ELSE 72 END END AS BIGINT)",
+    "label": f"CAST(CASE WHEN {_ON} AND l_suppkey % split < part THEN low WHEN {_ON} AND high >= 0 THEN high WHEN (l_orderkey + l_partkey) % 7 < 5 THEN 40 ELSE 72 END AS BIGINT)",
 }
 GROUND = f"abs(z) <= {_D('0.08')}"
 
-POINTS_SQL = f"SELECT *, {GROUND} AS is_ground FROM (SELECT {', '.join(f'{e} AS {n}' for n, e in POINT.items())} FROM lineitem)"
+POINTS_SQL = f"SELECT *, {GROUND} AS is_ground FROM (SELECT {', '.join(f'{e} AS {n}' for n, e in POINT.items())} FROM lineitem JOIN ({OBJECTS_SQL}) ON kind = l_orderkey % {KINDS})"
 
 # A turn of 0.05 rad and a step of (1.25, 0.5) a frame, from the origin in each drive.
 _N = _D(f"frame_id % {STRIDE}")
@@ -48,6 +81,8 @@ POSES_SQL = (
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    kinds = spark.createDataFrame([tuple((int if c in _WHOLE else float)(v) for c, v in r.items()) for r in OBJECTS], OBJECT_SCHEMA)  # 24 rows
+    rows = rows.join(F.broadcast(kinds), F.col("kind") == F.col("l_orderkey") % KINDS)
     return rows.select(*[F.expr(e).alias(n) for n, e in POINT.items()]).withColumn("is_ground", F.expr(GROUND))
 
 
