@@ -74,12 +74,13 @@ def gt_diagnostic(gts: DataFrame, truth: DataFrame, cells: DataFrame, obstacles:
     """Each gt's points by what its cells lack, in the order of the pipeline's tests, and the share of it that its best object holds.
     truth: gt_cells; owned: KEY with object_id, the cells of the final objects."""
     rows = cell_states(truth, cells, cfg).join(obstacles.select(*KEY, F.lit(True).alias("_o")), KEY, "left")
-    n = lambda on, name: F.coalesce(F.sum(F.when(on, F.col("n"))), F.lit(0)).alias(name)
     lost = ("unresolved_reference", "no_obstacle_elevation", "too_few_points", "height_failed", "obstacle_eligible")
     state = F.when(F.col("state") == "missing_cell", "unresolved_reference").otherwise(F.col("state"))
-    found = rows.withColumn("_s", state).groupBy(*GT).agg(
-        F.sum("n").alias("range_points"), F.sum("ground_n").alias("ground_points"), F.count(F.lit(1)).alias("cell_count"), *[n(F.col("_s") == s, s) for s in lost], n(F.col("_o"), "obstacle_cell_points")
+    by_state = rows.groupBy(*GT, state.alias("_s")).agg(
+        F.sum("n").alias("_n"), F.sum("ground_n").alias("_g"), F.count(F.lit(1)).alias("_c"), F.coalesce(F.sum(F.when(F.col("_o"), F.col("n"))), F.lit(0)).alias("_seen")
     )
+    n = lambda s: F.coalesce(F.sum(F.when(F.col("_s") == s, F.col("_n"))), F.lit(0)).alias(s)
+    found = by_state.groupBy(*GT).agg(F.sum("_n").alias("range_points"), F.sum("_g").alias("ground_points"), F.sum("_c").alias("cell_count"), *map(n, lost), F.sum("_seen").alias("obstacle_cell_points"))
     best = truth.join(owned.select(*KEY, "object_id"), KEY).groupBy(*GT, "object_id").agg(F.sum("n").alias("_n")).groupBy(*GT).agg(F.max("_n").alias("final_points"))
     counts = ["range_points", "ground_points", "cell_count", *lost, "obstacle_cell_points", "final_points"]
     out = gts.select(*GT, "semantic_id", "distance", "points").join(found, GT, "left").join(best, GT, "left").na.fill(0, counts)

@@ -80,15 +80,19 @@ def refitted(points: DataFrame, ground: DataFrame) -> DataFrame:
     near = points.select("frame_id", "x", "y", "z").join(ground.select("frame_id", "a", "b", "c", "d"), "frame_id")
     near = near.where(F.abs(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c") * F.col("z") + F.col("d")) <= NEAR)
     pairs = [("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z")]
+    from ringfield.operators.graph import cut
+
     m = near.groupBy("frame_id").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{c}") for c in "xyz"], *[F.sum(F.col(p) * F.col(q)).alias(f"s{p}{q}") for p, q in pairs])
+    m = cut(m)  # a row a frame, as below: the algebra in one piece would outgrow generated code
     m = m.select("frame_id", *[(F.col(f"s{c}") / F.col("n")).alias(f"m{c}") for c in "xyz"], *[(F.col(f"s{p}{q}") - F.col(f"s{p}") * F.col(f"s{q}") / F.col("n")).alias(p + q) for p, q in pairs])
+    m = cut(m)
     xx, xy, xz, yy, yz, zz = (F.col(p + q) for p, q in pairs)
     dets = {"x": yy * zz - yz * yz, "y": xx * zz - xz * xz, "z": xx * yy - xy * xy}
     m = m.withColumns({f"_{c}": e for c, e in dets.items()})
     dx, dy, dz = (F.col(f"_{c}") for c in "xyz")
     p, q, s = xz * yz - xy * zz, xy * yz - xz * yy, xy * xz - yz * xx
     normal = F.when((dz >= dx) & (dz >= dy), F.array(q, s, dz)).when(dy >= dx, F.array(p, dy, s)).otherwise(F.array(dx, p, q))
-    m = m.withColumn("_n", normal)
+    m = cut(m.withColumn("_n", normal))
     u, v, w = (F.get("_n", F.lit(i)) for i in range(3))
     size = F.sqrt(u * u + v * v + w * w)
     m = m.withColumn("_s", F.when(w < 0, -size).otherwise(size)).where(F.abs("_s") > 1e-12)

@@ -61,7 +61,7 @@ BEST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame_id, objec
 
 def stages(spark, sf_dir):
     """Points, grid, obstacle cells, cells with components, kept members and objects of all frames."""
-    p = points(spark, sf_dir)
+    p = cut(points(spark, sf_dir))
     grid = cut(adaptive_grid(p))
     found = cut(o.obstacle_cells(grid))
     cells = cut(c.cell_components(found))

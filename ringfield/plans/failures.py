@@ -48,7 +48,7 @@ class Bundle:
     def __init__(self, spark, sf_dir):
         self.points, self.grid, self.obstacles, self.cells, self.members, _ = stages(spark, sf_dir)
         self.owned = self.cells.join(self.members.select("component_id", "object_id"), "component_id")
-        self.truth = f.gt_cells(self.points)
+        self.truth = cut(f.gt_cells(self.points))
 
     def pairs(self):
         return cut(e.overlaps(e.proposal_points(self.points, self.owned), e.gt_points(self.points)))
@@ -69,7 +69,7 @@ def gt_diagnostic(spark, sf_dir):
 
 def _states(spark, sf_dir):
     p = points(spark, sf_dir)
-    return f.cell_states(f.gt_cells(p), cut(adaptive_grid(p)))
+    return f.cell_states(cut(f.gt_cells(p)), cut(adaptive_grid(p)))
 
 
 FATE = "CASE st " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in f.FATES.items()) + " END"
@@ -147,7 +147,7 @@ def detector_failures(spark, sf_dir):
     cells, members, _ = det.detect(found)
     owned = cells.join(members.select("component_id", "object_id"), "component_id")
     pairs = cut(e.overlaps(e.proposal_points(p, owned), e.gt_points(p)))
-    rows = f.gt_diagnostic(e.gt_objects(p), f.gt_cells(p), adaptive_grid(p), found, owned)
+    rows = f.gt_diagnostic(e.gt_objects(p), cut(f.gt_cells(p)), cut(adaptive_grid(p)), found, owned)
     return rounded(f.failure_reasons(rows, pairs, e.match_one_to_one(f.qualified(pairs))), "best_coverage ground_share coverage purity")
 
 
