@@ -34,6 +34,11 @@ MERGE_GAP = {50: 1.50, 51: 0.80, 52: 1.00, 71: 0.60, 80: 0.45, 81: 0.50}
 MERGE_GAP_DEFAULT = 0.60
 COMPATIBLE = {"vehicle": (10, 11, 13, 15, 18, 20), "person": (30, 31, 32), "structure": (50, 51, 52)}
 
+# Labels that agree with a geometric class, labels of obstacles, and labels of surfaces.
+PREFERRED = {"POLE": (71, 80, 81), "PERSON-LIKE": (30, 31, 32), "VEHICLE-LIKE": (10, 11, 13, 15, 16, 18, 20), "WALL": (50, 51, 52)}
+OBSTACLE_LABELS = (10, 11, 13, 15, 16, 18, 20, 30, 31, 32, 50, 51, 52, 70, 71, 72, 80, 81, 99)
+SURFACE_LABELS = (0, 1, 40, 44, 48, 49, 60)
+
 
 @dataclass(frozen=True)
 class Obstacles:

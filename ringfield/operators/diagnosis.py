@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringfield.config import COMPATIBLE
+from ringfield.config import OBSTACLE_LABELS, PREFERRED, SURFACE_LABELS
 
 
 def proposal_purity(inside: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -39,9 +39,28 @@ def merge_events(members: DataFrame, cells: DataFrame, instances: DataFrame) ->
 
 def semantic_match(classification: Column, semantic_id: Column) -> Column:
     """How a geometric class agrees with the label below it."""
-    vehicle, person, structure = (semantic_id.isin(*COMPATIBLE[k]) for k in ("vehicle", "person", "structure"))
-    good = ((classification == "VEHICLE-LIKE") & vehicle) | ((classification == "WALL") & structure) | ((classification == "POLE") & (semantic_id.isin(71, 80, 81) | person))
-    return F.when(semantic_id.isNull() | (semantic_id <= 1), "UNKNOWN").when(good, "PREFERRED MATCH").when(classification == "OBSTACLE", "GENERIC OBSTACLE").otherwise("MISMATCH")
+    good = F.lit(False)
+    for name, ids in PREFERRED.items():
+        good = good | ((classification == name) & semantic_id.isin(*ids))
+    generic = (classification == "OBSTACLE") & semantic_id.isin(*OBSTACLE_LABELS)
+    return F.when(semantic_id.isNull(), "UNKNOWN").when(good, "PREFERRED MATCH").when(generic, "GENERIC OBSTACLE").otherwise("MISMATCH")
+
+
+def obstacle_consistency(semantic_id: Column) -> Column:
+    """Whether the label below a proposal is one of obstacles."""
+    return F.when(semantic_id.isin(*OBSTACLE_LABELS), "OBSTACLE").when(semantic_id.isin(*SURFACE_LABELS), "NON-OBSTACLE").otherwise("UNKNOWN")
+
+
+def merge_analysis(frames: DataFrame, events: DataFrame, parts: DataFrame, source: str) -> DataFrame:
+    """(frame_id, json): the record of a frame's merges: how many objects, those of several parts, and how many of these mix
+    instances. frames (frame_id, objects); events of merge_events(); parts (frame_id, object_id, component_id)."""
+    members = parts.groupBy("frame_id", "object_id").agg(F.sort_array(F.collect_list("component_id")).alias("component_ids"))
+    rows = events.join(members, ["frame_id", "object_id"]).groupBy("frame_id").agg(
+        F.sort_array(F.collect_list(F.struct("object_id", "components", "component_ids", "instances", "overmerged"))).alias("events"), F.count_if("overmerged").alias("overmerged")
+    )
+    out = frames.join(rows, "frame_id", "left").withColumns({"events": F.coalesce("events", F.array().cast(rows.schema["events"].dataType)), "overmerged": F.coalesce("overmerged", F.lit(0))})
+    record = F.struct(F.lit(source).alias("source"), F.col("frame_id").alias("frame"), "objects", F.size("events").alias("merges"), "overmerged", "events")
+    return out.select("frame_id", F.to_json(record, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def match_candidates(proposals: DataFrame, max_distance: float = 3.0, max_size: float = 4.0) -> DataFrame:

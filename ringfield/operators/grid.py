@@ -78,12 +78,9 @@ def cell_parent(cells: DataFrame) -> DataFrame:
 
 def grid_stats(cells: DataFrame) -> DataFrame:
     """Cells and points of each level, also of levels without any."""
-    spark = cells.sparkSession
-    levels = spark.range(4).select(F.col("id").cast("int").alias("level"))
     frames = cells.select("frame_id").distinct()
     every = frames.select("frame_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("level"))
     found = cells.groupBy("frame_id", "level").agg(F.count(F.lit(1)).alias("cells"), F.sum("point_count").alias("points"))
-    del levels
     return every.join(found, ["frame_id", "level"], "left").na.fill(0, ["cells", "points"])
 
 

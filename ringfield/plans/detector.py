@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ringfield.operators import detector as det
 from ringfield.operators import ground
 from ringfield.operators.graph import cut
@@ -135,3 +137,15 @@ def ransac_grid(spark, sf_dir):
 
     p = points(spark, sf_dir)
     return adaptive_grid(cut(ground.with_ground(p, cut(ground.ransac_ground(p)))))
+
+
+@query("plane_elevation", q("SELECT s.frame_id, s.level, s.ix, s.iy, round(CASE WHEN abs(c) >= 1e-9 THEN -(a * center_x + b * center_y + d) / c END, 6) + 0.0 AS elevation FROM stats s JOIN best USING (frame_id)", "points", "stats", **PLANES))
+def plane_elevation(spark, sf_dir):
+    """Height of the frame's ground plane below the centre of each cell."""
+    from ringfield.functions import geometry
+    from ringfield.operators.grid import KEY, adaptive_grid, cell_stats
+
+    p = cut(points(spark, sf_dir))
+    rows = cell_stats(cut(adaptive_grid(p))).join(ground.ransac_ground(p).select("frame_id", *"abcd"), "frame_id")
+    height = geometry.plane_elevation(*[F.col(k) for k in "abcd"], F.col("center_x"), F.col("center_y"))
+    return rows.select(*KEY, (F.round(height, 6) + 0.0).alias("elevation"))

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ringfield.config import OBSTACLE_LABELS, PREFERRED, SURFACE_LABELS
 from ringfield.operators import components as c
 from ringfield.operators import diagnosis as d
 from ringfield.operators import evaluation as e
 from ringfield.operators import semantic as s
 from ringfield.operators.graph import cut
 from ringfield.operators.grid import KEY, with_cell
-from ringfield.plans.evaluation import EVAL, pairs, stages
+from ringfield.plans.evaluation import EVAL, stages
 from ringfield.plans.registry import query
-from ringfield.plans.sql import bucket
 from ringfield.plans.sql import query as q
 from ringfield.sources import files
 from ringfield.sources.derived import points, poses
@@ -22,9 +22,9 @@ PURE = (
     " FROM (SELECT i.frame_id, i.object_id, l.semantic_id, count(*) AS n FROM inside i JOIN labelled l ON l.frame_id = i.frame_id AND l.point_id = i.point_id GROUP BY 1, 2, 3)) WHERE rk = 1"
 )
 MATCH = (
-    "CASE WHEN semantic_id <= 1 THEN 'UNKNOWN' WHEN (classification = 'VEHICLE-LIKE' AND semantic_id IN (10, 11, 13, 15, 18, 20)) OR (classification = 'WALL' AND semantic_id IN (50, 51, 52))"
-    " OR (classification = 'POLE' AND semantic_id IN (71, 80, 81, 30, 31, 32)) THEN 'PREFERRED MATCH' WHEN classification = 'OBSTACLE' THEN 'GENERIC OBSTACLE' ELSE 'MISMATCH' END"
-)
+    "CASE WHEN semantic_id IS NULL THEN 'UNKNOWN' WHEN " + " OR ".join(f"(classification = '{n}' AND semantic_id IN {ids})" for n, ids in PREFERRED.items())
+    + f" THEN 'PREFERRED MATCH' WHEN classification = 'OBSTACLE' AND semantic_id IN {OBSTACLE_LABELS} THEN 'GENERIC OBSTACLE' ELSE 'MISMATCH' END"
+)
 
 
 def _pure(spark, sf_dir):
@@ -45,6 +45,13 @@ def semantic_match(spark, sf_dir):
     return rows.select("frame_id", "object_id", d.semantic_match(F.col("classification"), F.col("semantic_id")).alias("agreement"))
 
 
+@query("obstacle_consistency", q(f"SELECT frame_id, object_id, CASE WHEN semantic_id IN {OBSTACLE_LABELS} THEN 'OBSTACLE' WHEN semantic_id IN {SURFACE_LABELS} THEN 'NON-OBSTACLE' ELSE 'UNKNOWN' END AS consistency FROM groups LEFT JOIN pure USING (frame_id, object_id)", "groups", "labelled", **EVAL, pure=PURE))
+def obstacle_consistency(spark, sf_dir):
+    pure, groups = _pure(spark, sf_dir)
+    rows = groups.select("frame_id", "object_id").join(pure, ["frame_id", "object_id"], "left")
+    return rows.select("frame_id", "object_id", d.obstacle_consistency(F.col("semantic_id")).alias("consistency"))
+
+
 @query("box_instances", q("SELECT DISTINCT g.frame_id, g.object_id, l.instance_id FROM groups g JOIN labelled l ON l.frame_id = g.frame_id AND l.x BETWEEN g.min_x AND g.max_x AND l.y BETWEEN g.min_y AND g.max_y WHERE l.instance_id > 0", "groups", "labelled"))
 def box_instances(spark, sf_dir):
     p, *_, groups = stages(spark, sf_dir)
@@ -65,6 +72,14 @@ def merge_events(spark, sf_dir):
     return d.merge_events(members, cells, s.unpack(with_cell(p)).where("instance_id > 0").select(*KEY, "instance_id").distinct())
 
 
+@query("merge_analysis")
+def merge_analysis(spark, sf_dir):
+    """A record of each frame's merges, as JSON."""
+    p, _, _, cells, members, groups = stages(spark, sf_dir)
+    events = d.merge_events(members, cells, s.unpack(with_cell(p)).where("instance_id > 0").select(*KEY, "instance_id").distinct())
+    return d.merge_analysis(groups.groupBy("frame_id").agg(F.count(F.lit(1)).alias("objects")), events, members.select("frame_id", "object_id", "component_id"), "derived drives")
+
+
 @query(
     "match_candidates",
     q(

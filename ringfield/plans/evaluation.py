@@ -100,6 +100,13 @@ def semantic_stats(spark, sf_dir):
     return s.semantic_stats(s.semantic_counts(points(spark, sf_dir)))
 
 
+@query("semantic_totals", q(f"SELECT frame_id, semantic_id, {NAME} AS semantic_name, CAST(sum(n) AS BIGINT) AS points, count(*) AS cells FROM cell_labels GROUP BY 1, 2", "cell_labels"))
+def semantic_totals(spark, sf_dir):
+    """Labelled points and cells of each class, over the grid of a frame."""
+    n = s.semantic_counts(points(spark, sf_dir)).groupBy("frame_id", "semantic_id").agg(F.sum("n").alias("points"), F.count(F.lit(1)).alias("cells"))
+    return n.select("frame_id", "semantic_id", s.semantic_name(F.col("semantic_id")).alias("semantic_name"), "points", "cells")
+
+
 @query("label_histogram", q(f"SELECT frame_id, semantic_id, {NAME} AS semantic_name, count(*) AS points, round(count(*) * 100.0 / CAST(sum(count(*)) OVER (PARTITION BY frame_id) AS DOUBLE), 6) AS percent FROM labelled GROUP BY frame_id, semantic_id", "labelled"))
 def label_histogram(spark, sf_dir):
     return s.label_histogram(points(spark, sf_dir))

@@ -255,3 +255,10 @@ def track_class_counts(spark, sf_dir):
 @query("track_trails")
 def track_trails(spark, sf_dir):
     return tracking.trails(tracking.world_objects(tracking.tracks(detections(spark, sf_dir))))
+
+
+@query("motion_classes")
+def motion_classes(spark, sf_dir):
+    """Tracks at each frame, with their class of motion by speed, hits and misses."""
+    found = tracking.motion_of(tracking.tracks(detections(spark, sf_dir)))
+    return found.select("sequence_id", "frame_id", "track_id", "motion_class")

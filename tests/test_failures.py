@@ -135,3 +135,43 @@ def test_hash_samples_are_full(spark):
     low = {r["k"] for r in sampling.hash_sample(df.where("g = 'a'"), ["g"], "k", 50).collect()}
     want = [r["k"] for r in df.where("g = 'a'").orderBy(F.pmod(F.xxhash64(F.lit(0), "k"), F.lit(1 << 40))).limit(50).collect()]
     assert low == set(want)
+
+
+def test_agreement_with_labels(spark):
+    from ringfield.operators import diagnosis
+
+    rows = [("POLE", 71), ("POLE", 30), ("PERSON-LIKE", 30), ("VEHICLE-LIKE", 16), ("WALL", 52), ("OBSTACLE", 70), ("OBSTACLE", 40), ("OBSTACLE", 252), ("WALL", None), ("WALL", 0)]
+    df = spark.createDataFrame(rows, "c string, s bigint").select("c", "s", diagnosis.semantic_match(F.col("c"), F.col("s")).alias("m"), diagnosis.obstacle_consistency(F.col("s")).alias("o"))
+    assert [(r["m"], r["o"]) for r in df.collect()] == [
+        ("PREFERRED MATCH", "OBSTACLE"), ("MISMATCH", "OBSTACLE"), ("PREFERRED MATCH", "OBSTACLE"), ("PREFERRED MATCH", "OBSTACLE"), ("PREFERRED MATCH", "OBSTACLE"),
+        ("GENERIC OBSTACLE", "OBSTACLE"), ("MISMATCH", "NON-OBSTACLE"), ("MISMATCH", "UNKNOWN"), ("UNKNOWN", "UNKNOWN"), ("MISMATCH", "NON-OBSTACLE"),
+    ]
+
+
+def test_record_of_merges(spark):
+    import json
+
+    from ringfield.operators import diagnosis
+
+    frames = spark.createDataFrame([(0, 3), (1, 2)], "frame_id bigint, objects bigint")
+    events = spark.createDataFrame([(0, 7, 2, 1, False), (0, 9, 3, 2, True)], "frame_id bigint, object_id bigint, components bigint, instances bigint, overmerged boolean")
+    parts = spark.createDataFrame([(0, 7, 8), (0, 7, 7), (0, 9, 9), (0, 9, 10), (0, 9, 11), (0, 5, 5)], "frame_id bigint, object_id bigint, component_id bigint")
+    got = {r["frame_id"]: json.loads(r["json"]) for r in diagnosis.merge_analysis(frames, events, parts, "unit").collect()}
+    assert got[1] == {"source": "unit", "frame": 1, "objects": 2, "merges": 0, "overmerged": 0, "events": []}
+    assert got[0]["merges"] == 2 and got[0]["overmerged"] == 1 and got[0]["events"][0]["component_ids"] == [7, 8]
+
+
+def test_pose_files_of_many_sequences(spark, tmp_path):
+    import pytest
+    from pyspark.errors import PySparkException
+
+    from ringfield.sources import files
+
+    for s, n in ((3, 2), (4, 1)):
+        (tmp_path / f"sequence_id={s}").mkdir()
+        (tmp_path / f"sequence_id={s}/poses.txt").write_text("\n\n".join(" ".join(str(12 * i + k) for k in range(12)) for i in range(n)) + "\n")
+    got = {(r["sequence_id"], r["frame_id"]): (r["r00"], r["t2"]) for r in files.pose_lines(spark, str(tmp_path)).collect()}
+    assert got == {(3, 0): (0.0, 11.0), (3, 1): (12.0, 23.0), (4, 0): (0.0, 11.0)}
+    (tmp_path / "sequence_id=4/poses.txt").write_text("1 2 3\n")
+    with pytest.raises(PySparkException, match="no 12 numbers"):
+        files.pose_lines(spark, str(tmp_path)).collect()
