@@ -114,7 +114,7 @@ def label_histogram(spark, sf_dir):
 
 @query("semantic_links", q("SELECT * FROM slinks", "cell_labels", "cells", dominant=DOMINANT, entropy=ENTROPY, tcells=THING_CELLS, slinks=SLINKS))
 def semantic_links(spark, sf_dir):
-    return s.semantic_links(s.thing_cells(s.semantic_counts(points(spark, sf_dir))))
+    return s.semantic_links(s.thing_cells(cut(s.semantic_counts(points(spark, sf_dir)))))
 
 
 _THINGS = q("", "cell_labels", "cells", dominant=DOMINANT, entropy=ENTROPY, tcells=THING_CELLS, slinks=SLINKS).strip().removeprefix("WITH ")
@@ -138,24 +138,24 @@ def _hypotheses(select: str) -> str:
 
 @query("hypotheses", _hypotheses(f"SELECT frame_id, hypothesis_id, cells, points, semantic_id, {r(MEANS, 6)} FROM hypotheses"))
 def hypotheses(spark, sf_dir):
-    return rounded(s.hypotheses(cut(s.thing_cells(s.semantic_counts(points(spark, sf_dir))))), MEANS, 6)
+    return rounded(s.hypotheses(cut(s.thing_cells(cut(s.semantic_counts(points(spark, sf_dir)))))), MEANS, 6)
 
 
 @query("semantic_quality", _hypotheses(f"SELECT frame_id, hypothesis_id, cells, points, semantic_id, {r(MEANS, 6)} FROM good"))
 def semantic_quality(spark, sf_dir):
     """Hypotheses that pass the quality rules of their class."""
-    return rounded(s.quality_filter(s.hypotheses(cut(s.thing_cells(s.semantic_counts(points(spark, sf_dir)))))), MEANS, 6)
+    return rounded(s.quality_filter(s.hypotheses(cut(s.thing_cells(cut(s.semantic_counts(points(spark, sf_dir))))))), MEANS, 6)
 
 
 @query("merged_fragments")
 def merged_fragments(spark, sf_dir):
-    return s.merged_fragments(cut(s.hypotheses(cut(s.thing_cells(s.semantic_counts(points(spark, sf_dir)))))))
+    return s.merged_fragments(cut(s.hypotheses(cut(s.thing_cells(cut(s.semantic_counts(points(spark, sf_dir))))))))
 
 
 @query("semantic_objects")
 def semantic_objects(spark, sf_dir):
     """Hypotheses after the quality rules of their class, the merge of fragments, and the rules again."""
-    return s.semantic_objects(s.thing_cells(s.semantic_counts(points(spark, sf_dir))))
+    return s.semantic_objects(s.thing_cells(cut(s.semantic_counts(points(spark, sf_dir)))))
 
 
 @query("gt_objects", q("SELECT * FROM gts", "labelled", truth=TRUTH, gts=GTS))

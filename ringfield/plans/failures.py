@@ -218,6 +218,6 @@ def first_shared_stage(spark, sf_dir):
 @query("semantic_merge_events")
 def semantic_merge_events(spark, sf_dir):
     """Semantic objects that hold two hypotheses of their class or more, by their boxes."""
-    before = cut(s.quality_filter(s.hypotheses(cut(s.thing_cells(s.semantic_counts(points(spark, sf_dir)))))))
+    before = cut(s.quality_filter(s.hypotheses(cut(s.thing_cells(cut(s.semantic_counts(points(spark, sf_dir))))))))
     name = lambda df: df.withColumnRenamed("hypothesis_id", "id")
     return f.contained(name(before), name(s.merged_fragments(before)))
