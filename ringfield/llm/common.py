@@ -70,11 +70,11 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.java.lang.System.gc()
 
 
-def bucketed(df: DataFrame, key: str, least: int) -> DataFrame:
+def bucketed(df: DataFrame, key: str, least: int, name: str | None = None) -> DataFrame:
     """df as a table of the shared warehouse, bucketed by key: grouping it by key again and
     again, alone or with other rows, shuffles only the other rows. For rows that are few and
     large: each is written where it is, so that this costs no shuffle either."""
-    spark, name = df.sparkSession, f"ringfield_{uuid.uuid4().hex}"
+    spark, name = df.sparkSession, name or f"ringfield_{uuid.uuid4().hex}"
     n = max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
     df.write.bucketBy(n, key).saveAsTable(name)
     return spark.table(name)
