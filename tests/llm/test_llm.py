@@ -112,6 +112,27 @@ def test_scoring_of_deeper_trees(docs, depth):
         assert r["score"] == pytest.approx(sum(math.log10(p(tuple(t[max(0, i - depth) : i]), w)) for i, w in enumerate(t)))
 
 
+def test_states_of_scoring_stay_small(docs, monkeypatch):
+    """What a round stores is little more than the texts as places of words."""
+    sizes, bucketed = [], scoring.bucketed
+
+    def measured(*args):
+        table = bucketed(*args)
+        sizes.append(table.agg(F.sum(F.length("body"))).first()[0])
+        return table
+
+    monkeypatch.setattr(scoring, "bucketed", measured)
+    assert scoring.scored(docs, depth=3).count() == len(corpus())
+    assert len(sizes) > 4 and max(sizes) < 1.5 * sizes[0]
+
+
+def test_unique_of_keys_that_share_their_first_bits():
+    rnd = np.random.default_rng(1)
+    for keys in (rnd.integers(0, 1 << 63, 5000), rnd.integers(0, 99, 5000), rnd.permutation(5000), np.zeros(0, int), np.ones(1, int)):
+        found, want = scoring._unique(keys.astype(np.uint64)), np.unique(keys.astype(np.uint64), return_inverse=True)
+        assert all(np.array_equal(x, y) for x, y in zip(found, want, strict=True))
+
+
 def test_sharding(docs, empty):
     found = rows_of(sharding.sharded(docs.withColumn("shard", F.lit("x")), shards=4))
     assert len(found) == len(corpus())
