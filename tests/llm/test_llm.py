@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,6 +127,69 @@ def test_states_of_scoring_stay_small(docs, monkeypatch):
     assert len(sizes) > 4 and max(sizes) < 1.5 * sizes[0]
 
 
+def played(rows, monkeypatch, chunk_bytes, depth, buckets=3):
+    """The rounds of scoring without Spark: (rows of the result, bytes and keys of all requests)."""
+    monkeypatch.setattr(scoring, "TaskContext", type("Here", (), {"get": classmethod(lambda c: c), "partitionId": staticmethod(lambda: 0)}))
+    columns = lambda schema: [c.split()[0] for c in schema.split(", ")]
+    given = pd.DataFrame([r[:2] for r in rows], columns=["doc_id", "text"]).astype({"doc_id": "Int64"})
+    states, totals, size, keys = [s for d in scoring._encoded(iter([given]), chunk_bytes) for s in d.to_dict("records")], None, 0, 0
+    while totals is None or any(s["waiting"] for s in states):
+        asks = pd.concat([pd.DataFrame(columns=columns(scoring.ASK)), *scoring._asks(iter([pd.DataFrame(states)]), buckets, depth)])
+        size, keys = size + asks["body"].map(len).sum(), keys + asks["n"].sum()
+        replies = pd.concat([pd.DataFrame(columns=columns(scoring.BACK)), *(scoring._sum(k, x) for k, x in asks.groupby(["bucket", "kind"]))])
+        totals = totals or tuple(replies.groupby("bucket")[["tokens", "types", "once"]].max().sum())
+        back = lambda s: replies[replies["chunk"] == s["chunk"]]
+        states = [scoring._absorbed((s["chunk"],), pd.DataFrame([s]), back(s), buckets, depth, totals).to_dict("records")[0] for s in states]
+    return pd.concat(list(scoring._scores(iter([pd.DataFrame(states)]), totals[0]))), size, keys
+
+
+def suffix_tree_scores(rows, depth):
+    """Scores of the rows by brute force over all contexts."""
+    toks = [(zlib.crc32(str(d).encode()) % 7 == 2, (t or "").encode().lower().split() + [b" "]) for d, t, *_ in rows]
+    train = [t for out, t in toks if not out]
+    c = [Counter()] + [Counter(x for t in train for x in zip(*[t[i:] for i in range(k)])) for k in range(1, depth + 2)]
+    n, mu, kept = sum(c[1].values()), scoring.MU, set()
+    unknown = (sum(x == 1 for x in c[1].values()) + 1) / (n + 2)
+
+    def p(context, w):
+        if not context:
+            return (1 - unknown) * c[1][w,] / n if c[1][w,] else unknown
+        below = p(context[1:], w)
+        return (c[len(context) + 1][*context, w] + mu * below) / (c[len(context)][context] + mu) if context in kept else below
+
+    for k in range(1, depth + 1):
+        gains = Counter()
+        for x, m in c[k + 1].items():
+            if c[k][x[:-1]] >= scoring.LEAST:
+                below = p(x[1:-1], x[-1])
+                gains[x[:-1]] += m * math.log((m - 1 + mu * below) / (c[k][x[:-1]] - 1 + mu) / below)
+        kept |= {x for x, g in gains.items() if g > scoring.GAIN}
+    return [sum(math.log10(p(tuple(t[max(0, i - depth) : i]), w)) for i, w in enumerate(t)) for _, t in toks]
+
+
+def test_scoring_of_held_out_words_that_training_has_once(monkeypatch):
+    """Training must report a gram that it has once if held-out texts of other chunks have it, at each length."""
+    rnd = random.Random(3)
+    words, rows = [f"w{i}" for i in range(40)], []
+    for i in range(200):
+        out = zlib.crc32(str(i).encode()) % 7 == 2
+        some = [" ".join(["l", rnd.choice("abc"), "p", "q", "r", "s" if rnd.random() < 0.5 else f"u{rnd.randrange(300)}", rnd.choice(words)]) for _ in range(3)]
+        rows.append((i, " ".join(some + [f"only{i // 9}"] * out)))
+    found, _, _ = played(rows, monkeypatch, 600, 6)
+    assert found["doc_id"].tolist() == [d for d, _ in rows]
+    assert found["score"].tolist() == pytest.approx(suffix_tree_scores(rows, 6))
+
+
+def test_scoring_asks_no_count_that_follows(monkeypatch):
+    """Passages that always go on alike and words that follow a context once cost no requests at every length."""
+    rnd = random.Random(4)
+    passage = [" ".join(f"m{rnd.randrange(9)}" for _ in range(60)) for _ in range(3)]
+    rows = [(i, " ".join([*(f"x{rnd.randrange(30)} y{i}x{j}" for j in range(20)), passage[i % 3], f"z{i}"])) for i in range(90)]
+    found, size, keys = played(rows, monkeypatch, 3000, 12)
+    assert found["score"].tolist() == pytest.approx(suffix_tree_scores(rows, 12))
+    assert keys < 13_000 and size < 130_000  # 15,896 and 140,559 when every count was asked
+
+
 def test_unique_of_keys_that_share_their_first_bits():
     rnd = np.random.default_rng(1)
     for keys in (rnd.integers(0, 1 << 63, 5000), rnd.integers(0, 99, 5000), rnd.permutation(5000), np.zeros(0, int), np.ones(1, int)):
