@@ -4,6 +4,7 @@ rows and clashing column names, against brute force."""
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -190,6 +191,43 @@ def test_scoring_asks_no_count_that_follows(monkeypatch):
     assert keys < 13_000 and size < 130_000  # 15,896 and 140,559 when every count was asked
 
 
+def test_merged_chunks_hold_no_more_than_a_task_does(monkeypatch):
+    """Chunks in which few positions wait but most words are kept for them are not put together whole, and lose nothing."""
+    monkeypatch.setattr(scoring, "HELD", 4000, raising=False)
+    rnd, rounds, absorbed = random.Random(5), [], scoring._absorbed
+    rows = [(i, " ".join(f"{a} p q r s t{'uv'[rnd.random() < (0.1 if a == 'x' else 0.9)]} " + " ".join(f"f{rnd.randrange(40)}" for _ in range(20)) for a in rnd.choices("xy", k=30))) for i in range(40)]
+
+    def recorded(*args):
+        out = absorbed(*args)
+        rounds.append(out)
+        return out
+
+    monkeypatch.setattr(scoring, "_absorbed", recorded)
+    found, _, _ = played(rows, monkeypatch, 5000, 12)
+    chunks = pd.concat(rounds)["chunk"].nunique()
+    states = [pd.concat(rounds[i : i + chunks]) for i in range(0, len(rounds), chunks)]
+    late = next(s for s in states if scoring.State(s["body"].iloc[0], 1, 12).level == 5 and s["waiting"].sum())
+    words = [len(scoring.State(x, 1, 12).place) for x in late["body"]]
+    assert max(words) < 4000 < sum(words) / 2 and late["waiting"].sum() < sum(words) / 2
+    merged = pd.concat(list(scoring._merged(iter([late.iloc[:3], late.iloc[3:]]), 12)))
+    kept = [scoring.State(x, 1, 12) for x in merged["body"]]
+    assert 1 < len(kept) < len(words) and merged["chunk"].is_unique and max(len(s.place) for s in kept) <= 4000
+    assert sum(len(s.place) for s in kept) == sum(words) and np.concatenate([s.ids for s in kept]).tolist() == [i for i, _ in rows]
+    assert merged["waiting"].sum() == late["waiting"].sum() and merged["held"].tolist() == [len(s.place) for s in kept]
+    assert found["score"].tolist() == pytest.approx(suffix_tree_scores(rows, 12))
+
+
+def test_states_travel_without_copies_of_themselves():
+    """Packing takes no second copy of the arrays, and what is unpacked does not hold the rest."""
+    arrays = [np.arange(1 << 18, dtype=np.int64) % 7, np.zeros(0, np.uint8), np.arange(5.0)]
+    tracemalloc.start()
+    body = scoring._pack(*arrays)
+    assert tracemalloc.get_traced_memory()[1] < 1 << 20
+    tracemalloc.stop()
+    back = scoring._unpack(body, np.int64, np.uint8, np.float64)
+    assert all(np.array_equal(x, y) for x, y in zip(arrays, back, strict=True)) and all(x.base is None for x in back)
+
+
 def test_unique_of_keys_that_share_their_first_bits():
     rnd = np.random.default_rng(1)
     for keys in (rnd.integers(0, 1 << 63, 5000), rnd.integers(0, 99, 5000), rnd.permutation(5000), np.zeros(0, int), np.ones(1, int)):
